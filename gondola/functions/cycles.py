@@ -54,17 +54,32 @@ def month_cycles(calendar: DataFrame) -> DataFrame:
     )
 
 
-def attach_cycle(df: DataFrame, alias: str = "CicloAno_mes") -> DataFrame:
-    """Add the cycle of each row's month, '' outside the calendar.
+def cycle_of_month() -> dict[str, str]:
+    """Month to cycle as plain values.
 
-    The broadcast side is the fixed calendar above (at most 40 months), whatever the data size.
+    The calendar is a constant, so its months can be literals in a plan: a month filter then
+    prunes partition folders at planning time, and tagging a row needs no join.
     """
-    months = month_cycles(cycle_calendar(df.sparkSession)).select(
-        F.col("Anio_mes"), F.col("CicloAno_mes").alias("_ciclo")
-    )
-    joined = df.join(F.broadcast(months), "Anio_mes", "left")
-    kept = [c for c in df.columns if c != alias]
-    return joined.select(*kept, F.coalesce("_ciclo", F.lit("")).alias(alias))
+    months: dict[str, str] = {}
+    for cycle, year, first, last in CYCLES:
+        for y in range(int(first[:4]), int(last[:4]) + 1):
+            for m in range(1, 13):
+                month = f"{y}-{m:02d}"
+                if first <= f"{month}-15" <= last:  # ISO dates sort as text
+                    months.setdefault(month, f"{cycle}-{year}")
+    return months
+
+
+def cycle_label(month: Column) -> Column:
+    """Cycle of a month, '' outside the calendar."""
+    months = cycle_of_month()
+    table = F.create_map(*[F.lit(x) for pair in months.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, month), F.lit(""))
+
+
+def attach_cycle(df: DataFrame, alias: str = "CicloAno_mes") -> DataFrame:
+    """Add the cycle of each row's month; a narrow column that is pruned where nobody uses it."""
+    return df.withColumn(alias, cycle_label(F.col("Anio_mes")))
 
 
 def week_label(day: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gondola.functions.cycles import cycle_calendar, month_cycles
+from gondola.functions.cycles import cycle_of_month
 from gondola.functions.text import matches
 from gondola.sources.rollups import Rollups
 
@@ -86,20 +86,18 @@ def year_facet(ventas: DataFrame) -> DataFrame:
 # --- single-table filters ---------------------------------------------------------------------
 
 def filter_months(df: DataFrame, spec: FilterSpec) -> DataFrame:
-    """Months ∩ years ∩ months of the chosen cycles.
-
-    Months and years are predicates on the partition column, so they prune folders at planning
-    time; the cycle choice is a semi-join with the fixed calendar (at most 40 months), which
-    prunes partitions at run time.
-    """
+    """Months ∩ years ∩ months of the chosen cycles: predicates on the partition column only, so
+    they prune month folders at planning time."""
     df = _one_of(df, "Anio_mes", spec.months)
     if spec.years:
         df = df.where(F.substring("Anio_mes", 1, 4).isin(list(spec.years)))
     if spec.cycle_years or spec.cycle_numbers:
-        months = month_cycles(cycle_calendar(df.sparkSession))
-        months = _one_of(months, "CicloAno_mes", spec.cycle_years)
-        months = _one_of(months, "ciclo", spec.cycle_numbers)
-        df = df.join(F.broadcast(months.select("Anio_mes")), "Anio_mes", "left_semi")
+        chosen = [
+            month for month, cycle in cycle_of_month().items()
+            if (not spec.cycle_years or cycle in spec.cycle_years)
+            and (not spec.cycle_numbers or cycle.split("-")[0] in spec.cycle_numbers)
+        ]
+        df = df.where(F.col("Anio_mes").isin(chosen))
     return df
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gondola.operators.normalize import normalize_lines
 from gondola.operators.rollup import build_rollup
 from gondola.schema import MONTH, ROLLUPS, rollup_schema
+from gondola.sources.lines import scan_sales_csv
 from gondola.sources.rollups import read_rollup
 
 
@@ -38,12 +40,20 @@ def write_rollups(lines: DataFrame, folder: str, replace_months: bool = False) -
     """All five rollups.  ``productos`` comes from the stored ``promo_prod``: summing a table that
     is already grouped by a superset of its keys replaces another pass over the lines."""
     spark = lines.sparkSession
+    months = lines.select(MONTH).distinct()
     for name in ROLLUPS:
-        if name != "productos":
-            write_rollup(build_rollup(lines, name), folder, name, replace_months)
+        if name == "productos":
+            continue
+        table = build_rollup(lines, name)
+        if name == "tickets" and replace_months:
+            # A month whose lines all lack a store has no ticket row, and its folder would keep
+            # the old ones.  A row without a store makes the write replace it; readers drop it.
+            empty = months.select(MONTH, F.expr("CAST(NULL AS STRING) AS Tiendas"),
+                                  F.expr("0L AS n_tickets"), F.expr("0L AS n_tkt_promo"))
+            table = table.unionByName(empty)
+        write_rollup(table, folder, name, replace_months)
     by_flag = read_rollup(spark, folder, "promo_prod")
     if replace_months:
-        months = lines.select(MONTH).distinct()
         by_flag = by_flag.join(months, MONTH, "left_semi")
     write_rollup(build_rollup(by_flag, "productos"), folder, "productos", replace_months)
 
@@ -61,6 +71,10 @@ def merge_batch(lines: DataFrame, folder: str) -> list[str]:
     return months
 
 
-def read_months(spark: SparkSession, folder: str, name: str, months: list[str]) -> DataFrame:
-    """A rollup restricted to some months (partition pruning)."""
-    return read_rollup(spark, folder, name).where(F.col(MONTH).isin(months))
+def ingest(spark: SparkSession, csv_path: str, folder: str, staging: str) -> list[str]:
+    """Raw line files to rollups: parse once into ``staging``, then merge the months they hold.
+
+    Works for the first load and for every later batch alike.
+    """
+    lines = stage_lines(normalize_lines(scan_sales_csv(spark, csv_path)), staging)
+    return merge_batch(lines, folder)

@@ -39,6 +39,8 @@ def read_rollup(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if name == "productos":
         # Tables written before the list price existed fall back to net revenue.
         table = table.withColumn("Precio_x_Cant", F.coalesce("Precio_x_Cant", "Importe"))
+    if name == "tickets":
+        table = table.where(F.col("Tiendas").isNotNull())  # see sinks.rollups.write_rollups
     return table.select(*schema.names)
 
 
