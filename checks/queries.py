@@ -205,7 +205,7 @@ def n07(tb: Testbed) -> DataFrame:
 
 
 def n08(tb: Testbed) -> DataFrame:
-    rows = _csv_lines(tb).select(F.trim("Tiendas").alias("Tiendas"))
+    rows = norm.with_store_code(_csv_lines(tb))
     return rows.groupBy("Tiendas").agg(F.count(F.lit(1)).alias("lineas"))
 
 
@@ -623,7 +623,7 @@ ANALYTICS: dict[str, Callable[[Testbed], DataFrame]] = {
         _catalog_rows(tb)),
     "p52_unsold_promos": _unsold,
     "p53_catalog_coverage": lambda tb: promotions.catalog_coverage(
-        _catalog_rows(tb), _unsold(tb), catalog(tb.spark)),
+        _r(tb, "sku_por_promo"), catalog(tb.spark)),
     "p54_yoy_totals": lambda tb: yoy.yoy_totals(_r(tb, "yoy_mes")),
     "p55_yoy_by_category": lambda tb: yoy.yoy_by_category(_r(tb, "yoy_cat"), _r(tb, "yoy_mes")),
     "p56_sku_best": lambda tb: skus.best(_skus(tb)),

@@ -42,6 +42,15 @@ class FilterSpec:
     def by_store_attribute(self) -> bool:
         return bool(self.regions or self.communes or self.formats or self.segments)
 
+    def narrows_sales(self) -> bool:
+        """Whether sales are cut by anything but month and category.
+
+        Those two cut the product tables in the same way, and both come from the same lines, so
+        without a further choice the sales cannot lack a (month, category) the products have.
+        """
+        plain = replace(self, months=(), years=(), cycle_years=(), cycle_numbers=(), categories=())
+        return not plain.is_empty()
+
     def by_product(self) -> bool:
         return bool(self.products or _text(self.product_text) or _text(self.product_code_text))
 
@@ -114,7 +123,7 @@ def stores_with(stores: DataFrame, spec: FilterSpec) -> DataFrame:
                            ("Formato", spec.formats), ("Segmento", spec.segments)):
         if column in stores.columns:
             chosen = _one_of(chosen, column, values)
-    return chosen.select(F.col("FileCORR").cast("string").alias("Tiendas")).distinct()
+    return chosen.select(F.col("FileCORR").cast("string").alias("Tiendas"))
 
 
 def filter_stores(df: DataFrame, spec: FilterSpec, chosen: DataFrame | None) -> DataFrame:
@@ -142,16 +151,23 @@ def complete(df: DataFrame, columns: list[str]) -> DataFrame:
 
 # --- cross-filters ----------------------------------------------------------------------------
 
-def matching(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys occur in ``other``; a NULL key matches a NULL key.
+def measured(keys: DataFrame) -> tuple[DataFrame, int]:
+    """A distinct key set, computed now, and its size.
 
-    The other side is reduced to its distinct keys first.  No broadcast is forced: adaptive
-    execution turns the join into a broadcast once it has measured that side.
+    Once it is cached Spark plans with its true size: joins on it broadcast while it is under the
+    broadcast threshold and shuffle beyond that, and a side filtered by a small key set is not
+    shuffled at all.  Left to estimates, the large side would be shuffled before the small one had
+    been measured.  A lost executor recomputes its part of the set.
     """
-    wanted = other.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    keys = keys.distinct().persist()
+    return keys, keys.count()
+
+
+def matching(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose values in the columns of ``wanted`` occur there; NULL matches NULL."""
     condition: Column = F.lit(True)
-    for k in keys:
-        condition = condition & df[k].eqNullSafe(wanted[f"_{k}"])
+    for name in wanted.columns:
+        condition = condition & df[name].eqNullSafe(wanted[name])
     return df.join(wanted, condition, "left_semi")
 
 
@@ -165,21 +181,20 @@ def apply_filters(
 
     The store table lacks products and the product table lacks stores, so each choice travels to
     the other tables through their common key (month, category).  A side that comes out empty
-    does not filter the others, unless ``allow_empty`` is set; finding that out costs one
-    first-row job per check, and only where the specification makes the check necessary.
-    The daily rollup is not filtered.
+    does not filter the others, unless ``allow_empty`` is set.  The key sets are computed here,
+    one job each, and only where the specification makes them necessary; the returned tables are
+    lazy.  The daily rollup is not filtered.
     """
     if spec.is_empty():
-        # Nothing chosen: all tables come from the same lines, so no key can be missing.
         return tables
 
-    def usable(side: DataFrame) -> bool:
-        return allow_empty or not side.isEmpty()
+    def usable(size: int) -> bool:
+        return allow_empty or size > 0
 
     chosen = None
     if spec.by_store_attribute():
-        chosen = stores_with(stores, spec)
-        chosen = chosen if usable(chosen) else None
+        codes, size = measured(stores_with(stores, spec))
+        chosen = codes if usable(size) else None
 
     ventas = filter_months(tables.ventas, spec)
     for column, values in (("Categoria", spec.categories), ("Tipo", spec.types),
@@ -195,16 +210,24 @@ def apply_filters(
 
     tickets = filter_stores(filter_months(tables.tickets, spec), spec, chosen)
 
-    if (spec.by_store_attribute() or spec.stores) and usable(ventas):
-        productos = matching(productos, ventas, _MONTH_CATEGORY)
-    if spec.by_product() and usable(productos):
-        ventas = matching(ventas, productos, _MONTH_CATEGORY)
-        tickets = matching(tickets, productos, ["Anio_mes"])
+    sold = None  # (month, category) of the filtered sales, while nothing changes them
+    if spec.by_store_attribute() or spec.stores:
+        sold, size = measured(ventas.select(*_MONTH_CATEGORY))
+        if usable(size):
+            productos = matching(productos, sold)
+    if spec.by_product():
+        keys, size = measured(productos.select(*_MONTH_CATEGORY))
+        if usable(size):
+            ventas, sold = matching(ventas, keys), None
+            tickets = matching(tickets, keys.select("Anio_mes").distinct())
 
     promo_prod = _one_of(filter_months(tables.promo_prod, spec), "Categoria", spec.categories)
     promo_prod = filter_products(promo_prod, spec)
-    if usable(ventas):
-        promo_prod = matching(promo_prod, ventas, _MONTH_CATEGORY)
+    if spec.narrows_sales():
+        if sold is None:
+            sold, size = measured(ventas.select(*_MONTH_CATEGORY))
+        if usable(size):
+            promo_prod = matching(promo_prod, sold)
 
     return tables.with_tables(
         ventas=ventas, productos=productos, tickets=tickets, promo_prod=promo_prod

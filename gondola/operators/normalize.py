@@ -68,15 +68,24 @@ def with_line_order(lines: DataFrame) -> DataFrame:
     return lines.withColumn("Orden", (offset + row).cast("decimal(38,0)")).drop("Bloque")
 
 
+def with_store_code(lines: DataFrame) -> DataFrame:
+    """Trimmed store code; a missing store stays NULL.  Done once, before the rollups are written,
+    so that a store filter on a rollup is a plain comparison the scan can use."""
+    return lines.withColumn("Tiendas", strip(F.col("Tiendas")))
+
+
 def normalize_lines(raw: DataFrame) -> DataFrame:
     """The whole row-level path: narrow, no shuffle, one code-generated stage."""
-    lines = with_promo_flag(with_amounts(with_dates(dated_lines(raw))))
+    lines = with_promo_flag(with_amounts(with_dates(with_store_code(dated_lines(raw)))))
     return attach_cycle(with_line_order(lines)).drop("Fecha_raw")
 
 
 def in_model(category: Column) -> Column:
-    """False for excluded categories; a NULL category stays in the model."""
-    return F.coalesce(~category.isin(EXCLUDED_CATEGORIES), F.lit(True))
+    """False for excluded categories; a NULL category stays in the model.
+
+    Spelled as an OR because that form is pushed into the parquet scan, unlike ``coalesce``.
+    """
+    return category.isNull() | ~category.isin(EXCLUDED_CATEGORIES)
 
 
 def promo_code_parts(code: Column) -> dict[str, Column]:
@@ -101,19 +110,16 @@ def promo_code_parts(code: Column) -> dict[str, Column]:
 
 
 def model_tables(stored: Rollups) -> Rollups:
-    """Stored rollups as the reports see them: exclusions, clean store codes, promo-code parts.
+    """Stored rollups as the reports see them: exclusions, promo-code parts, cycle of the month.
 
     Tickets and the daily table carry no exclusion, as they must cover every sale.
     """
     def kept(table: DataFrame) -> DataFrame:
         return table.where(in_model(F.col("Categoria")))
 
-    store = F.trim(F.col("Tiendas"))
-    ventas = kept(stored.ventas).withColumn("Tiendas", store)
-    ventas = attach_cycle(ventas.withColumns(promo_code_parts(F.col("Cod_promo"))))
+    ventas = kept(stored.ventas).withColumns(promo_code_parts(F.col("Cod_promo")))
     return stored.with_tables(
-        ventas=ventas,
+        ventas=attach_cycle(ventas),
         productos=kept(stored.productos),
         promo_prod=kept(stored.promo_prod),
-        tickets=stored.tickets.withColumn("Tiendas", store),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gondola.functions import bands
 from gondola.functions.measures import over
 from gondola.operators.filters import between
-from gondola.plans.overview import one_row
+from gondola.functions.whole import one_row
 from gondola.plans.reports import sorted_by
 
 _PRODUCT = ["Producto", "Categoria"]

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gondola.functions import bands
 from gondola.functions.measures import over
 from gondola.operators.filters import between, complete
-from gondola.plans.overview import one_row
+from gondola.functions.whole import beside
 from gondola.plans.promotions import month_matrix
 from gondola.plans.reports import sorted_by
 
@@ -17,11 +17,12 @@ _PRODUCT = ["Producto", "Categoria"]
 def margin_matrix(mg_cat_mes: DataFrame, months: list[str]) -> DataFrame:
     """Category by month margins, best row mean first; rows without any margin are left out.
 
-    The mean is taken before the pivot, in the same aggregation shape, and joined on category.
+    The mean is read off the row's own month columns, so the report is aggregated once.
     """
-    means = mg_cat_mes.groupBy("Categoria").agg(F.avg("Mg_pct").alias("Media"))
     wide = month_matrix(mg_cat_mes, "Categoria", "Mg_pct", months)
-    rows = wide.join(means.where("Media IS NOT NULL"), "Categoria")
+    known = F.filter(F.array(*[F.col(f"`{m}`") for m in months]), lambda x: x.isNotNull())
+    mean = over(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known))
+    rows = wide.withColumn("Media", mean).where("Media IS NOT NULL")
     return sorted_by(rows, "-Media", ["Categoria"])
 
 
@@ -31,8 +32,7 @@ def margin_trend(mg_cat_mes: DataFrame) -> DataFrame:
     The first month of the second half is a scalar taken from the sorted list of months, whose
     length is bounded by the calendar.  With fewer than two months there is no trend.
     """
-    months = one_row(mg_cat_mes.agg(F.sort_array(F.collect_set("Anio_mes")).alias("m")))
-    listed = months.getField("m")
+    listed = beside(mg_cat_mes, m=F.sort_array(F.collect_set("Anio_mes"))).getField("m")
     half = F.floor(F.size(listed) / 2).cast("int")
     cut = F.when(F.size(listed) >= 2, F.try_element_at(listed, half + 1))
     late = F.col("Anio_mes") >= F.col("_corte")
@@ -72,8 +72,7 @@ def promo_intensity(cat_promo_cross: DataFrame) -> DataFrame:
 
     The exact median holds one value per category, a dimension of the assortment.
     """
-    middle = one_row(cat_promo_cross.agg(
-        F.median("Mix_promo").alias("mix"), F.median("Mg_pct").alias("mg")))
+    middle = beside(cat_promo_cross, mix=F.median("Mix_promo"), mg=F.median("Mg_pct"))
     rows = cat_promo_cross.withColumns({
         "Mediana_mix": middle.getField("mix"),
         "Mediana_mg": middle.getField("mg"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gondola.functions import bands
-from gondola.plans.overview import one_row
+from gondola.functions.whole import beside
 from gondola.plans.reports import sorted_by
 
 _PRODUCT = ["Producto", "Codigo", "Categoria"]
@@ -26,10 +26,7 @@ def portfolio(prod_mg: DataFrame) -> DataFrame:
     ``prod_mg`` is a limited report, so the exact median holds a bounded number of values.
     """
     sold = prod_mg.where("Ingresos > 0")
-    middle = one_row(sold.agg(
-        F.median(F.col("Unidades").cast("double")).alias("und"),
-        F.median("Mg_pct").alias("mg"),
-    ))
+    middle = beside(sold, und=F.median(F.col("Unidades").cast("double")), mg=F.median("Mg_pct"))
     units = F.col("Unidades").cast("double")
     return sold.select(
         *_PRODUCT, "Unidades", "Mg_pct", "Ingresos", "Margen",

@@ -6,23 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gondola.functions import bands
 from gondola.functions.measures import over
+from gondola.functions.whole import one_row, share_of_total
 from gondola.plans.reports import sorted_by
 
 
-def one_row(df: DataFrame, *columns: str) -> Column:
-    """A one-row frame as a scalar struct, for use beside the rows of another frame."""
-    return df.select(F.struct(*(columns or df.columns))).scalar()
-
-
-def share_of_total(df: DataFrame, column: str) -> Column:
-    """A value over its total across all rows.
-
-    The total is a scalar subquery: partial sums per task, one number back.  An unpartitioned
-    window would pull every row into one task instead.
-    """
-    return over(F.col(column), df.agg(F.sum(column)).scalar())
-
-
 def _or_zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0.0))
 

@@ -9,7 +9,7 @@ from gondola.functions.cycles import attach_cycle
 from gondola.functions.measures import over
 from gondola.functions.text import code_cycle, matches, normalized_code, promo_label
 from gondola.operators.rollup import period
-from gondola.plans.overview import one_row, share_of_total
+from gondola.functions.whole import beside, one_row, share_of_total
 from gondola.plans.reports import sorted_by
 
 _PROMO_ROW = ["Promo", "Cod_promo", "Categoria"]
@@ -110,7 +110,7 @@ def penetration_matrix(penetracion_cat_mes: DataFrame, months: list[str]) -> Dat
     """Category by month, a missing month as 0, highest row mean first."""
     wide = month_matrix(penetracion_cat_mes, "Categoria", "Penetracion", months, 0)
     # Months nobody sold in are not columns of the matrix the mean is taken over.
-    present = penetracion_cat_mes.agg(F.countDistinct("Anio_mes")).scalar()
+    present = beside(penetracion_cat_mes, n=F.countDistinct("Anio_mes")).getField("n")
     row_sum = sum((F.col(f"`{m}`") for m in months), F.lit(0.0))
     return sorted_by(wide.withColumn("Media", over(row_sum, present)), "-Media", ["Categoria"])
 
@@ -156,13 +156,18 @@ def with_catalog(
     """Pack size and format of each promo row; pack 1 where the catalogue has no such code.
 
     The catalogue holds one row per code, so rows keep their number.  It is not hinted: Spark
-    broadcasts it while its measured size allows and shuffles it beyond that.
+    broadcasts it while its size allows and shuffles it beyond that, where adaptive execution
+    splits a code that many rows share.
     """
+    return _packed(rows, catalog, no_format, normalize).drop("_codigo")
+
+
+def _packed(rows: DataFrame, catalog: DataFrame, no_format: str, normalize: bool) -> DataFrame:
+    """As ``with_catalog``, keeping the matched catalogue code."""
     code = normalized_code(F.col("Cod_promo")) if normalize else F.col("Cod_promo")
     packs = catalog.select(F.col("Cod_promo").alias("_codigo"), "Formato_promo",
                            "Unidades_por_promo")
-    joined = rows.join(packs, code == F.col("_codigo"), "left").drop("_codigo")
-    return joined.withColumns({
+    return rows.join(packs, code == F.col("_codigo"), "left").withColumns({
         "Unidades_por_promo": F.coalesce("Unidades_por_promo", F.lit(1)),
         "Formato_promo": F.coalesce("Formato_promo", F.lit(no_format)),
     })
@@ -215,7 +220,7 @@ def promo_ranking(
         rows = rows.where(matches(F.col("Promo"), text.strip()))
     packed = with_catalog(rows, catalog, "–", normalize)
     packed = packed.withColumn("Transacciones", _whole_transactions())
-    totals = one_row(packed.agg(F.sum("Unidades").alias("und"), F.sum("Transacciones").alias("tr")))
+    totals = beside(packed, und=F.sum("Unidades"), tr=F.sum("Transacciones"))
 
     def share(column: str, whole: Column) -> Column:
         return F.when(whole > 0, over(F.col(column), whole)).otherwise(F.lit(0.0))
@@ -259,24 +264,26 @@ def unsold_promos(catalog: DataFrame, sku_por_promo: DataFrame) -> DataFrame:
     return sorted_by(out, "Ciclo", ["Codigo"])
 
 
-def catalog_coverage(transactions: DataFrame, unsold: DataFrame, catalog: DataFrame) -> DataFrame:
+def catalog_coverage(sku_por_promo: DataFrame, catalog: DataFrame) -> DataFrame:
     """Planned, sold and unsold promos, and their ratio.
 
     ``Cobertura`` counts every sold code, planned or not; ``Cobertura_catalogo`` only planned ones.
     """
-    code = normalized_code(F.col("Cod_promo"))
-    sold = transactions.agg(
-        F.countDistinct(code).alias("Con_venta"),
-        F.coalesce(F.sum("Transacciones_promo"), F.lit(0)).alias("Transacciones"),
+    sold = _packed(sku_por_promo, catalog, "Sin catalogo", normalize=True).agg(
+        F.countDistinct(normalized_code(F.col("Cod_promo"))).alias("Con_venta"),
+        F.countDistinct("_codigo").alias("_planeadas"),
+        F.coalesce(F.sum(_whole_transactions()), F.lit(0)).alias("Transacciones"),
     )
-    planned = catalog.agg(F.count(F.lit(1))).scalar()
-    missing = unsold.agg(F.count(F.lit(1))).scalar()
-    out = sold.withColumns({"Planificadas": planned, "Sin_venta": missing})
     n = F.col("Planificadas")
-    return out.withColumns({
-        "Cobertura": F.coalesce(over(F.col("Con_venta"), n), F.lit(0.0)),
-        "Cobertura_catalogo": F.coalesce(over(n - F.col("Sin_venta"), n), F.lit(0.0)),
-    })
+    return (
+        sold.withColumn("Planificadas", catalog.agg(F.count(F.lit(1))).scalar())
+        .withColumns({
+            "Sin_venta": n - F.col("_planeadas"),
+            "Cobertura": F.coalesce(over(F.col("Con_venta"), n), F.lit(0.0)),
+            "Cobertura_catalogo": F.coalesce(over(F.col("_planeadas"), n), F.lit(0.0)),
+        })
+        .drop("_planeadas")
+    )
 
 
 # --- modality and evolution -------------------------------------------------------------------

@@ -17,6 +17,7 @@ from gondola.functions.measures import measures, over, total
 from gondola.functions.text import (
     category_label, mechanic, or_dash, product_label, promo_label,
 )
+from gondola.functions.whole import beside
 from gondola.operators.filters import only_promos
 from gondola.sources.rollups import Rollups
 
@@ -256,16 +257,12 @@ def ticket_by_month(tables: Rollups) -> DataFrame:
 
 
 def ticket_by_category(tables: Rollups) -> DataFrame:
-    """Promo revenue per category against all promo tickets and all promo revenue.
-
-    Both totals are scalar subqueries over already aggregated rows, so no task ever has to hold
-    the whole table as an unpartitioned window would.
-    """
+    """Promo revenue per category against all promo tickets and all promo revenue."""
     income = run_report(tables, Report(
         "ventas", "cat",
         "Ing_promo=Ing_con_codigo Ing_sin_promo=Ing_sin_codigo Ing_total=Ingresos"))
     promo_tickets = tables.tickets.agg(total("n_tkt_promo")).scalar()
-    all_promo = income.agg(total("Ing_promo")).scalar()
+    all_promo = beside(income, promo=total("Ing_promo")).getField("promo")
     out = income.withColumns({
         "Tkt_con_promo_ref": over(F.col("Ing_promo"), promo_tickets),
         "Ing_promo_total": all_promo,
@@ -284,7 +281,7 @@ def export_summary(tables: Rollups) -> DataFrame:
         "Margen", F.round(F.col("Mg_pct") * 100, 2).alias("Margen_pct"), "Descuento",
         "Promos_distintas",
     )
-    return sorted_by(out, "Anio_mes Tiendas Categoria")
+    return sorted_by(out, "Anio_mes Tiendas Categoria", ["Tipo", "Sistema"])
 
 
 def promo_drill_months(ventas: DataFrame, promo: str | None = None) -> DataFrame:

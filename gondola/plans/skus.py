@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gondola.operators.filters import complete
-from gondola.plans.overview import one_row
+from gondola.functions.whole import beside
 from gondola.plans.reports import sorted_by
 
 # Metrics a ranking can be ordered by; a low discount ranks first.
@@ -51,8 +51,7 @@ def selection_kpis(rows: DataFrame) -> DataFrame:
 def position_map(rows: DataFrame, metric: str = "Ingresos", n: int = 100) -> DataFrame:
     """First ``n`` of the ranking with the medians of revenue and margin among them."""
     first = complete(best(rows, metric, n), ["Mg_pct", "Ingresos"])
-    middle = one_row(first.agg(
-        F.median(F.col("Ingresos").cast("double")).alias("ing"), F.median("Mg_pct").alias("mg")))
+    middle = beside(first, ing=F.median(F.col("Ingresos").cast("double")), mg=F.median("Mg_pct"))
     return first.withColumns({
         "Mediana_ing": middle.getField("ing"),
         "Mediana_mg": middle.getField("mg"),
@@ -62,8 +61,7 @@ def position_map(rows: DataFrame, metric: str = "Ingresos", n: int = 100) -> Dat
 
 def tercile_table(rows: DataFrame, metric: str = "Ingresos") -> DataFrame:
     """The numbered ranking with a light at the 66 % and 33 % quantiles of the margin."""
-    cuts = one_row(rows.agg(
-        F.percentile("Mg_pct", 0.66).alias("hi"), F.percentile("Mg_pct", 0.33).alias("lo")))
+    cuts = beside(rows, hi=F.percentile("Mg_pct", 0.66), lo=F.percentile("Mg_pct", 0.33))
     margin = F.col("Mg_pct")
     light = (
         F.when(margin > cuts.getField("hi"), "OK").when(margin > cuts.getField("lo"), "MED")

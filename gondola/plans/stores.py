@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gondola.functions.measures import over
+from gondola.functions.whole import beside
 from gondola.operators.filters import complete
 from gondola.plans.reports import sorted_by
 
@@ -34,6 +35,6 @@ def store_scatter(ranking: DataFrame) -> DataFrame:
 
 def category_coverage(cobertura_prod: DataFrame) -> DataFrame:
     """Stores per category against the best covered category."""
-    most = cobertura_prod.agg(F.max("N_tiendas")).scalar()
+    most = beside(cobertura_prod, n=F.max("N_tiendas")).getField("n")
     out = cobertura_prod.withColumn("Cobertura_pct", over(F.col("N_tiendas"), most))
     return sorted_by(out, "-N_tiendas", ["Categoria"])

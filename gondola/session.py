@@ -24,6 +24,7 @@ def local_session(app: str = "gondola", cores: str | int = "*", **conf: str) ->
         **DEFAULTS,
         "spark.sql.shuffle.partitions": str(parallelism),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         **conf,
     }

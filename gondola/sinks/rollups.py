@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gondola.operators.normalize import normalize_lines
@@ -37,13 +39,16 @@ def stage_lines(lines: DataFrame, folder: str) -> DataFrame:
 
 
 def write_rollups(lines: DataFrame, folder: str, replace_months: bool = False) -> None:
-    """All five rollups.  ``productos`` comes from the stored ``promo_prod``: summing a table that
-    is already grouped by a superset of its keys replaces another pass over the lines."""
+    """All five rollups.
+
+    The four that read the lines are independent jobs and are submitted together, so the slow last
+    tasks of one overlap with the next.  ``productos`` then comes from the stored ``promo_prod``:
+    summing a table already grouped by a superset of its keys replaces another pass over the lines.
+    """
     spark = lines.sparkSession
     months = lines.select(MONTH).distinct()
-    for name in ROLLUPS:
-        if name == "productos":
-            continue
+
+    def write(name: str) -> None:
         table = build_rollup(lines, name)
         if name == "tickets" and replace_months:
             # A month whose lines all lack a store has no ticket row, and its folder would keep
@@ -52,6 +57,11 @@ def write_rollups(lines: DataFrame, folder: str, replace_months: bool = False) -
                                   F.expr("0L AS n_tickets"), F.expr("0L AS n_tkt_promo"))
             table = table.unionByName(empty)
         write_rollup(table, folder, name, replace_months)
+
+    from_lines = [name for name in ROLLUPS if name != "productos"]
+    with ThreadPoolExecutor(len(from_lines)) as pool:
+        list(pool.map(write, from_lines))  # list() re-raises the first failure
+
     by_flag = read_rollup(spark, folder, "promo_prod")
     if replace_months:
         by_flag = by_flag.join(months, MONTH, "left_semi")

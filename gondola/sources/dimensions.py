@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gondola.functions.text import drop_na_tokens, normalized_code, strip
 from gondola.schema import CATALOG_COLUMNS, catalog_schema, store_schema
@@ -66,17 +66,20 @@ def load_catalog(spark: SparkSession, path: str, override: str | None = None) ->
     pack = F.coalesce(text("Unidades_por_promo").try_cast("double").cast("int"), F.lit(1))
     rows = table.select(
         normalized_code(text("Cod_promo")).alias("Cod_promo"),
-        text("Nom_promo").alias("Nom_promo"),
-        text("Formato_promo").alias("Formato_promo"),
-        pack.alias("Unidades_por_promo"),
-        F.col("_metadata.file_path").alias("_archivo"),
-        F.col("_metadata.file_block_start").alias("_bloque"),
-        F.monotonically_increasing_id().alias("_fila"),
-    )
-    first = Window.partitionBy("Cod_promo").orderBy("_archivo", "_bloque", "_fila")
-    return (
-        rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*CATALOG_COLUMNS)
+        F.struct(
+            text("Nom_promo").alias("Nom_promo"),
+            text("Formato_promo").alias("Formato_promo"),
+            pack.alias("Unidades_por_promo"),
+        ).alias("fila"),
+        F.struct(
+            F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+            F.monotonically_increasing_id(),
+        ).alias("_posicion"),
     )
+    # The first row of a code, by position in the file.  An aggregation keeps one candidate per
+    # task and code, so a code repeated millions of times does not pile up in one task.
+    first = rows.groupBy("Cod_promo").agg(F.min_by("fila", "_posicion").alias("fila"))
+    return first.select("Cod_promo", "fila.*").select(*CATALOG_COLUMNS)
 
 
 def load_stores(spark: SparkSession, path: str) -> DataFrame:
