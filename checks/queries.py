@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from gondola.functions import text
-from gondola.functions.cycles import cycle_calendar, month_cycles, week_label
+from gondola.functions.cycles import attach_cycle, cycle_calendar, month_cycles, week_label
 from gondola.functions.measures import measures, over
 from gondola.operators import filters as flt
 from gondola.operators import normalize as norm
@@ -448,8 +448,8 @@ SOURCES_AND_ROWS: dict[str, Callable[[Testbed], DataFrame]] = {
         "Transaccion", "Cod_prod", "Fecha_raw"),
     "n02_month_and_day": lambda tb: _typed_lines(tb).groupBy("Anio_mes", "Fecha").agg(
         F.count(F.lit(1)).alias("lineas")),
-    "n03_week_label": lambda tb: _typed_lines(tb).groupBy("Fecha", "Semana").agg(
-        F.count(F.lit(1)).alias("lineas")),
+    "n03_week_label": lambda tb: norm.with_week(_typed_lines(tb).groupBy("Fecha").agg(
+        F.count(F.lit(1)).alias("lineas"))),
     "n04_numeric_text": lambda tb: _typed_lines(tb).select(
         "Transaccion", "Cod_prod", "Cantidad", "Precio", "Importe", "Costo_unit"),
     "n05_line_extensions": lambda tb: _typed_lines(tb).groupBy("Cod_prod").agg(
@@ -460,8 +460,8 @@ SOURCES_AND_ROWS: dict[str, Callable[[Testbed], DataFrame]] = {
     "n08_store_code": n08,
     "d01_cycle_calendar": d01,
     "d02_month_cycle": d02,
-    "d03_attach_cycle": lambda tb: tb.lines().groupBy("Anio_mes", "CicloAno_mes").agg(
-        F.count(F.lit(1)).alias("lineas")),
+    "d03_attach_cycle": lambda tb: attach_cycle(tb.lines().groupBy("Anio_mes").agg(
+        F.count(F.lit(1)).alias("lineas"))),
     "d04_promo_code_parts": d04,
     "d05_promo_mechanic": d05,
     **{

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gondola.functions.measures import over
 
@@ -12,6 +12,14 @@ def one_row(df: DataFrame, *columns: str) -> Column:
     return df.select(F.struct(*(columns or df.columns))).scalar()
 
 
+def over_limited(aggregate: Column) -> Column:
+    """An aggregate over all rows of a frame that a LIMIT has already cut to a few hundred rows.
+
+    Only for such frames: the window has no partition and runs in one task.
+    """
+    return aggregate.over(Window.partitionBy())
+
+
 def beside(df: DataFrame, **aggregates: Column) -> Column:
     """Aggregates over all rows of ``df``, as a scalar struct to use next to those rows.
 

@@ -26,14 +26,18 @@ def dated_lines(raw: DataFrame) -> DataFrame:
 
 
 def with_dates(lines: DataFrame) -> DataFrame:
-    """``Anio_mes``, ``Fecha`` (text slices) and ``Semana`` (ISO week label)."""
+    """``Anio_mes`` and ``Fecha``, cut out of the date text."""
     day = strip(F.col("Fecha_raw"))
     month = F.concat(F.substring(day, 1, 4), F.lit("-"), F.substring(day, 5, 2))
-    return (
-        lines.withColumn("Anio_mes", month)
-        .withColumn("Fecha", F.concat(month, F.lit("-"), F.substring(day, 7, 2)))
-        .withColumn("Semana", week_label(F.col("Fecha")))
-    )
+    return lines.withColumns({
+        "Anio_mes": month,
+        "Fecha": F.concat(month, F.lit("-"), F.substring(day, 7, 2)),
+    })
+
+
+def with_week(df: DataFrame) -> DataFrame:
+    """``Semana``, the ISO week label of ``Fecha``."""
+    return df.withColumn("Semana", week_label(F.col("Fecha")))
 
 
 def with_amounts(lines: DataFrame) -> DataFrame:
@@ -75,9 +79,13 @@ def with_store_code(lines: DataFrame) -> DataFrame:
 
 
 def normalize_lines(raw: DataFrame) -> DataFrame:
-    """The whole row-level path: narrow, no shuffle, one code-generated stage."""
+    """The whole row-level path: narrow, no shuffle, one code-generated stage.
+
+    Week and cycle are functions of the date, so they are added to rolled-up rows (a few thousand
+    dates) rather than to every line.
+    """
     lines = with_promo_flag(with_amounts(with_dates(with_store_code(dated_lines(raw)))))
-    return attach_cycle(with_line_order(lines)).drop("Fecha_raw")
+    return with_line_order(lines).drop("Fecha_raw")
 
 
 def in_model(category: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gondola.functions.cycles import attach_cycle
+from gondola.operators.normalize import with_week
 from gondola.schema import MEASURES, ROLLUP_AMOUNT, ROLLUP_KEYS
 
 
@@ -21,6 +23,16 @@ def additive_rollup(lines: DataFrame, name: str) -> DataFrame:
     return lines.groupBy(*ROLLUP_KEYS[name]).agg(*_sums())
 
 
+def daily_rollup(lines: DataFrame) -> DataFrame:
+    """Rollup per day.  Month, week and cycle follow from the day, so the lines are grouped by the
+    day alone and the other three are added to the result."""
+    derived = ("Anio_mes", "Semana", "CicloAno_mes")
+    keys = [k for k in ROLLUP_KEYS["ventas_dia"] if k not in derived]
+    days = lines.groupBy(*keys).agg(*_sums())
+    days = attach_cycle(with_week(days.withColumn("Anio_mes", F.substring("Fecha", 1, 7))))
+    return days.select(*ROLLUP_KEYS["ventas_dia"], *MEASURES)
+
+
 def ticket_rollup(lines: DataFrame) -> DataFrame:
     """Tickets and promo tickets per month and store.
 
@@ -42,7 +54,9 @@ def ticket_rollup(lines: DataFrame) -> DataFrame:
 
 
 def build_rollup(source: DataFrame, name: str) -> DataFrame:
-    return ticket_rollup(source) if name == "tickets" else additive_rollup(source, name)
+    if name == "tickets":
+        return ticket_rollup(source)
+    return daily_rollup(source) if name == "ventas_dia" else additive_rollup(source, name)
 
 
 # Column that holds the period at each grain of the daily rollup.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gondola.functions import bands
-from gondola.functions.whole import beside
+from gondola.functions.whole import over_limited
 from gondola.plans.reports import sorted_by
 
 _PRODUCT = ["Producto", "Codigo", "Categoria"]
@@ -23,18 +23,18 @@ def bottom_margin(prod_mg: DataFrame, n: int = 15) -> DataFrame:
 def portfolio(prod_mg: DataFrame) -> DataFrame:
     """Quadrant of each product against the median margin and the median volume.
 
-    ``prod_mg`` is a limited report, so the exact median holds a bounded number of values.
+    ``prod_mg`` is a limited report, so the medians are taken over a bounded number of rows.
     """
-    sold = prod_mg.where("Ingresos > 0")
-    middle = beside(sold, und=F.median(F.col("Unidades").cast("double")), mg=F.median("Mg_pct"))
     units = F.col("Unidades").cast("double")
-    return sold.select(
+    rows = prod_mg.where("Ingresos > 0").withColumns({
+        "Mediana_und": over_limited(F.median(units)),
+        "Mediana_mg": over_limited(F.median("Mg_pct")),
+    })
+    quadrant = bands.quadrant(F.col("Mg_pct"), units, F.col("Mediana_mg"), F.col("Mediana_und"))
+    return rows.select(
         *_PRODUCT, "Unidades", "Mg_pct", "Ingresos", "Margen",
         F.greatest(F.col("Ingresos"), F.lit(0.01)).alias("Tamano"),
-        middle.getField("und").alias("Mediana_und"),
-        middle.getField("mg").alias("Mediana_mg"),
-        bands.quadrant(F.col("Mg_pct"), units, middle.getField("mg"), middle.getField("und"))
-        .alias("Cuadrante"),
+        "Mediana_und", "Mediana_mg", quadrant.alias("Cuadrante"),
     )
 
 

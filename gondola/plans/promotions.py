@@ -9,7 +9,7 @@ from gondola.functions.cycles import attach_cycle
 from gondola.functions.measures import over
 from gondola.functions.text import code_cycle, matches, normalized_code, promo_label
 from gondola.operators.rollup import period
-from gondola.functions.whole import beside, one_row, share_of_total
+from gondola.functions.whole import beside, one_row, over_limited
 from gondola.plans.reports import sorted_by
 
 _PROMO_ROW = ["Promo", "Cod_promo", "Categoria"]
@@ -234,11 +234,12 @@ def promo_ranking(
 
 def ranking_mix(ranking: DataFrame) -> DataFrame:
     """Each ranked row's share of the ranked revenue and transactions."""
+    def share(column: str) -> Column:
+        return over(F.col(column), over_limited(F.sum(column)))
+
     return ranking.select(
         *_PROMO_ROW, "Ingresos", "Transacciones",
-        share_of_total(ranking, "Ingresos").alias("Mix_ingresos"),
-        share_of_total(ranking, "Transacciones").alias("Mix_transacciones"),
-    )
+        share("Ingresos").alias("Mix_ingresos"), share("Transacciones").alias("Mix_transacciones"))
 
 
 def catalog_transactions(sku_por_promo: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gondola.operators.filters import complete
-from gondola.functions.whole import beside
+from gondola.functions.whole import over_limited
 from gondola.plans.reports import sorted_by
 
 # Metrics a ranking can be ordered by; a low discount ranks first.
@@ -51,22 +51,18 @@ def selection_kpis(rows: DataFrame) -> DataFrame:
 def position_map(rows: DataFrame, metric: str = "Ingresos", n: int = 100) -> DataFrame:
     """First ``n`` of the ranking with the medians of revenue and margin among them."""
     first = complete(best(rows, metric, n), ["Mg_pct", "Ingresos"])
-    middle = beside(first, ing=F.median(F.col("Ingresos").cast("double")), mg=F.median("Mg_pct"))
     return first.withColumns({
-        "Mediana_ing": middle.getField("ing"),
-        "Mediana_mg": middle.getField("mg"),
+        "Mediana_ing": over_limited(F.median(F.col("Ingresos").cast("double"))),
+        "Mediana_mg": over_limited(F.median("Mg_pct")),
         "Tamano": F.greatest(F.col("Unidades"), F.lit(0.01)),
     })
 
 
 def tercile_table(rows: DataFrame, metric: str = "Ingresos") -> DataFrame:
     """The numbered ranking with a light at the 66 % and 33 % quantiles of the margin."""
-    cuts = beside(rows, hi=F.percentile("Mg_pct", 0.66), lo=F.percentile("Mg_pct", 0.33))
+    high, low = (over_limited(F.percentile("Mg_pct", q)) for q in (0.66, 0.33))
     margin = F.col("Mg_pct")
-    light = (
-        F.when(margin > cuts.getField("hi"), "OK").when(margin > cuts.getField("lo"), "MED")
-        .otherwise("LOW")
-    )
+    light = F.when(margin > high, "OK").when(margin > low, "MED").otherwise("LOW")
     return rows.withColumns({"Nro": F.row_number().over(_numbering(metric)), "Semaforo": light})
 
 

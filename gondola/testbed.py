@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gondola.functions.cycles import attach_cycle, week_label
 from gondola.operators.normalize import model_tables
 from gondola.session import shared_folder
 from gondola.sinks.rollups import stage_lines, write_rollups
@@ -23,9 +22,9 @@ from gondola.sources.rollups import Rollups, read_rollups
 MONTHS = [f"{y}-{m:02d}" for y in range(2023, 2030) for m in range(1, 13)][:80]
 
 LINE_COLUMNS = [
-    "Fecha", "Semana", "Anio_mes", "CicloAno_mes", "Tiendas", "Transaccion", "Cod_prod",
-    "Nom_prod", "Categoria", "Cod_promo", "Nom_promo", "Tipo", "Sistema", "has_promo", "Orden",
-    "Importe", "Cantidad", "Precio_x_Cant", "Costo_total",
+    "Fecha", "Anio_mes", "Tiendas", "Transaccion", "Cod_prod", "Nom_prod", "Categoria",
+    "Cod_promo", "Nom_promo", "Tipo", "Sistema", "has_promo", "Orden", "Importe", "Cantidad",
+    "Precio_x_Cant", "Costo_total",
 ]
 
 
@@ -85,9 +84,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(l_extendedprice AS DECIMAL(18,4)) AS Precio_x_Cant",
         "CAST(l_extendedprice * (30 + l_partkey % 60) / 100 AS DECIMAL(18,4)) AS Costo_total",
     )
-    rows = rows.withColumn("Semana", week_label(F.col("Fecha")))
     rows = rows.withColumn("has_promo", F.col("Cod_promo").isNotNull().cast("int"))
-    return attach_cycle(rows).select(*LINE_COLUMNS)
+    return rows.select(*LINE_COLUMNS)
 
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gondola import normalize_lines, scan_sales_csv
-from gondola.operators.rollup import ticket_rollup
+from gondola.functions.cycles import attach_cycle
+from gondola.operators.normalize import with_week
+from gondola.operators.rollup import build_rollup, ticket_rollup
 
 
 def line(store="1", ticket="t", day="20240105", code="p1", name="Cola", cat="BEBIDAS", qty="1",
@@ -30,12 +32,12 @@ def by_code(df, *columns):
 
 
 def test_date_rules(load):
-    rows = by_code(load(a=[
+    rows = by_code(attach_cycle(with_week(load(a=[
         line(code="ok", day=" 20241230 "), line(code="short", day="2024123"),
         line(code="long", day="202412301"), line(code="impossible", day="20240230"),
         line(code="none", day=""), line(code="ancient", day="00010101"),
         line(code="words", day="AAAABBCC"),
-    ]), "Anio_mes", "Fecha", "Semana", "CicloAno_mes")
+    ]))), "Anio_mes", "Fecha", "Semana", "CicloAno_mes")
     assert rows == {
         "ok": ("2024-12", "2024-12-30", "2024-W01", "C6-2024"),
         "impossible": ("2024-02", "2024-02-30", "", "C1-2024"),
@@ -118,6 +120,14 @@ def test_hot_ticket(load):
     assert [tuple(r) for r in ticket_rollup(load(a=rows)).collect()] == [("2024-01", "1", 101, 1)]
 
 
+def test_daily_rollup_derives_period_columns_from_the_day(load):
+    days = build_rollup(load(a=[line(), line(net="1"), line(day="20240230", net="4")]), "ventas_dia")
+    rows = days.select("Fecha", "Semana", "Anio_mes", "CicloAno_mes", "Importe").collect()
+    assert sorted(tuple(r)[:4] + (int(r.Importe),) for r in rows) == [
+        ("2024-01-05", "2024-W01", "2024-01", "C1-2024", 10),
+        ("2024-02-30", "", "2024-02", "C1-2024", 4)]
+
+
 def test_store_code_is_trimmed_and_null_stays_null(load):
     rows = load(a=[line(code="a", store=" 12 "), line(code="b", store="NA")])
     assert by_code(rows, "Tiendas") == {"a": ("12",), "b": (None,)}
