@@ -164,6 +164,11 @@ def analytics() -> dict[str, str]:
             f"SELECT v.*, {_over('ing - costo', 'ing')} AS markup, tkt AS tickets, tiendas, "
             f"{_over('ing', 'tkt')} AS ticket_prom, {_over('ing_promo', 'ing')} AS mix_promo "
             "FROM r_kpis_v v, r_kpis_t"),
+        "p01_header_period": sql(
+            "Meses Primer_mes Ultimo_mes",
+            "SELECT COUNT(DISTINCT Anio_mes) AS Meses, MIN(Anio_mes) AS Primer_mes, "
+            "MAX(Anio_mes) AS Ultimo_mes FROM ventas WHERE left(Anio_mes, 4) IN ('2024', '2025') "
+            "AND Anio_mes IN (SELECT Anio_mes FROM meses_ciclo WHERE ciclo IN ('C2', 'C3'))"),
         "p02_monthly_evolution": sql(
             REPORT_COLUMNS["evol_v"] + " Tickets",
             "SELECT * FROM r_evol_v LEFT JOIN r_evol_t USING (Anio_mes)"),

@@ -532,6 +532,7 @@ REPORT_QUERIES: dict[str, Callable[[Testbed], DataFrame]] = {
 
 ANALYTICS: dict[str, Callable[[Testbed], DataFrame]] = {
     "p01_header_kpis": lambda tb: overview.header_kpis(_r(tb, "kpis_v"), _r(tb, "kpis_t")),
+    "p01_header_period": lambda tb: overview.period(tb.rollups().ventas, SPECS["f01"]),
     "p02_monthly_evolution": lambda tb: overview.monthly_evolution(
         _r(tb, "evol_v"), _r(tb, "evol_t")),
     "p03_category_health": lambda tb: overview.category_health(_r(tb, "treemap")),

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gondola.functions import bands
 from gondola.functions.measures import over
 from gondola.functions.whole import one_row, share_of_total
+from gondola.operators.filters import FilterSpec, filter_months
 from gondola.plans.reports import sorted_by
 
 
@@ -35,6 +36,16 @@ def header_kpis(kpis_v: DataFrame, kpis_t: DataFrame) -> DataFrame:
     )
 
 
+def period(ventas: DataFrame, spec: FilterSpec) -> DataFrame:
+    """First, last and number of months the specification leaves of the stored ones."""
+    months = filter_months(ventas.select("Anio_mes").distinct(), spec)
+    return months.agg(
+        F.count("Anio_mes").alias("Meses"),
+        F.min("Anio_mes").alias("Primer_mes"),
+        F.max("Anio_mes").alias("Ultimo_mes"),
+    )
+
+
 def monthly_evolution(evol_v: DataFrame, evol_t: DataFrame) -> DataFrame:
     return sorted_by(evol_v.join(evol_t, "Anio_mes", "left"), "Anio_mes")
 

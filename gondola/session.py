@@ -26,6 +26,8 @@ def local_session(app: str = "gondola", cores: str | int = "*", **conf: str) ->
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        # Small data on few cores: let adaptive execution keep several partitions of it.
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8MB",
         **conf,
     }
     for key, value in settings.items():
@@ -43,8 +45,12 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="gondola-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="gondola-")
+    return _LOCAL_FOLDERS[context.applicationId]
+
+
+_LOCAL_FOLDERS: dict[str, str] = {}

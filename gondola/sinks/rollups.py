@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gondola.operators.normalize import normalize_lines
 from gondola.operators.rollup import build_rollup
 from gondola.schema import MONTH, ROLLUPS, rollup_schema
-from gondola.sources.lines import scan_sales_csv
+from gondola.sources.lines import scan_sales_csv, spread
 from gondola.sources.rollups import read_rollup
 
 
@@ -86,5 +86,5 @@ def ingest(spark: SparkSession, csv_path: str, folder: str, staging: str) -> lis
 
     Works for the first load and for every later batch alike.
     """
-    lines = stage_lines(normalize_lines(scan_sales_csv(spark, csv_path)), staging)
+    lines = stage_lines(spread(normalize_lines(scan_sales_csv(spark, csv_path))), staging)
     return merge_batch(lines, folder)
