@@ -40,6 +40,14 @@ def timed(action) -> float:
     return time.perf_counter() - start
 
 
+def scale(sf_dir: str) -> float | str:
+    name = os.path.basename(sf_dir).removeprefix("sf")
+    try:
+        return float(name)
+    except ValueError:
+        return name
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cores = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
@@ -56,7 +64,7 @@ def main() -> None:
     print(json.dumps({
         "metric": "total_wall_clock", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": {name: round(t, 3) for name, t in times.items()},
-        "sf": os.path.basename(sf_dir).removeprefix("sf"), "cores": int(cores),
+        "sf": scale(sf_dir), "cores": int(cores),
         "spark": spark.version, "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
         "runs": RUNS,
     }))

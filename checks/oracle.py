@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import re
 
-from gondola.testbed import MONTHS
-
 # --- output types -----------------------------------------------------------------------------
 
 _SUMS = set("""
@@ -41,12 +39,18 @@ _COUNTS = set("""
 """.split())
 
 
+def _rounded(value: str) -> str:
+    """Six places, halves away from zero.  Rounding a DECIMAL decides a tie by the decimal digits,
+    as Spark does; rounding the DOUBLE would decide it by the binary error."""
+    return f"CAST(ROUND(CAST({value} AS DECIMAL(38,9)), 6) AS DOUBLE)"
+
+
 def _typed(column: str) -> str:
     name = column.strip('"')
     if name in _SUMS:
         return f"ROUND(CAST({column} AS DOUBLE), 4) AS {column}"
     if name in _RATIOS:
-        return f"ROUND(CAST({column} AS DOUBLE), 6) AS {column}"
+        return f"{_rounded(column)} AS {column}"
     if name in _COUNTS:
         return f"CAST({column} AS BIGINT) AS {column}"
     return column

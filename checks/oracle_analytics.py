@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from checks.oracle import MONTHS, REPORT_COLUMNS, _over, agg, sql, statement
+from checks.oracle import REPORT_COLUMNS, _over, _rounded, agg, sql, statement
+from gondola.testbed import MONTHS
 
 _DRILL = "COALESCE(NULLIF(trim(Nom_promo), ''), Cod_promo, '?') = 'Combo Brand#13'"
 
@@ -99,7 +100,10 @@ def _matrix(source: str, row: str, value: str, empty: str, extra: str = "") -> s
 
 
 def _month_columns(row: str, digits: int) -> str:
-    return f"{row}, " + ", ".join(f'ROUND(CAST("{m}" AS DOUBLE), {digits}) AS "{m}"' for m in MONTHS)
+    def value(month: str) -> str:
+        return f"ROUND(CAST({month} AS DOUBLE), 4)" if digits == 4 else _rounded(month)
+
+    return f"{row}, " + ", ".join(f'{value(chr(34) + m + chr(34))} AS "{m}"' for m in MONTHS)
 
 
 def _series(period: str, value: str, source: str, where: str = "TRUE", split: str = "") -> str:
@@ -228,7 +232,7 @@ def analytics() -> dict[str, str]:
             REPORT_COLUMNS["tiendas_v"] + " Tickets Tkt_promo Ticket_prom", _STORE_RANK),
         "p16_store_means": sql(
             "n Media_ing Mg_pct Mix_promo",
-            "SELECT COUNT(*) AS n, ROUND(AVG(CAST(Ingresos AS DOUBLE)), 6) AS Media_ing, "
+            f"SELECT COUNT(*) AS n, {_rounded('AVG(CAST(Ingresos AS DOUBLE))')} AS Media_ing, "
             f"AVG(Mg_pct) AS Mg_pct, AVG(Mix_promo) AS Mix_promo FROM ({_STORE_RANK})")
         .replace("SELECT n, Media_ing", "SELECT n AS Tiendas, Media_ing AS Ingresos", 1),
         "p16_store_scatter": sql(
@@ -270,7 +274,7 @@ def analytics() -> dict[str, str]:
         "p27_margin_matrix": _with_months(
             "SELECT * FROM (" + _matrix("r_mg_cat_mes", "Categoria", "Mg_pct", "NULL",
                                         ", AVG(Mg_pct) AS Media") + ") WHERE Media IS NOT NULL",
-            "Categoria", 6, ", ROUND(Media, 6) AS Media"),
+            "Categoria", 6, f", {_rounded('Media')} AS Media"),
         "p28_margin_trend": sql(
             "Categoria Mg_inicio Mg_fin Delta Tendencia",
             f"SELECT *, {half} FROM (SELECT *, Mg_fin - Mg_inicio AS Delta FROM ({_HALVES}) "
@@ -328,7 +332,7 @@ def analytics() -> dict[str, str]:
             _matrix("r_penetracion_cat_mes", "Categoria", "Penetracion", "0",
                     ", SUM(Penetracion) / (SELECT COUNT(DISTINCT Anio_mes) "
                     "FROM r_penetracion_cat_mes) AS Media"),
-            "Categoria", 6, ", ROUND(Media, 6) AS Media"),
+            "Categoria", 6, f", {_rounded('Media')} AS Media"),
         "p39_penetrated_products": sql(
             pen + " Mg_promo Mg_sin_promo",
             f"SELECT *, {margins} FROM (" + _top(
@@ -354,7 +358,7 @@ def analytics() -> dict[str, str]:
             "SELECT *, Und_total - Und_promo AS Und_sin_promo, "
             f"{_over('Und_promo', 'Und_total')} AS Penetracion FROM (SELECT SUM(Ingresos) AS Ing_promo, "
             "SUM(Unidades) AS Und_promo, COUNT(*) AS Filas_promo, "
-            "ROUND(SUM(CAST(Unidades AS DOUBLE) / Unidades_por_promo), 6) AS f, "
+            f"{_rounded('SUM(CAST(Unidades AS DOUBLE) / Unidades_por_promo)')} AS f, "
             "(SELECT SUM(Unidades_total) FROM r_pen_cat_v) AS Und_total "
             f"FROM ({_PACKED}))").replace(" f, ", " f AS Transacciones, ", 1),
         "p43_promo_ranking": sql(_RANK_OUT, _ranking("Transacciones", 20)),

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from checks.oracle import (
-    CTES, REPORT_COLUMNS, REPORT_SQL, _CODED, _I, _MECHANIC, _PROD, _PROMO, _code_parts, _over, _week,
-    agg, sql,
+    CTES, REPORT_COLUMNS, REPORT_SQL, _I, _MECHANIC, _code_parts, _week, agg, sql,
 )
 
 _SUMS4 = ("SUM(Importe) AS Importe, SUM(Cantidad) AS Cantidad, "
@@ -56,6 +55,7 @@ def _catalog_rows(where: str = "TRUE") -> str:
               FROM codigos WHERE {where} GROUP BY Cod_promo)"""
 
 
+_CRM = "Cod_promo LIKE '%-CRM'"
 _CATALOG_OUT = "Cod_promo Nom_promo Formato_promo Unidades_por_promo"
 
 
@@ -162,12 +162,11 @@ def rows_and_filters() -> dict[str, str]:
         "s07_export_products_csv": sql(
             "Anio_mes filas Ingresos",
             f"SELECT Anio_mes, COUNT(*) AS filas, SUM(Importe) AS Ingresos FROM "
-            f"({_rollup('productos', 'productos')}) WHERE "
-            + _CYCLE_MONTHS.format("CicloAno_mes = 'C2-2024'") + " GROUP BY 1"),
+            f"({_rollup('productos', 'productos')}) GROUP BY 1"),
         "s08_report_bundle": sql("tabla filas columnas Ingresos", _bundle()),
         "s09_catalog_override": sql(
             _CATALOG_OUT + " origen",
-            f"SELECT *, 'propio' AS origen FROM ({_catalog_rows(chr(34) + 'Cod_promo' + chr(34) + ' LIKE ' + chr(39) + '%-CRM' + chr(39))})"
+            f"SELECT *, 'propio' AS origen FROM ({_catalog_rows(_CRM)})"
             f" UNION ALL SELECT *, 'inexistente' FROM ({_catalog_rows()})"
             f" UNION ALL SELECT *, 'defecto' FROM ({_catalog_rows()})"),
         "n01_dated_lines": sql(

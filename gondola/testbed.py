@@ -152,6 +152,21 @@ def catalog(spark: SparkSession) -> DataFrame:
     )
 
 
+def _input_state(spark: SparkSession, sf_dir: str) -> str:
+    """Path, size and modification time of each input table."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    state = []
+    for table in _INPUTS:
+        path = hadoop.Path(f"{sf_dir}/{table}.parquet")
+        status = path.getFileSystem(conf).getFileStatus(path)
+        state.append(f"{path} {status.getLen()} {status.getModificationTime()}")
+    return "\n".join(state)
+
+
+_INPUTS = ["lineitem", "orders", "part", "supplier", "nation", "region"]
+
+
 @dataclass(frozen=True)
 class Testbed:
     """Derived tables of one input folder, written on first use."""
@@ -163,8 +178,10 @@ class Testbed:
 
     @property
     def folder(self) -> str:
+        """Named after the application and the state of the input files, so changed input is never
+        answered from tables derived earlier."""
         app = self.spark.sparkContext.applicationId
-        digest = hashlib.sha256(self.sf_dir.encode()).hexdigest()[:16]
+        digest = hashlib.sha256(_input_state(self.spark, self.sf_dir).encode()).hexdigest()[:16]
         return f"{shared_folder(self.spark)}/gondola/{app}/{digest}"
 
     def once(self, name: str, write: Callable[[str], None]) -> str:
