@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gondola.llm import bpe, exact, langid, mixing, simhash
+from gondola.llm import bpe, exact, langid, licenses, merkle, mixing, pii, simhash
 from gondola.llm.common import Scratch, word_count
 
 
@@ -87,6 +87,42 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, _documents(spark, sf_dir))
 
 
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and their likeness."""
+    return merkle.half_edited(_documents(spark, sf_dir))
+
+
+OP6_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, t AS text, length(t) AS n_chars, length(t) // 2 AS half,
+         coalesce(lead(t) OVER latest, first_value(t) OVER latest) AS next_text
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+  WINDOW latest AS (ORDER BY doc_id DESC NULLS LAST, t
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+texts AS (
+  SELECT *, substring(text, 1, n_chars - half) || substring(next_text, 1, half) AS edited FROM docs),
+versions AS (SELECT text AS t FROM texts UNION SELECT edited FROM texts),
+trees AS (
+  SELECT t, sha256(array_to_string(list_transform(
+           regexp_split_to_array(t, '\n[\x20\x09-\x0D]*\n'), lambda s: sha256(array_to_string(
+             list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), '')
+           || ':' || array_to_string(regexp_extract_all(t, '\n[\x20\x09-\x0D]*\n'), '|')) AS root,
+         list_distinct(regexp_extract_all(t, '(?:[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*){1,4}')) AS pieces
+  FROM versions),
+met AS (
+  SELECT x.*, a.root AS fingerprint, e.root AS edited_fingerprint, n.root AS next_fingerprint,
+         greatest(len(a.pieces), len(e.pieces)) AS most_edited, greatest(len(a.pieces), len(n.pieces)) AS most_next,
+         len(list_intersect(a.pieces, e.pieces)) AS same_edited, len(list_intersect(a.pieces, n.pieces)) AS same_next
+  FROM texts x JOIN trees a ON a.t = x.text JOIN trees e ON e.t = x.edited JOIN trees n ON n.t = x.next_text)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
+       CASE WHEN fingerprint = edited_fingerprint THEN 1.0::DOUBLE WHEN most_edited = 0 THEN 0.0::DOUBLE
+            ELSE same_edited::DOUBLE / most_edited END AS near_edited,
+       CASE WHEN fingerprint = next_fingerprint THEN 1.0::DOUBLE WHEN most_next = 0 THEN 0.0::DOUBLE
+            ELSE same_next::DOUBLE / most_next END AS near_next
+FROM met
+"""
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -94,15 +130,37 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", found.alias("found")).select("doc_id", "found.*")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License of every document: declared in its text, or inherited from the nearest directory."""
+    path = licenses.document_path(F.col("doc_id"), F.col("source"))
+    return licenses.scan(spark, _documents(spark, sf_dir).select("doc_id", "text", path.alias("path")))
+
+
+#: A fixed key, so that reruns agree; a user passes their own secret.
+PII_KEY = "pseudonyms of the registered query"
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by pseudonyms in the same format."""
+    rows = pii.pseudonymized(_documents(spark, sf_dir), PII_KEY)
+    return rows.select(F.col("row.doc_id").alias("doc_id"), F.size("found").cast("long").alias("found"),
+                       "replaced", F.sha2("new_text", 256).alias("text_sha256"),
+                       F.col("new_text").alias("text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
+    "op6_merkle": op6_merkle,
     "op8_bpe": op8_bpe,
+    "op9_licenses": op9_licenses,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
+    "op6_merkle": OP6_SQL,
 }
