@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gondola.llm import bpe, exact, langid, licenses, merkle, mixing, pii, simhash
+from gondola.llm import (
+    bpe, bytes_dedup, exact, langid, licenses, merkle, mixing, pii, simhash, substring,
+)
 from gondola.llm.common import Scratch, word_count
 
 
@@ -87,6 +89,18 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, _documents(spark, sf_dir))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that every document keeps when windows of 13 words stay in the smallest doc_id only."""
+    return substring.dedup(spark, _documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that every document keeps when strings of 50 bytes stay in the smallest doc_id only."""
+    return bytes_dedup.dedup(spark, _documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and their likeness."""
     return merkle.half_edited(_documents(spark, sf_dir))
@@ -153,7 +167,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
+    "op5_substrings": op5_substrings,
     "op6_merkle": op6_merkle,
+    "op7_suffix_array": op7_suffix_array,
     "op8_bpe": op8_bpe,
     "op9_licenses": op9_licenses,
     "op10_pii": op10_pii,
