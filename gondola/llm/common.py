@@ -37,8 +37,7 @@ class Scratch:
     """Tables of one operator run, in a folder of their own under the shared folder.
 
     Writing a table cuts the lineage: a lost executor only repeats reads of it.  ``write`` returns
-    the table as read back, and lets Spark remove the shuffle files of what led to it, which it does
-    once the driver has collected the plans that own them.
+    the table as read back.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -48,15 +47,17 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def write(self, name: str, df: DataFrame, release: bool = False) -> DataFrame:
+    def write(self, name: str, df: DataFrame) -> DataFrame:
         schema = df.schema
         df.write.option("compression", "zstd").parquet(self.path(name))
-        if release:
-            del df
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of plans that nothing refers to any more, now and not
+        when the driver next happens to collect its garbage.  To be called between steps."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Remove a table that no later step reads."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))

@@ -93,7 +93,7 @@ class Snapshot:
     @staticmethod
     def publish(scratch: Scratch, rows: DataFrame, digest: Digest = sha256,
                 shard_keys: int = SHARD_KEYS) -> Snapshot:
-        buckets = scratch.write("buckets", _classes(rows, digest), release=True)
+        buckets = scratch.write("buckets", _classes(rows, digest))
         shards = max(1, -(-buckets.count() // shard_keys))
         filters = buckets.select("digest", _shard(shards).alias("shard")).groupBy("shard").applyInPandas(
             _build_filter, "shard int, seed long, segment long, starts long, slots binary")
@@ -113,7 +113,7 @@ def _no_collision(classes: DataFrame) -> None:
 
 def _resolved(scratch: Scratch, batch: DataFrame, snapshot: Snapshot, digest: Digest) -> DataFrame:
     """(digest, keep_id, group_size) of every text of the batch and the snapshot."""
-    new = scratch.write("batch", _classes(batch, digest), release=True)
+    new = scratch.write("batch", _classes(batch, digest))
     _no_collision(new)
     _no_collision(snapshot.buckets)
     maybe = scratch.write("maybe", snapshot.screen(new))
@@ -122,7 +122,7 @@ def _resolved(scratch: Scratch, batch: DataFrame, snapshot: Snapshot, digest: Di
         F.col("top_id").alias("new_top"))
     met = hits.join(snapshot.buckets, "digest").select(
         "digest", (F.col("new_text") == F.col("text")).alias("same"), "new_n", "new_top", "n", "top_id")
-    met = scratch.write("met", met, release=True)
+    met = scratch.write("met", met)
     if not met.where("NOT same").isEmpty():
         raise DigestCollision
     both = met.select("digest", F.greatest("top_id", "new_top").alias("keep_id"),
@@ -144,6 +144,7 @@ def dedup(spark: SparkSession, published: DataFrame, batch: DataFrame,
         scratch = Scratch(spark, "exact")
         try:
             snapshot = Snapshot.publish(scratch, published, digest, shard_keys)
+            scratch.release()
             classes = _resolved(scratch, batch, snapshot, digest)
             break
         except DigestCollision:
@@ -156,7 +157,7 @@ def dedup(spark: SparkSession, published: DataFrame, batch: DataFrame,
         sha256(_text()).alias("text_sha256")))
     first = rows.groupBy("digest").agg(
         F.coalesce(F.max_by("row", "doc_id"), F.min("row")).alias("keep_row"))
-    classes = scratch.write("classes", classes.join(first, "digest"), release=True)
+    classes = scratch.write("classes", classes.join(first, "digest"))
     return rows.join(classes, "digest").select(
         "doc_id", "text_sha256", "keep_id", "group_size",
         (F.col("row") == F.col("keep_row")).alias("kept"))

@@ -140,7 +140,7 @@ def links(scratch: Scratch, nodes: DataFrame, bits: int = MAX_BITS, dense: int =
         raise ValueError("two segments with one wildcard find one or two differing bits")
     index = _index(nodes)
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    live = scratch.write("live", index.join(sizes, "key"), release=True)
+    live = scratch.write("live", index.join(sizes, "key"))
     found = _pairs(live.where(F.col("n") <= dense), bits).distinct()
     return found.unionByName(_dense_links(live.where(F.col("n") > dense), bits))
 
@@ -152,7 +152,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_W
     scratch = Scratch(spark, "simhash")
     prints = scratch.write("prints", docs.select("doc_id", fingerprints(F.col("text"), width).alias("fp")))
     nodes = scratch.write("nodes", prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges = scratch.write("edges", links(scratch, nodes.select("fp"), bits, dense), release=True)
+    edges = scratch.write("edges", links(scratch, nodes.select("fp"), bits, dense))
     roots = components(scratch, edges)
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -172,6 +172,6 @@ def representatives(spark: SparkSession, docs: DataFrame, **options) -> DataFram
     scratch = Scratch(spark, "simhash-rows")
     gone = found.where("component_id IS NOT NULL AND NOT component_id <=> doc_id").select(
         F.col("doc_id").alias("id")).distinct()
-    gone = scratch.write("gone", gone, release=True)
+    gone = scratch.write("gone", gone)
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id")
     return kept.join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti").select("row.*")

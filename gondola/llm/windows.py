@@ -143,7 +143,7 @@ def shared_anchors(scratch: Scratch, docs: DataFrame, units: Units) -> DataFrame
     rows = rows.repartition("route").sortWithinPartitions("route").mapInArrow(
         meeting, "key long, print long, anchor long")
     rows = rows.groupBy("key", "print").agg(F.collect_set("anchor").alias("anchors"))
-    return scratch.write("shared", rows, release=True)
+    return scratch.write("shared", rows)
 
 
 def stretches(scratch: Scratch, docs: DataFrame, shared: DataFrame, units: Units) -> DataFrame:
@@ -173,7 +173,7 @@ def stretches(scratch: Scratch, docs: DataFrame, shared: DataFrame, units: Units
     rows = _documents(docs).join(shared, ["key", "print"]).mapInArrow(
         cut, "anchor long, content binary, key long, print long, at int")
     rows = rows.withColumn("content_print", F.xxhash64("content"))
-    return scratch.write("stretches", rows, release=True)
+    return scratch.write("stretches", rows)
 
 
 def _split_windows(units: Units, windows_of: Callable[[bytes], list[bytes]]):
@@ -194,7 +194,8 @@ def least_holders(scratch: Scratch, rows: DataFrame, units: Units, windows_of: C
     smallest doc_id that has them, where some document is to lose them."""
     contents = rows.groupBy("anchor", "content_print", "content").agg(
         F.min("key").alias("lo"), F.max("key").alias("hi")).withColumn("skip", F.lit(0))
-    contents = scratch.write("contents", contents, release=True)
+    contents = scratch.write("contents", contents)
+    scratch.release()
     sums = contents.groupBy("anchor").agg(F.sum(F.length("content")).alias("bytes"),
                                           F.min("lo").alias("low"), F.max("hi").alias("high"))
     sums = scratch.write("anchors", sums.select(
@@ -230,7 +231,7 @@ def least_holders(scratch: Scratch, rows: DataFrame, units: Units, windows_of: C
 
     found = dealt.groupBy("shard").applyInPandas(
         match, "anchor long, content_print long, spans array<bigint>, least array<bigint>")
-    return scratch.write("least", found, release=True)
+    return scratch.write("least", found)
 
 
 def covered(spark: SparkSession, docs: DataFrame, units: Units, windows_of: Callable, matcher: Callable,
@@ -239,15 +240,19 @@ def covered(spark: SparkSession, docs: DataFrame, units: Units, windows_of: Call
     ship(spark)
     scratch = Scratch(spark, "windows")
     shared = shared_anchors(scratch, docs, units)
+    scratch.release()
     rows = stretches(scratch, docs, shared, units)
+    scratch.release()
     least = least_holders(scratch, rows, units, windows_of, matcher, shard_bytes)
+    scratch.release()
     own = F.zip_with("spans", "least", lambda s, low: F.when(low < F.col("key"), s + F.shiftleft(
         F.col("at").cast("long"), 32)))
     spans = rows.select("anchor", "content_print", "key", "print", "at").join(
         least, ["anchor", "content_print"]).select(
         "key", "print", F.filter(own, lambda s: s.isNotNull()).alias("spans")).where("size(spans) > 0")
     spans = spans.groupBy("key", "print").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-    spans = scratch.write("covered", spans, release=True)
+    spans = scratch.write("covered", spans)
+    scratch.release()
     for name in ("stretches", "contents", "least", "anchors", "shared"):
         scratch.drop(name)
     return spans
