@@ -74,18 +74,33 @@ _JOIN = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey
 _COST_CENTS = "(CAST(round(p_retailprice * 100) AS BIGINT) * (30 + l_partkey % 60) // 100)"
 _STORE = "CAST(o_custkey % (SELECT COUNT(*) FROM supplier) AS VARCHAR)"
 
-_CICLOS = """C5 2023 2023-09-06 2023-11-02, C6 2023 2023-11-03 2024-01-02,
-C1 2024 2024-01-03 2024-03-05, C2 2024 2024-03-06 2024-05-07, C3 2024 2024-05-08 2024-07-02,
-C4 2024 2024-07-03 2024-09-03, C5 2024 2024-09-04 2024-11-05, C6 2024 2024-11-06 2025-01-07,
-C1 2025 2025-01-08 2025-03-04, C2 2025 2025-03-05 2025-05-06, C3 2025 2025-05-07 2025-07-01,
-C4 2025 2025-07-02 2025-09-02, C5 2025 2025-09-03 2025-11-04, C6 2025 2025-11-05 2026-01-06,
-C1 2026 2026-01-07 2026-03-03, C2 2026 2026-03-04 2026-05-05, C3 2026 2026-05-06 2026-06-30,
-C4 2026 2026-07-01 2026-09-01, C5 2026 2026-09-02 2026-11-03, C6 2026 2026-11-04 2027-01-05"""
+# The cycle calendar (cycle, year, first day, last day).
+_CICLOS = [
+    ("C5", "2023", "2023-09-06", "2023-11-02"),
+    ("C6", "2023", "2023-11-03", "2024-01-02"),
+    ("C1", "2024", "2024-01-03", "2024-03-05"),
+    ("C2", "2024", "2024-03-06", "2024-05-07"),
+    ("C3", "2024", "2024-05-08", "2024-07-02"),
+    ("C4", "2024", "2024-07-03", "2024-09-03"),
+    ("C5", "2024", "2024-09-04", "2024-11-05"),
+    ("C6", "2024", "2024-11-06", "2025-01-07"),
+    ("C1", "2025", "2025-01-08", "2025-03-04"),
+    ("C2", "2025", "2025-03-05", "2025-05-06"),
+    ("C3", "2025", "2025-05-07", "2025-07-01"),
+    ("C4", "2025", "2025-07-02", "2025-09-02"),
+    ("C5", "2025", "2025-09-03", "2025-11-04"),
+    ("C6", "2025", "2025-11-05", "2026-01-06"),
+    ("C1", "2026", "2026-01-07", "2026-03-03"),
+    ("C2", "2026", "2026-03-04", "2026-05-05"),
+    ("C3", "2026", "2026-05-06", "2026-06-30"),
+    ("C4", "2026", "2026-07-01", "2026-09-01"),
+    ("C5", "2026", "2026-09-02", "2026-11-03"),
+    ("C6", "2026", "2026-11-04", "2027-01-05"),
+]
 
 
 def _ciclos() -> str:
-    rows = [r.split() for r in _CICLOS.replace("\n", " ").split(",")]
-    values = ", ".join(f"('{c}', '{y}', DATE '{a}', DATE '{z}')" for c, y, a, z in rows)
+    values = ", ".join(f"('{c}', '{y}', DATE '{a}', DATE '{z}')" for c, y, a, z in _CICLOS)
     return f"SELECT * FROM (VALUES {values}) AS v(ciclo, anio, ini, fin)"
 
 
@@ -148,7 +163,7 @@ def _raw_text() -> str:
 
 def _clean_text() -> str:
     def number(c: str) -> str:
-        return f"COALESCE(TRY_CAST(trim({c}) AS DECIMAL(18,4)), 0)"
+        return f"COALESCE(TRY_CAST(trim({c}) AS DECIMAL(24,4)), 0)"
 
     return f"""
         SELECT Transaccion, Cod_prod, Tiendas, Categoria, Tipo, Sistema,

@@ -9,16 +9,18 @@ from checks.oracle import (
 _SUMS4 = ("SUM(Importe) AS Importe, SUM(Cantidad) AS Cantidad, "
           "SUM(Precio_x_Cant) AS Precio_x_Cant, SUM(Costo_total) AS Costo_total")
 _OUT4 = "Importe Cantidad Precio_x_Cant Costo_total"
+# The grouping keys of the rollup tables.
 _ROLLUP_KEYS = {
-    "ventas": "Anio_mes Tiendas Categoria Cod_promo Nom_promo Tipo Sistema",
-    "productos": "Anio_mes Cod_prod Nom_prod Categoria",
-    "promo_prod": "Anio_mes Cod_prod Nom_prod Categoria has_promo",
-    "ventas_dia": "Fecha Semana Anio_mes CicloAno_mes Categoria Cod_promo Nom_promo Tipo",
+    "ventas": ["Anio_mes", "Tiendas", "Categoria", "Cod_promo", "Nom_promo", "Tipo", "Sistema"],
+    "productos": ["Anio_mes", "Cod_prod", "Nom_prod", "Categoria"],
+    "promo_prod": ["Anio_mes", "Cod_prod", "Nom_prod", "Categoria", "has_promo"],
+    "ventas_dia": ["Fecha", "Semana", "Anio_mes", "CicloAno_mes", "Categoria", "Cod_promo",
+                   "Nom_promo", "Tipo"],
 }
 
 
 def _rollup(name: str, source: str) -> str:
-    keys = ", ".join(_ROLLUP_KEYS[name].split())
+    keys = ", ".join(_ROLLUP_KEYS[name])
     return f"SELECT {keys}, {_SUMS4} FROM {source} GROUP BY {keys}"
 
 
@@ -59,6 +61,12 @@ _CRM = "Cod_promo LIKE '%-CRM'"
 _CATALOG_OUT = "Cod_promo Nom_promo Formato_promo Unidades_por_promo"
 
 
+def _exported(value: str) -> str:
+    """Text of a number in an export: decimal comma, no zeros beyond the first decimal."""
+    return (f"replace(regexp_replace(CAST(CAST({value} AS DECIMAL(38,4)) AS VARCHAR), "
+            r"'(\.[0-9]+?)0+$', '\1'), '.', ',')")
+
+
 def _bundle() -> str:
     shown = {
         "Resumen": ("evol_v", 5), "Categorias": ("treemap", 4), "SKU_Ranking": ("sku_ranking", 10),
@@ -156,9 +164,10 @@ def rows_and_filters() -> dict[str, str]:
         "s06_month_replace": sql(
             "tabla Anio_mes filas total", _table_sums("lineas_m", "dia_m", "tickets_m"), **_MERGED),
         "s07_export_summary_csv": sql(
-            "Anio_mes Tiendas Categoria Tipo Sistema n1 n2 n3 n4 Margen_pct",
-            "SELECT *, CAST(Ingresos AS DOUBLE) AS n1, CAST(Unidades AS DOUBLE) AS n2, "
-            "CAST(Costo AS DOUBLE) AS n3, CAST(Margen AS DOUBLE) AS n4 FROM r_resumen_export"),
+            "Anio_mes Tiendas Categoria Tipo Sistema n1 n2 n3 n4 n5",
+            f"SELECT *, {_exported('Ingresos')} AS n1, {_exported('Unidades')} AS n2, "
+            f"{_exported('Costo')} AS n3, {_exported('Margen')} AS n4, "
+            f"{_exported('Margen_pct')} AS n5 FROM r_resumen_export"),
         "s07_export_products_csv": sql(
             "Anio_mes filas Ingresos",
             f"SELECT Anio_mes, COUNT(*) AS filas, SUM(Importe) AS Ingresos FROM "
@@ -183,7 +192,8 @@ def rows_and_filters() -> dict[str, str]:
         "n05_line_extensions": sql(
             "Cod_prod " + _OUT4,
             "SELECT Cod_prod, SUM(Importe) AS Importe, SUM(Cantidad) AS Cantidad, "
-            "SUM(Precio * Cantidad) AS Precio_x_Cant, SUM(Costo_unit * Cantidad) AS Costo_total "
+            "SUM(CAST(Precio AS DECIMAL(18,4)) * CAST(Cantidad AS DECIMAL(18,4))) AS Precio_x_Cant, "
+            "SUM(CAST(Costo_unit AS DECIMAL(18,4)) * CAST(Cantidad AS DECIMAL(18,4))) AS Costo_total "
             "FROM limpio GROUP BY 1"),
         "n06_promo_flag": sql(
             "Cod_promo Nom_promo has_promo lineas",
@@ -325,12 +335,12 @@ def rows_and_filters() -> dict[str, str]:
                                               "c4": "Costo_unit"},
                        "n04_numeric_text": {"c4": "Costo_unit"},
                        "s07_export_summary_csv": {"n1": "Ingresos", "n2": "Unidades", "n3": "Costo",
-                                                  "n4": "Margen"}}.items():
+                                                  "n4": "Margen", "n5": "Margen_pct"}}.items():
         renames = ", ".join(f"{a} AS {b}" for a, b in names.items())
         out[key] = f"SELECT * EXCLUDE ({', '.join(names)}), {renames} FROM ({out[key]})"
     for i, name in enumerate(("ventas", "productos", "promo_prod", "ventas_dia"), 1):
         source = "ventas_dia" if name == "ventas_dia" else "lineas"
-        out[f"a0{i}_{name}"] = sql(f"{_ROLLUP_KEYS[name]} {_OUT4}", _rollup(name, source))
+        out[f"a0{i}_{name}"] = sql(f"{' '.join(_ROLLUP_KEYS[name])} {_OUT4}", _rollup(name, source))
     return out
 
 

@@ -30,7 +30,7 @@ from gondola.sinks.rollups import merge_batch, write_rollups
 from gondola.sources.dimensions import load_catalog, load_stores
 from gondola.sources.lines import scan_sales_csv
 from gondola.sources.rollups import Rollups, read_rollup
-from gondola.testbed import MONTHS, Testbed, catalog, stores, text_lines
+from gondola.testbed import Testbed, catalog, stores, text_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -144,16 +144,11 @@ def s06(tb: Testbed) -> DataFrame:
 
 
 def s07(tb: Testbed) -> DataFrame:
-    """Exported summary read back: numbers carry a decimal comma."""
+    """Exported summary: the text of its fields."""
     path = tb.once("export", lambda p: write_csv(report(tb.rollups(), "resumen_export"), p))
     back = tb.spark.read.option("sep", ";").option("header", True).csv(path)
-
-    def number(name: str):
-        return F.replace(F.col(name), F.lit(","), F.lit(".")).cast("double").alias(name)
-
-    return back.select(
-        "Anio_mes", "Tiendas", "Categoria", "Tipo", "Sistema",
-        *[number(c) for c in ("Ingresos", "Unidades", "Costo", "Margen", "Margen_pct")])
+    return back.select("Anio_mes", "Tiendas", "Categoria", "Tipo", "Sistema",
+                       "Ingresos", "Unidades", "Costo", "Margen", "Margen_pct")
 
 
 def s07_products(tb: Testbed) -> DataFrame:
@@ -401,6 +396,11 @@ def _r(tb: Testbed, name: str) -> DataFrame:
     return report(tb.rollups(), name)
 
 
+def _rows(tb: Testbed, name: str) -> DataFrame:
+    """A report as input of another plan, which orders its own result."""
+    return report(tb.rollups(), name, ordered=False)
+
+
 def _ranking(tb: Testbed, **kw) -> DataFrame:
     return promotions.promo_ranking(_r(tb, "sku_por_promo"), catalog(tb.spark), **kw)
 
@@ -547,7 +547,7 @@ ANALYTICS: dict[str, Callable[[Testbed], DataFrame]] = {
     "p11_promo_coverage": _coverage,
     "p12_promo_totals": lambda tb: promotions.promo_totals(_coverage(tb)),
     "p13_promo_month_matrix": lambda tb: promotions.promo_month_matrix(
-        _r(tb, "heatmap_promo"), MONTHS),
+        _r(tb, "heatmap_promo"), flt.month_facet(tb.rollups().ventas)),
     "p14_promo_fatigue": lambda tb: promotions.promo_fatigue(tb.rollups().ventas),
     "p15_store_ranking": _store_rank,
     "p16_store_means": lambda tb: store_plans.store_means(_store_rank(tb)),
@@ -562,14 +562,15 @@ ANALYTICS: dict[str, Callable[[Testbed], DataFrame]] = {
     "p24_alert_counts": lambda tb: alerts.alert_counts(_r(tb, "alertas"), _r(tb, "alertas_promo")),
     "p25_margin_band_top": lambda tb: alerts.margin_band_top(_r(tb, "alertas")),
     "p26_category_alerts": lambda tb: alerts.category_alerts(_r(tb, "alertas")),
-    "p27_margin_matrix": lambda tb: crosses.margin_matrix(_r(tb, "mg_cat_mes"), MONTHS),
-    "p28_margin_trend": lambda tb: crosses.margin_trend(_r(tb, "mg_cat_mes")),
+    "p27_margin_matrix": lambda tb: crosses.margin_matrix(
+        _r(tb, "mg_cat_mes"), flt.month_facet(tb.rollups().ventas)),
+    "p28_margin_trend": lambda tb: crosses.margin_trend(_rows(tb, "mg_cat_mes")),
     "p29_margin_volatility": lambda tb: crosses.margin_volatility(_r(tb, "mg_cat_mes")),
     "p30_discount_zones": _zones,
     "p30_zone_counts": lambda tb: crosses.zone_counts(_zones(tb)),
     "p31_danger_zone": lambda tb: crosses.danger_zone(_zones(tb)),
-    "p32_promo_intensity": lambda tb: crosses.promo_intensity(_r(tb, "cat_promo_cross")),
-    "p33_price_gap_by_month": lambda tb: crosses.price_gap_by_month(_r(tb, "precio_gap")),
+    "p32_promo_intensity": lambda tb: crosses.promo_intensity(_rows(tb, "cat_promo_cross")),
+    "p33_price_gap_by_month": lambda tb: crosses.price_gap_by_month(_rows(tb, "precio_gap")),
     "p33_price_gap_one_category": lambda tb: crosses.price_gap_by_month(
         _r(tb, "precio_gap"), "Sin cat."),
     "p34_price_gap_by_category": lambda tb: crosses.price_gap_by_category(_r(tb, "precio_gap")),
@@ -580,7 +581,7 @@ ANALYTICS: dict[str, Callable[[Testbed], DataFrame]] = {
     "p37_penetration_by_month": lambda tb: promotions.penetration_by_month(
         _r(tb, "penetracion_mes")),
     "p38_penetration_matrix": lambda tb: promotions.penetration_matrix(
-        _r(tb, "penetracion_cat_mes"), MONTHS),
+        _r(tb, "penetracion_cat_mes"), flt.month_facet(tb.rollups().promo_prod)),
     "p39_penetrated_products": lambda tb: promotions.penetrated_products(
         _r(tb, "penetracion_prod")),
     "p39_penetrated_products_one": lambda tb: promotions.penetrated_products(
@@ -622,7 +623,7 @@ ANALYTICS: dict[str, Callable[[Testbed], DataFrame]] = {
     "p53_catalog_coverage": lambda tb: promotions.catalog_coverage(
         _r(tb, "sku_por_promo"), catalog(tb.spark)),
     "p54_yoy_totals": lambda tb: yoy.yoy_totals(_r(tb, "yoy_mes")),
-    "p55_yoy_by_category": lambda tb: yoy.yoy_by_category(_r(tb, "yoy_cat"), _r(tb, "yoy_mes")),
+    "p55_yoy_by_category": lambda tb: yoy.yoy_by_category(_rows(tb, "yoy_cat")),
     "p56_sku_best": lambda tb: skus.best(_skus(tb)),
     "p56_sku_best_discount": lambda tb: skus.best(_skus(tb), "Desc_pct", 40),
     "p56_sku_worst": lambda tb: skus.worst(_skus(tb), "Margen"),

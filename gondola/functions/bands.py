@@ -1,4 +1,7 @@
-"""Threshold bands.  A NULL value fails every comparison and lands in the last band."""
+"""Threshold bands.  A NULL value fails every comparison and lands in the last band.
+
+The bounds and labels below are fixed values.
+"""
 
 from __future__ import annotations
 

@@ -47,6 +47,16 @@ def _discount() -> Column:
     return total("Precio_x_Cant") - total("Importe")
 
 
+def month_key(column: str = "Anio_mes") -> Column:
+    """A month's text as a number in the same order, so that its extremes can live in a
+    hash-aggregation buffer: the seven bytes as one integer."""
+    return F.conv(F.hex(F.col(column).cast("binary")), 16, 10).try_cast("bigint")
+
+
+def month_text(key: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(key), 14, "0")), "UTF-8")
+
+
 def _distinct(column: str) -> Callable[[], Column]:
     return lambda: F.countDistinct(F.col(column))
 
@@ -86,8 +96,8 @@ MEASURES: dict[str, Callable[[], Column]] = {
     "Penetracion": lambda: over(total_where(flagged(1), "Cantidad"), total("Cantidad")),
     "Penetracion_ing": lambda: over(total_where(flagged(1), "Importe"), total("Importe")),
     # span and reach
-    "Primer_mes": lambda: F.min("Anio_mes"),
-    "Ultimo_mes": lambda: F.max("Anio_mes"),
+    "Primer_mes": lambda: month_text(F.min(month_key())),
+    "Ultimo_mes": lambda: month_text(F.max(month_key())),
     "Meses": _distinct("Anio_mes"),
     "N_tiendas": _distinct("Tiendas"),
     "N_promos": _distinct("Cod_promo"),

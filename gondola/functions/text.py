@@ -29,13 +29,33 @@ def drop_na_tokens(column: Column) -> Column:
     return F.when(~column.isin(NA_TOKENS), column)
 
 
-def number_or_zero(column: Column, dtype) -> Column:
-    """Numeric text as an exact decimal; anything else, and anything too large, is zero.
+def number_or_zero(column: Column, dtype, place: Column) -> Column:
+    """Numeric text as an exact decimal; anything else is zero.
 
     The cast goes straight to DECIMAL: unlike a cast to DOUBLE it takes no ``1.5d``, ``NaN`` or
-    ``Infinity``.
+    ``Infinity``.  A number that does not fit is an error that names its ``place``, never a zero.
     """
-    return F.coalesce(column.try_cast(dtype), F.lit(0).cast(dtype))
+    exact = column.try_cast(dtype)
+    too_large = F.raise_error(F.concat(F.lit("number too large: "), column, F.lit(" in "), place))
+    return F.coalesce(exact, F.when(column.rlike(PLAIN_NUMBER), too_large.cast(dtype)).otherwise(
+        F.lit(0).cast(dtype)))
+
+
+def exact_product(a: Column, b: Column, dtype, place: Column) -> Column:
+    """``a * b`` in the given type; a product that does not fit is an error that names its place."""
+    product = F.try_multiply(a, b).try_cast(dtype)
+    return F.coalesce(product, F.raise_error(
+        F.concat(F.lit("product too large in "), place)).cast(dtype))
+
+
+# How a plain number is written.
+PLAIN_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def plain_number(column: Column) -> Column:
+    """Numeric text as DOUBLE, anything else as NULL.  A cast alone would also take the type
+    suffixes of a literal (``12D``, ``7f``), ``NaN`` and ``Infinity``."""
+    return F.when(column.rlike(PLAIN_NUMBER), column.try_cast("double"))
 
 
 def matches(column: Column, pattern: str) -> Column:

@@ -94,6 +94,12 @@ def year_facet(ventas: DataFrame) -> DataFrame:
 
 # --- single-table filters ---------------------------------------------------------------------
 
+def month_facet(df: DataFrame) -> list[str]:
+    """The months present, in order, for the columns of a month matrix.  They are the table's
+    partition folders, so the list is as long as the calendar."""
+    return [r[0] for r in df.select("Anio_mes").distinct().orderBy("Anio_mes").collect()]
+
+
 def filter_months(df: DataFrame, spec: FilterSpec) -> DataFrame:
     """Months ∩ years ∩ months of the chosen cycles: predicates on the partition column only, so
     they prune month folders at planning time."""
@@ -157,7 +163,7 @@ def measured(keys: DataFrame) -> tuple[DataFrame, int]:
     Once it is cached Spark plans with its true size: joins on it broadcast while it is under the
     broadcast threshold and shuffle beyond that, and a side filtered by a small key set is not
     shuffled at all.  Left to estimates, the large side would be shuffled before the small one had
-    been measured.  A lost executor recomputes its part of the set.
+    been measured.  A lost executor recomputes its part of the set.  ``Rollups.release`` drops it.
     """
     keys = keys.distinct().persist()
     return keys, keys.count()
@@ -183,17 +189,25 @@ def apply_filters(
     the other tables through their common key (month, category).  A side that comes out empty
     does not filter the others, unless ``allow_empty`` is set.  The key sets are computed here,
     one job each, and only where the specification makes them necessary; the returned tables are
-    lazy.  The daily rollup is not filtered.
+    lazy.  The daily rollup is not filtered.  The key sets stay cached until the result is released;
+    use it as a context manager, or call ``release``.
     """
     if spec.is_empty():
         return tables
 
+    held: list[DataFrame] = []
+
     def usable(size: int) -> bool:
         return allow_empty or size > 0
 
+    def kept(keys: DataFrame) -> tuple[DataFrame, int]:
+        found, size = measured(keys)
+        held.append(found)
+        return found, size
+
     chosen = None
     if spec.by_store_attribute():
-        codes, size = measured(stores_with(stores, spec))
+        codes, size = kept(stores_with(stores, spec))
         chosen = codes if usable(size) else None
 
     ventas = filter_months(tables.ventas, spec)
@@ -212,11 +226,11 @@ def apply_filters(
 
     sold = None  # (month, category) of the filtered sales, while nothing changes them
     if spec.by_store_attribute() or spec.stores:
-        sold, size = measured(ventas.select(*_MONTH_CATEGORY))
+        sold, size = kept(ventas.select(*_MONTH_CATEGORY))
         if usable(size):
             productos = matching(productos, sold)
     if spec.by_product():
-        keys, size = measured(productos.select(*_MONTH_CATEGORY))
+        keys, size = kept(productos.select(*_MONTH_CATEGORY))
         if usable(size):
             ventas, sold = matching(ventas, keys), None
             tickets = matching(tickets, keys.select("Anio_mes").distinct())
@@ -225,13 +239,13 @@ def apply_filters(
     promo_prod = filter_products(promo_prod, spec)
     if spec.narrows_sales():
         if sold is None:
-            sold, size = measured(ventas.select(*_MONTH_CATEGORY))
+            sold, size = kept(ventas.select(*_MONTH_CATEGORY))
         if usable(size):
             promo_prod = matching(promo_prod, sold)
 
     return tables.with_tables(
         ventas=ventas, productos=productos, tickets=tickets, promo_prod=promo_prod
-    )
+    ).holding(held)
 
 
 def drill_filter(ventas: DataFrame, spec: FilterSpec) -> DataFrame:

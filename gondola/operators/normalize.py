@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gondola.functions.cycles import attach_cycle, week_label
-from gondola.functions.text import blank_to_null, normalized_code, number_or_zero, strip
-from gondola.schema import LINE_AMOUNT
+from gondola.functions.text import (
+    blank_to_null, exact_product, normalized_code, number_or_zero, strip,
+)
+from gondola.schema import LINE_NUMBER, LINE_PRODUCT
 from gondola.sources.rollups import Rollups
 
 # Categories outside the pricing model.
@@ -42,13 +44,16 @@ def with_week(df: DataFrame) -> DataFrame:
 
 def with_amounts(lines: DataFrame) -> DataFrame:
     """Numeric text to exact decimals, then the two line extensions."""
-    numbers = {c: number_or_zero(F.col(c), LINE_AMOUNT)
+    parts = [F.col(c).cast("string") for c in ("Archivo", "Bloque") if c in lines.columns]
+    place = F.concat_ws(" at ", *parts, F.col("Transaccion"))
+    numbers = {c: number_or_zero(F.col(c), LINE_NUMBER, place)
                for c in ("Cantidad", "Precio", "Importe", "Costo_unit")}
     typed = lines.withColumns(numbers)
-    return typed.withColumns({
-        "Costo_total": (F.col("Costo_unit") * F.col("Cantidad")).cast(LINE_AMOUNT),
-        "Precio_x_Cant": (F.col("Precio") * F.col("Cantidad")).cast(LINE_AMOUNT),
-    })
+
+    def extended(price: str) -> Column:
+        return exact_product(F.col(price), F.col("Cantidad"), LINE_PRODUCT, place)
+
+    return typed.withColumns({"Costo_total": extended("Costo_unit"), "Precio_x_Cant": extended("Precio")})
 
 
 def with_promo_flag(lines: DataFrame) -> DataFrame:

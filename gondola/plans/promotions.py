@@ -45,7 +45,7 @@ def promo_totals(coverage: DataFrame) -> DataFrame:
 def month_matrix(
     df: DataFrame, row: str, value: str, months: list[str], fill: float | None = None
 ) -> DataFrame:
-    """One column per month of the given list; an explicit list keeps the pivot a single job."""
+    """One column per month of the given list (see ``month_facet``)."""
     wide = df.groupBy(row).pivot("Anio_mes", months).agg(F.sum(value))
     return wide if fill is None else wide.fillna(fill, subset=months)
 
@@ -107,12 +107,11 @@ def penetration_by_month(penetracion_mes: DataFrame) -> DataFrame:
 
 
 def penetration_matrix(penetracion_cat_mes: DataFrame, months: list[str]) -> DataFrame:
-    """Category by month, a missing month as 0, highest row mean first."""
+    """Category by month, a missing month as 0, highest mean over the listed months first."""
     wide = month_matrix(penetracion_cat_mes, "Categoria", "Penetracion", months, 0)
-    # Months nobody sold in are not columns of the matrix the mean is taken over.
-    present = beside(penetracion_cat_mes, n=F.countDistinct("Anio_mes")).getField("n")
     row_sum = sum((F.col(f"`{m}`") for m in months), F.lit(0.0))
-    return sorted_by(wide.withColumn("Media", over(row_sum, present)), "-Media", ["Categoria"])
+    mean = over(row_sum, F.lit(len(months)))
+    return sorted_by(wide.withColumn("Media", mean), "-Media", ["Categoria"])
 
 
 def penetrated_products(

@@ -13,12 +13,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gondola.functions.measures import measures, over, total
+from gondola.functions.measures import measures, month_key, over, total
 from gondola.functions.text import (
     category_label, mechanic, or_dash, product_label, promo_label,
 )
 from gondola.functions.whole import beside
 from gondola.operators.filters import only_promos
+from gondola.schema import MEASURES as AMOUNTS
 from gondola.sources.rollups import Rollups
 
 Key = Callable[[], Column]
@@ -59,6 +60,7 @@ class Report:
     limit: int = 0
     above: tuple[str, float] | None = None  # HAVING measure > bound
     where: Callable[[DataFrame], DataFrame] = field(default=lambda df: df)
+    by: tuple[str, ...] = ()  # columns whose distinct values are counted: rows are summed by them first
 
 
 def sorted_by(df: DataFrame, order: str, ties: list[str] = ()) -> DataFrame:
@@ -72,14 +74,19 @@ def sorted_by(df: DataFrame, order: str, ties: list[str] = ()) -> DataFrame:
     return df.orderBy(*columns) if columns else df
 
 
-def run_report(tables: Rollups, report: Report) -> DataFrame:
+def run_report(tables: Rollups, report: Report, ordered: bool = True) -> DataFrame:
     rows = report.where(tables.table(report.table))
     names = [KEYS[k][0] for k in report.keys.split()]
     keys = [KEYS[k][1]().alias(KEYS[k][0]) for k in report.keys.split()]
+    if report.by:
+        rows = rows.groupBy(*keys, *[F.col(c).alias(f"por_{c}") for c in report.by]).agg(
+            *[F.sum(m).alias(m) for m in AMOUNTS])
+        rows = rows.withColumnsRenamed({f"por_{c}": c for c in report.by if c not in names})
+        keys = [F.col(n) for n in names]
     out = rows.groupBy(*keys).agg(*measures(report.measures))
     if report.above:
         out = out.where(F.col(report.above[0]) > F.lit(report.above[1]))
-    if report.order:
+    if report.order and (ordered or report.limit):
         out = sorted_by(out, report.order, names)
     return out.limit(report.limit) if report.limit else out
 
@@ -115,7 +122,7 @@ REPORTS: dict[str, Report] = {
     "promos": Report(
         "ventas", "promo promo_code",
         "Primer_mes Ultimo_mes Meses Tiendas=N_tiendas Ingresos Unidades Margen Mg_pct Descuento "
-        "Desc_pct ROI", "-Ingresos", where=only_promos),
+        "Desc_pct ROI", "-Ingresos", where=only_promos, by=("Anio_mes", "Tiendas")),
     "mecanica": Report(
         "ventas", "mechanic", "Promos=N_promos Ingresos Margen Mg_pct Inversion=Descuento ROI",
         "-Ingresos", where=only_promos),
@@ -134,7 +141,7 @@ REPORTS: dict[str, Report] = {
     "sku_por_promo": Report(
         "ventas", "promo promo_code cat",
         "Tiendas=N_tiendas Ingresos Unidades Mg_pct Desc_pct ROI Primer_mes Ultimo_mes",
-        "-Ingresos", where=only_promos),
+        "-Ingresos", where=only_promos, by=("Anio_mes", "Tiendas")),
     "evo_ciclo": Report(
         "ventas", "cycle cat promo promo_code", "Ingresos Unidades Tiendas=N_tiendas Mg_pct",
         "Ciclo Categoria", where=_with_promo_cycle),
@@ -190,14 +197,16 @@ def margin_compression(tables: Rollups, limit: int = 200) -> DataFrame:
     month, however hot a product is.  ``min_by``/``max_by`` keep a NULL figure of the first or
     last month, as an ordered FIRST/LAST does.
     """
-    figures = F.struct("Precio_ef", "Costo_unit", "Mg_pct")
+    figures = ("Precio_ef", "Costo_unit", "Mg_pct")
     monthly = run_report(
         tables, Report("productos", "prod cat month", "Precio_ef Costo_unit Mg_pct"))
     ends = monthly.groupBy("Producto", "Categoria").agg(
         F.count("Anio_mes").alias("n_meses"),
-        F.min_by(figures, "Anio_mes").alias("a"),
-        F.max_by(figures, "Anio_mes").alias("z"),
+        *[F.min_by(c, month_key()).alias(f"a_{c}") for c in figures],
+        *[F.max_by(c, month_key()).alias(f"z_{c}") for c in figures],
     )
+    ends = ends.select("Producto", "Categoria", "n_meses", *[
+        F.struct(*[F.col(f"{end}_{c}").alias(c) for c in figures]).alias(end) for end in ("a", "z")])
     rows = ends.where("n_meses >= 3 AND a.Costo_unit > 0 AND a.Precio_ef > 0")
 
     def change(name: str) -> Column:
@@ -218,25 +227,34 @@ def margin_compression(tables: Rollups, limit: int = 200) -> DataFrame:
     return sorted_by(out, "Delta_mg", ["Producto", "Categoria"]).limit(limit)
 
 
+def _best(monthly: DataFrame, keys: list[str], top: int) -> DataFrame:
+    """The keys with the highest revenue over all months.  The test of the month, which always holds,
+    keeps the column in the plan, so that both uses of the monthly rows share one shuffle."""
+    sums = monthly.groupBy(*keys).agg(
+        F.sum("Ingresos").alias("Ingresos"), F.count("Anio_mes").alias("_meses"))
+    return sorted_by(sums.where("_meses > 0"), "-Ingresos", keys).limit(top)
+
+
 def promo_heatmap(tables: Rollups, top: int = 20) -> DataFrame:
     """Revenue per month of the labels behind the ``top`` best-selling promo rows.
 
-    One plan: the top rows (at most ``top``) are broadcast into a semi-join.
+    The table is aggregated once, by promo, code and month; the top rows (at most ``top``) come out
+    of that and are broadcast.
     """
-    best = run_report(tables, Report("ventas", "promo promo_code", "Ingresos", "-Ingresos", top,
-                                     where=only_promos))
-    monthly = run_report(tables, Report("ventas", "promo month", "Ingresos", where=only_promos))
-    kept = monthly.join(F.broadcast(best.select("Promo").distinct()), "Promo", "left_semi")
+    fine = run_report(tables, Report("ventas", "promo promo_code month", "Ingresos", where=only_promos))
+    best = _best(fine, ["Promo", "Cod_promo"], top)
+    monthly = fine.groupBy("Promo", "Anio_mes").agg(F.sum("Ingresos").alias("Ingresos"))
+    # An inner join on distinct labels: a semi-join would be pushed below the aggregation.
+    kept = monthly.join(F.broadcast(best.select("Promo").distinct()), "Promo")
     return sorted_by(kept, "Promo Anio_mes")
 
 
 def store_heatmap(tables: Rollups, top: int = 20) -> DataFrame:
     """Revenue per month of the ``top`` stores."""
-    best = run_report(tables, Report("ventas", "store", "Ingresos", "-Ingresos", top,
-                                     where=_with_store))
-    sold = tables.ventas.join(F.broadcast(best.select("Tiendas")), "Tiendas", "left_semi")
-    return run_report(tables.with_tables(ventas=sold),
-                      Report("ventas", "store month", "Ingresos", "Tiendas Anio_mes"))
+    monthly = run_report(tables, Report("ventas", "store month", "Ingresos", where=_with_store))
+    best = _best(monthly, ["Tiendas"], top)
+    kept = monthly.join(F.broadcast(best.select("Tiendas")), "Tiendas")
+    return sorted_by(kept, "Tiendas Anio_mes")
 
 
 def ticket_by_month(tables: Rollups) -> DataFrame:
@@ -313,9 +331,12 @@ _SHAPED: dict[str, Callable[[Rollups], DataFrame]] = {
 REPORT_NAMES = [*REPORTS, *_SHAPED]
 
 
-def report(tables: Rollups, name: str) -> DataFrame:
-    """Any report by name; lazy."""
-    return _SHAPED[name](tables) if name in _SHAPED else run_report(tables, REPORTS[name])
+def report(tables: Rollups, name: str, ordered: bool = True) -> DataFrame:
+    """Any report by name; lazy.  ``ordered=False`` saves the final sort where the report feeds another
+    plan (a limited report needs it all the same)."""
+    if name in _SHAPED:
+        return _SHAPED[name](tables)
+    return run_report(tables, REPORTS[name], ordered)
 
 
 def all_reports(tables: Rollups) -> dict[str, DataFrame]:

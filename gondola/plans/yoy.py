@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gondola.functions.measures import over
+from gondola.functions.whole import beside
 from gondola.plans.reports import sorted_by
 
 
@@ -29,13 +30,13 @@ def yoy_totals(yoy_mes: DataFrame) -> DataFrame:
     return last.where("Anio_prev IS NOT NULL").withColumns(changes)
 
 
-def yoy_by_category(yoy_cat: DataFrame, yoy_mes: DataFrame) -> DataFrame:
+def yoy_by_category(yoy_cat: DataFrame) -> DataFrame:
     """Revenue of the last two years per category; a category new this year has no change.
 
     Both years come out of one conditional aggregation, which gives the rows of a full outer join
-    of the two years without reading the report twice.
+    of the two years without reading the report twice.  The list of years is as short as the history.
     """
-    years = yoy_mes.groupBy().agg(F.sort_array(F.collect_set("Anio"), asc=False)).scalar()
+    years = beside(yoy_cat, years=F.sort_array(F.collect_set("Anio"), asc=False)).getField("years")
     last, prev = F.try_element_at(years, F.lit(1)), F.try_element_at(years, F.lit(2))
     rows = yoy_cat.withColumns({"_last": last, "_prev": prev}).where(
         "_prev IS NOT NULL AND Anio IN (_last, _prev)")

@@ -12,12 +12,13 @@ RAW_COLUMNS = [
 ]
 KEPT_COLUMNS = [c for c in RAW_COLUMNS if not c.startswith("skip")]
 
-# Additive measures.  A line carries DECIMAL(18,4); Spark widens a sum of those to DECIMAL(28,4),
-# which is the type the rollup tables store.  Decimal sums are exact and do not depend on the
+# Additive measures.  Numbers of a line are read as DECIMAL(24,4), their products are DECIMAL(34,4),
+# and so are the amounts of the rollup tables.  Decimal sums are exact and do not depend on the
 # order in which tasks finish.
 MEASURES = ["Importe", "Cantidad", "Precio_x_Cant", "Costo_total"]
-LINE_AMOUNT = T.DecimalType(18, 4)
-ROLLUP_AMOUNT = T.DecimalType(28, 4)
+LINE_NUMBER = T.DecimalType(24, 4)
+LINE_PRODUCT = T.DecimalType(34, 4)
+ROLLUP_AMOUNT = T.DecimalType(34, 4)
 
 # The grouping keys of the rollup tables.
 ROLLUP_KEYS = {
@@ -31,6 +32,7 @@ ROLLUP_KEYS = {
 ROLLUPS = list(ROLLUP_KEYS)
 MONTH = "Anio_mes"
 
+# The columns of the store and catalogue files.
 STORE_COLUMNS = ["FileCORR", "Region", "Comuna", "Formato", "Segmento"]
 CATALOG_COLUMNS = ["Cod_promo", "Nom_promo", "Formato_promo", "Unidades_por_promo"]
 
@@ -60,5 +62,5 @@ def store_schema() -> T.StructType:
 def catalog_schema() -> T.StructType:
     return T.StructType(
         [T.StructField(c, T.StringType()) for c in CATALOG_COLUMNS[:3]]
-        + [T.StructField(CATALOG_COLUMNS[3], T.IntegerType())]
+        + [T.StructField(CATALOG_COLUMNS[3], T.LongType())]
     )

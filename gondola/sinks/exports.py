@@ -32,12 +32,19 @@ def _decimal_comma(field: T.StructField) -> Column:
         value = value.cast("decimal(38,10)")  # plain digits, no exponent
     elif not isinstance(field.dataType, T.DecimalType):
         return value
-    return F.regexp_replace(value.cast("string"), r"\.", ",").alias(field.name)
+    # 12.3400 -> 12,34 and 5.0000 -> 5,0
+    digits = F.regexp_replace(value.cast("string"), r"(\.[0-9]+?)0+$", "$1")
+    return F.replace(digits, F.lit("."), F.lit(",")).alias(field.name)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Header, ``;`` between fields, ``,`` as decimal mark; one file per task."""
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """Header, ``;`` between fields, ``,`` as decimal mark, amounts and ratios with as many decimals as
+    they need and one at least; one file per task.  ``mark`` puts a byte-order mark before the header,
+    as spreadsheets like it."""
     text = df.select(*[_decimal_comma(f) for f in df.schema.fields])
+    if mark:
+        first = text.columns[0]
+        text = text.withColumnRenamed(first, "\ufeff" + first)
     text.write.mode("overwrite").option("header", True).option("sep", ";").csv(path)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gondola.operators.normalize import normalize_lines
 from gondola.operators.rollup import build_rollup
 from gondola.schema import MONTH, ROLLUPS, rollup_schema
-from gondola.sources.lines import scan_sales_csv, spread
+from gondola.sources.lines import scan_sales_csv
 from gondola.sources.rollups import read_rollup
 
 
@@ -38,23 +38,25 @@ def stage_lines(lines: DataFrame, folder: str) -> DataFrame:
     return lines.sparkSession.read.parquet(path)
 
 
-def write_rollups(lines: DataFrame, folder: str, replace_months: bool = False) -> None:
-    """All five rollups.
+def write_rollups(lines: DataFrame, folder: str, months: list[str] | None = None) -> None:
+    """All five rollups; with the list of the lines' months, only those months are replaced.
 
     The four that read the lines are independent jobs and are submitted together, so the slow last
     tasks of one overlap with the next.  ``productos`` then comes from the stored ``promo_prod``:
     summing a table already grouped by a superset of its keys replaces another pass over the lines.
+    The months are literals there, so only their folders are read.
     """
     spark = lines.sparkSession
-    months = lines.select(MONTH).distinct()
+    replace_months = months is not None
 
     def write(name: str) -> None:
         table = build_rollup(lines, name)
         if name == "tickets" and replace_months:
             # A month whose lines all lack a store has no ticket row, and its folder would keep
             # the old ones.  A row without a store makes the write replace it; readers drop it.
-            empty = months.select(MONTH, F.expr("CAST(NULL AS STRING) AS Tiendas"),
-                                  F.expr("0L AS n_tickets"), F.expr("0L AS n_tkt_promo"))
+            empty = spark.createDataFrame([(m,) for m in months], f"{MONTH} string").select(
+                MONTH, F.expr("CAST(NULL AS STRING) AS Tiendas"),
+                F.expr("0L AS n_tickets"), F.expr("0L AS n_tkt_promo"))
             table = table.unionByName(empty)
         write_rollup(table, folder, name, replace_months)
 
@@ -62,29 +64,39 @@ def write_rollups(lines: DataFrame, folder: str, replace_months: bool = False) -
     with ThreadPoolExecutor(len(from_lines)) as pool:
         list(pool.map(write, from_lines))  # list() re-raises the first failure
 
+    write_rollup(products_of(spark, folder, months), folder, "productos", replace_months)
+
+
+def products_of(spark: SparkSession, folder: str, months: list[str] | None = None) -> DataFrame:
+    """The product rollup from the stored ``promo_prod``, of the given months or of all."""
     by_flag = read_rollup(spark, folder, "promo_prod")
-    if replace_months:
-        by_flag = by_flag.join(months, MONTH, "left_semi")
-    write_rollup(build_rollup(by_flag, "productos"), folder, "productos", replace_months)
+    if months is not None:
+        by_flag = by_flag.where(F.col(MONTH).isin(months))
+    return build_rollup(by_flag, "productos")
 
 
 def merge_batch(lines: DataFrame, folder: str) -> list[str]:
     """Month replacement: the months of a new batch replace those months in every rollup.
 
     Other months are not read or written.  Returns the replaced months in order; a batch without
-    a single valid line is an error and leaves the tables as they are.
+    a single valid line is an error and leaves the tables as they are.  The months reach the driver:
+    one per calendar month the lines span, and one per malformed date text of eight characters.
     """
     months = [r[0] for r in lines.select(MONTH).distinct().orderBy(MONTH).collect()]
     if not months:
         raise ValueError("the batch has no valid line")
-    write_rollups(lines, folder, replace_months=True)
+    write_rollups(lines, folder, months)
     return months
 
 
-def ingest(spark: SparkSession, csv_path: str, folder: str, staging: str) -> list[str]:
+def ingest(
+    spark: SparkSession, csv_path: str, folder: str, staging: str, partitions: int | None = None,
+) -> list[str]:
     """Raw line files to rollups: parse once into ``staging``, then merge the months they hold.
 
-    Works for the first load and for every later batch alike.
+    Works for the first load and for every later batch alike.  A caller whose files cannot be split
+    (compressed text) may deal the lines out to a number of ``partitions``, at the price of a shuffle.
     """
-    lines = stage_lines(spread(normalize_lines(scan_sales_csv(spark, csv_path))), staging)
-    return merge_batch(lines, folder)
+    lines = normalize_lines(scan_sales_csv(spark, csv_path))
+    lines = lines.repartition(partitions) if partitions else lines
+    return merge_batch(stage_lines(lines, staging), folder)

@@ -7,7 +7,7 @@ import re
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gondola.functions.text import drop_na_tokens, normalized_code, strip
+from gondola.functions.text import drop_na_tokens, normalized_code, plain_number, strip
 from gondola.schema import CATALOG_COLUMNS, catalog_schema, store_schema
 
 
@@ -63,7 +63,7 @@ def load_catalog(spark: SparkSession, path: str, override: str | None = None) ->
             return F.lit("")
         return drop_na_tokens(F.col(f"`{columns[name]}`"))
 
-    pack = F.coalesce(text("Unidades_por_promo").try_cast("double").cast("int"), F.lit(1))
+    pack = F.coalesce(plain_number(text("Unidades_por_promo")).try_cast("bigint"), F.lit(1))
     rows = table.select(
         normalized_code(text("Cod_promo")).alias("Cod_promo"),
         F.struct(
@@ -89,8 +89,7 @@ def load_stores(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], store_schema())
     plain = {re.sub(r"ó", "o", c.strip()): c for c in table.columns}  # Región -> Region
     raw = F.col(f"`{plain['FileCORR']}`").cast("string")
-    number = F.nanvl(raw.try_cast("double"), F.lit(None).cast("double"))
-    code = F.coalesce(number.try_cast("bigint").cast("string"), strip(raw), F.lit(""))
+    code = F.coalesce(plain_number(raw).try_cast("bigint").cast("string"), strip(raw), F.lit(""))
     others = [F.col(f"`{header}`").alias(name) for name, header in plain.items()
               if name != "FileCORR"]
     return table.select(code.alias("FileCORR"), *others)

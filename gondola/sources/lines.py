@@ -29,14 +29,3 @@ def scan_sales_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("_metadata.file_path").alias("Archivo"),
         F.col("_metadata.file_block_start").alias("Bloque"),
     )
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal out a scan that has fewer splits than the session has cores.
-
-    A few unsplittable files (compressed text, one parquet row group) would otherwise keep the work
-    behind them in as many tasks.  A scan with splits enough is returned as it is, so no shuffle is
-    added at scale.  Only for plans without joins or aggregations: counting their splits is free.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

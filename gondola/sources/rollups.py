@@ -19,6 +19,7 @@ class Rollups:
     tickets: DataFrame
     promo_prod: DataFrame
     ventas_dia: DataFrame
+    held: tuple[DataFrame, ...] = ()  # key sets cached for a filtered set
 
     def with_tables(self, **tables: DataFrame) -> "Rollups":
         return replace(self, **tables)
@@ -26,6 +27,21 @@ class Rollups:
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
+    def holding(self, keys: list[DataFrame]) -> "Rollups":
+        return replace(self, held=(*self.held, *keys))
+
+    def release(self) -> None:
+        """Drop the cached key sets of a filtered set; its tables can be used on and are then
+        filtered by recomputed sets."""
+        for keys in self.held:
+            keys.unpersist()
+
+    def __enter__(self) -> "Rollups":
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.release()
+
 
 def read_rollup(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One stored rollup in schema column order; a table never written reads as empty."""

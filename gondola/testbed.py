@@ -16,12 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gondola.operators.normalize import model_tables
 from gondola.session import shared_folder
 from gondola.sinks.rollups import stage_lines, write_rollups
-from gondola.sources.lines import spread
 from gondola.sources.rollups import Rollups, read_rollups
 
-# The months order dates fall in after the shift of 28 years.
-MONTHS = [f"{y}-{m:02d}" for y in range(2023, 2030) for m in range(1, 13)][:80]
-
 LINE_COLUMNS = [
     "Fecha", "Anio_mes", "Tiendas", "Transaccion", "Cod_prod", "Nom_prod", "Categoria",
     "Cod_promo", "Nom_promo", "Tipo", "Sistema", "has_promo", "Orden", "Importe", "Cantidad",
@@ -37,7 +33,7 @@ def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line, order and part.  No join is hinted: Spark broadcasts ``part`` while it is small and
     shuffles it beyond that; adaptive execution splits a hot order or part."""
     return (
-        spread(read(spark, sf_dir, "lineitem"))
+        read(spark, sf_dir, "lineitem").repartition(spark.sparkContext.defaultParallelism)
         .join(read(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
         .join(read(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
         .withColumn("dia", F.expr("cast(add_months(cast(o_orderdate AS DATE), 336) AS DATE)"))

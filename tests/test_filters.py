@@ -195,3 +195,12 @@ def test_semi_join_is_a_subset_and_keeps_duplicates(spark):
     keys, _ = measured(spark.createDataFrame([(1, None), (2, "a"), (2, "a")], "k int, c string"))
     assert sorted(map(tuple, matching(left, keys).collect()), key=str) == [
         (1, None), (1, None), (2, "a")]
+
+
+def test_release_drops_the_key_sets(spark, loaded):
+    cached = lambda: set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    before = cached()
+    with apply_filters(*loaded, FilterSpec(regions=("Sur",), products=("Cola",))) as chosen:
+        assert chosen.held and cached() - before
+        assert not chosen.ventas.isEmpty()
+    assert not cached() - before

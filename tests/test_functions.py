@@ -9,6 +9,7 @@ from gondola.functions import bands, text
 from gondola.functions.cycles import CYCLES, cycle_calendar, cycle_of_month, month_cycles
 from gondola.functions.measures import measures, over
 from gondola.functions.whole import beside, share_of_total
+from gondola.operators.filters import month_facet
 from gondola.operators.normalize import EXCLUDED_CATEGORIES, in_model, promo_code_parts
 from gondola.plans import crosses, promotions, skus, yoy
 from gondola.session import shared_folder
@@ -140,11 +141,48 @@ def test_store_codes(spark, tmp_path):
     assert load_stores(spark, str(tmp_path / "none.csv")).isEmpty()
 
 
+def test_only_plain_numbers_are_numbers(spark, tmp_path):
+    codes = {"12D": "12D", "7f": "7f", "1e3": "1000", "55.0": "55", "inf": "inf", "-3": "-3", "08": "8"}
+    path = tmp_path / "s.csv"
+    path.write_text("FileCORR,Region\n" + "".join(f"{c},R\n" for c in codes))
+    assert [r.FileCORR for r in load_stores(spark, str(path)).collect()] == list(codes.values())
+    packs = {"2d": 1, "Infinity": 1, "99999999999": 99999999999, "1e400": 1, "3.7": 3, "1e3": 1000, "": 1}
+    path = tmp_path / "c.csv"
+    path.write_text("Cod_promo,Unidades\n" + "".join(f"c{k},{p}\n" for k, p in enumerate(packs)))
+    rows = {r.Cod_promo: r.Unidades_por_promo for r in load_catalog(spark, str(path)).collect()}
+    assert rows == {f"C{k}": n for k, n in enumerate(packs.values())}
+
+
+def test_matrices_take_their_months_from_the_data(spark):
+    rows = [("a", "2024-01", 0.4), ("a", "2031-05", 0.2), ("b", "2031-05", 0.6), ("a", "2024-02", 0.6)]
+    df = spark.createDataFrame(rows, "Categoria string, Anio_mes string, v double")
+    months = month_facet(df)
+    assert months == ["2024-01", "2024-02", "2031-05"]
+    found = {r.Categoria: r.asDict() for r in promotions.penetration_matrix(
+        df.withColumnRenamed("v", "Penetracion"), months).collect()}
+    assert found["a"]["2031-05"] == 0.2 and round(found["a"]["Media"], 9) == 0.4
+    assert found["b"]["2024-01"] == 0.0 and round(found["b"]["Media"], 9) == 0.2
+    found = {r.Categoria: r.Media for r in crosses.margin_matrix(
+        df.withColumnRenamed("v", "Mg_pct"), months).collect()}
+    assert {k: round(v, 9) for k, v in found.items()} == {"a": 0.4, "b": 0.6}
+
+
+def test_first_and_last_month_as_numbers(spark):
+    months = ["2024-01", "1999-12", "AAAA-BB", "2024-11"]
+    df = spark.createDataFrame([(m,) for m in months], "Anio_mes string")
+    row = df.agg(*measures("Primer_mes Ultimo_mes")).first()
+    assert tuple(row) == (min(months), max(months))
+
+
 def test_csv_export_uses_decimal_comma(spark, tmp_path):
     df = spark.sql("SELECT 'a.b' AS t, CAST(1234567890.5 AS DECIMAL(18,4)) AS d, 0.25D AS x, 3 AS n")
     write_csv(df, str(tmp_path / "out"))
     text_out = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("*.csv")))
-    assert text_out.splitlines() == ["t;d;x;n", "a.b;1234567890,5000;0,2500000000;3"]
+    assert text_out.splitlines() == ["t;d;x;n", "a.b;1234567890,5;0,25;3"]
+    df = spark.sql("SELECT 12.34BD AS a, CAST(5 AS DECIMAL(28,4)) AS b, 100D AS c, CAST(NULL AS DOUBLE) AS e")
+    write_csv(df, str(tmp_path / "marked"), mark=True)
+    text_out = "".join(p.read_text() for p in sorted((tmp_path / "marked").glob("*.csv")))
+    assert text_out.splitlines() == ["\ufeffa;b;c;e", "12,34;5,0;100,0;"]
 
 
 def test_half_even_transactions(spark):
@@ -175,18 +213,17 @@ def test_single_year_and_single_month_give_no_comparison(spark):
                                 "Anio string, Ingresos double, Margen double, Unidades double")
     assert yoy.yoy_totals(mes).isEmpty()
     cat = spark.createDataFrame([("a", "2024", 1.0)], "Categoria string, Anio string, Ingresos double")
-    assert yoy.yoy_by_category(cat, mes).isEmpty()
+    assert yoy.yoy_by_category(cat).isEmpty()
     mg = spark.createDataFrame([("a", "2024-01", 0.5)],
                                "Categoria string, Anio_mes string, Mg_pct double")
     assert crosses.margin_trend(mg).isEmpty()
 
 
 def test_new_category_has_no_change(spark):
-    mes = spark.createDataFrame([("2023",), ("2024",), ("2022",)], "Anio string")
     cat = spark.createDataFrame(
         [("old", "2023", 4.0), ("old", "2024", 5.0), ("new", "2024", 1.0), ("gone", "2023", 2.0),
          ("older", "2022", 9.0)], "Categoria string, Anio string, Ingresos double")
-    rows = {r.Categoria: r.Var_pct for r in yoy.yoy_by_category(cat, mes).collect()}
+    rows = {r.Categoria: r.Var_pct for r in yoy.yoy_by_category(cat).collect()}
     assert rows == {"old": 0.25, "new": None, "gone": -1.0}
 
 

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gondola.operators.rollup import build_rollup
+from gondola.plans.reports import report
 from gondola.schema import MEASURES, ROLLUPS, rollup_schema
-from gondola.sinks.rollups import ingest, merge_batch, write_rollups
+from gondola.sinks.rollups import ingest, merge_batch, products_of, write_rollups
 from gondola.sources.rollups import read_rollup, read_rollups
 from gondola.testbed import Testbed
 from tests.test_lines import line
@@ -105,3 +106,25 @@ def test_a_month_is_few_files(spark, sf_dir):
     folder = Testbed(spark, sf_dir).once("rollups", lambda p: None)
     files = spark.read.schema(rollup_schema("ventas")).parquet(f"{folder}/ventas").inputFiles()
     assert len(files) <= 2 * 80
+
+
+def test_a_batch_reads_only_its_months(spark, lines, tmp_path):
+    folder = str(tmp_path)
+    write_rollups(lines.where("Anio_mes LIKE '2024-0%'"), folder)
+    plan = products_of(spark, folder, ["2024-05", "2024-06"])._jdf.queryExecution().executedPlan().toString()
+    found = plan[plan.index("PartitionFilters"):].split("PushedFilters")[0]
+    assert "2024-05" in found and "2024-06" in found and "Join" not in plan
+
+
+def test_reports_aggregate_by_hash(tables):
+    for name in ("promos", "sku_por_promo", "sku_ranking", "compresion"):
+        plan = report(tables, name)._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan, name
+
+
+def test_top_reports_aggregate_their_table_once(tables):
+    for name in ("heatmap_promo", "heat_tiendas"):
+        df = report(tables, name)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("FileScan") == 1 or "Reused" in plan, name
