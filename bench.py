@@ -14,9 +14,10 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from checks.queries import all_queries  # noqa: E402
+from checks.queries import SPECS, all_queries  # noqa: E402
+from gondola.operators.filters import apply_filters  # noqa: E402
 from gondola.session import local_session  # noqa: E402
-from gondola.testbed import Testbed  # noqa: E402
+from gondola.testbed import Testbed, stores  # noqa: E402
 
 HEADLINES = [
     "a01_ventas", "a05_tickets", "q01_kpis_v", "q02_kpis_t", "q03_treemap", "q05_evol_v",
@@ -54,6 +55,13 @@ def main() -> None:
     spark = local_session("gondola-bench", cores)
     bed = Testbed(spark, sf_dir)
     times = {"build_lines": timed(bed.lines), "build_rollups": timed(bed.rollups)}
+    store_table = stores(spark, sf_dir)
+
+    def filtered() -> None:
+        with apply_filters(bed.rollups(), store_table, SPECS["f08"]) as chosen:
+            run(chosen.productos)
+
+    times["apply_filters"] = statistics.median(timed(filtered) for _ in range(RUNS))
     queries = all_queries()
     for name in HEADLINES:
         def once(query=queries[name]) -> None:
