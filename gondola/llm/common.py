@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -55,8 +56,10 @@ class Scratch:
     def release(self) -> None:
         """Let Spark remove the shuffle files of plans that nothing refers to any more, now and not
         when the driver next happens to collect its garbage.  To be called between steps."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            time.sleep(0.3)  # a thread of the gateway drops the references
+            self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, name: str) -> None:
         """Remove a table that no later step reads."""

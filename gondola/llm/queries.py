@@ -95,6 +95,31 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+OP5_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+windows AS (
+  SELECT doc_id, i, string_agg(word, ' ') OVER ahead AS k
+  FROM words
+  WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+  QUALIFY count(*) OVER ahead = 13),
+least AS (SELECT k, min(doc_id) AS lo FROM windows GROUP BY k),
+hits AS (SELECT w.doc_id, w.i FROM windows w JOIN least l ON w.k = l.k WHERE l.lo < w.doc_id),
+marked AS (
+  SELECT w.doc_id, w.word, w.i, coalesce(bool_or(h.i IS NOT NULL) OVER (
+           PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM words w LEFT JOIN hits h ON w.doc_id = h.doc_id AND w.i = h.i),
+sums AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS removed,
+         string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN sums s ON d.doc_id = s.doc_id
+"""
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that every document keeps when strings of 50 bytes stay in the smallest doc_id only."""
     return bytes_dedup.dedup(spark, _documents(spark, sf_dir)).select(
@@ -178,5 +203,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
+    "op5_substrings": OP5_SQL,
     "op6_merkle": OP6_SQL,
 }
