@@ -82,17 +82,19 @@ def anchors(hashes: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.nd
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """(key, print, text): the doc_id with null as the largest, and a hash of the text."""
+    """(key, print, doc, text): the doc_id with null as the largest, a hash of the text, and one of
+    both.  Documents that share ``doc`` by chance only look at each other's anchors too."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"),
-                       F.xxhash64(text).alias("print"), text.alias("text"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    return docs.select(key.alias("key"), F.xxhash64(text).alias("print"),
+                       F.xxhash64(key, text).alias("doc"), text.alias("text"))
 
 
 def shared_anchors(scratch: Scratch, docs: DataFrame, units: Units) -> DataFrame:
-    """(key, print, anchors): the anchors of a document that another one has too."""
+    """(doc, anchors): the anchors of a document that another one has too."""
     def first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys, prints = batch["text"], batch["key"].to_numpy(), batch["print"].to_numpy()
+            texts, docs_ = batch["text"], batch["doc"].to_numpy()
             found = [np.unique(anchors(units.split(texts[i].as_py())[1], units.size, units.gram)[1])
                      for i in range(len(texts))]
             sizes = [len(f) for f in found]
@@ -105,15 +107,15 @@ def shared_anchors(scratch: Scratch, docs: DataFrame, units: Units) -> DataFrame
             alone = first & np.append(anchor[1:] != anchor[:-1], True)
             # All rows of an anchor seen twice are known; only its first goes to meet other batches.
             route = np.where(first, anchor, _mixed((anchor + own).view(np.uint64)).view(np.int64))
+            anchor[first] = 0  # it is the route then, and zeros cost next to nothing in a shuffle
             yield pa.RecordBatch.from_arrays(
-                [pa.array(route), pa.array(anchor), pa.array(keys[own]), pa.array(prints[own]),
-                 pa.array(first), pa.array(~alone)],
-                names=["route", "anchor", "key", "print", "first", "known"])
+                [pa.array(route), pa.array(anchor), pa.array(docs_[own]), pa.array(first), pa.array(~alone)],
+                names=["route", "anchor", "doc", "first", "known"])
 
     def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # rows of the last anchor so far
         for batch in batches:
-            rows = [batch[c].to_numpy(zero_copy_only=False) for c in range(6)]
+            rows = [batch[c].to_numpy(zero_copy_only=False) for c in range(5)]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows)]
             open_ = rows[0] == rows[0][-1]
@@ -123,7 +125,8 @@ def shared_anchors(scratch: Scratch, docs: DataFrame, units: Units) -> DataFrame
             yield _known(held)
 
     def _known(rows: list[np.ndarray]) -> pa.RecordBatch:
-        route, anchor, key, print_, first, known = rows
+        route, anchor, doc, first, known = rows
+        anchor = np.where(first, route, anchor)
         places = np.flatnonzero(first)
         met = anchor[places]
         twice = np.zeros(len(met), bool)
@@ -134,15 +137,12 @@ def shared_anchors(scratch: Scratch, docs: DataFrame, units: Units) -> DataFrame
             twice[order] = np.bincount(group)[group] > 1
         out = known.copy()
         out[places] |= twice
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key[out]), pa.array(print_[out]), pa.array(anchor[out])],
-            names=["key", "print", "anchor"])
-
-    rows = _documents(docs).mapInArrow(
-        first_rows, "route long, anchor long, key long, print long, first boolean, known boolean")
-    rows = rows.repartition("route").sortWithinPartitions("route").mapInArrow(
-        meeting, "key long, print long, anchor long")
-    rows = rows.groupBy("key", "print").agg(F.collect_set("anchor").alias("anchors"))
+        return pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(anchor[out])], names=["doc", "anchor"])
+
+    rows = _documents(docs).select("doc", "text").mapInArrow(
+        first_rows, "route long, anchor long, doc long, first boolean, known boolean")
+    rows = rows.repartition("route").sortWithinPartitions("route").mapInArrow(meeting, "doc long, anchor long")
+    rows = rows.groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
     return scratch.write("shared", rows)
 
 
@@ -170,7 +170,7 @@ def stretches(scratch: Scratch, docs: DataFrame, shared: DataFrame, units: Units
 
     schema = pa.schema([("anchor", pa.int64()), ("content", pa.binary()), ("key", pa.int64()),
                         ("print", pa.int64()), ("at", pa.int32())])
-    rows = _documents(docs).join(shared, ["key", "print"]).mapInArrow(
+    rows = _documents(docs).join(shared, "doc").mapInArrow(
         cut, "anchor long, content binary, key long, print long, at int")
     rows = rows.withColumn("content_print", F.xxhash64("content"))
     return scratch.write("stretches", rows)
