@@ -32,95 +32,99 @@ SHARD_BYTES = 600_000
 
 
 class Automaton:
-    """Suffix automaton of many sequences of numbers below ``symbols``."""
+    """Suffix automaton of many sequences of numbers."""
 
-    def __init__(self, symbols: int):
-        self.symbols = symbols
-        self.next: dict[int, int] = {}  # state * symbols + symbol -> state
-        self.out: list[list[int]] = [[]]  # symbols that lead on
+    def __init__(self):
+        self.next: list[dict[int, int]] = [{}]  # symbol -> state, per state
         self.length, self.link, self.least = [0], [-1], [windows.LAST]
 
-    def _state(self, length: int, link: int, out: list[int]) -> int:
-        self.length.append(length)
-        self.link.append(link)
-        self.out.append(out)
-        self.least.append(windows.LAST)
-        return len(self.length) - 1
-
     def _clone(self, p: int, symbol: int, q: int) -> int:
         """A copy of q for the shorter strings that p's extension stands for."""
-        clone = self._state(self.length[p] + 1, self.link[q], list(self.out[q]))
-        for s in self.out[q]:
-            self.next[clone * self.symbols + s] = self.next[q * self.symbols + s]
+        clone = len(self.length)
+        self.length.append(self.length[p] + 1)
+        self.link.append(self.link[q])
+        self.next.append(self.next[q].copy())
+        self.least.append(windows.LAST)
         self.link[q] = clone
-        while p >= 0 and self.next.get(p * self.symbols + symbol) == q:
-            self.next[p * self.symbols + symbol] = clone
+        while p >= 0 and self.next[p].get(symbol) == q:
+            self.next[p][symbol] = clone
             p = self.link[p]
         return clone
 
     def add(self, sequence: list[int], holder: int) -> None:
         """Add a sequence that ``holder`` has."""
-        symbols, step, length, least = self.symbols, self.next, self.length, self.least
+        following, length, link, least = self.next, self.length, self.link, self.least
         last = 0
         for symbol in sequence:
-            q = step.get(last * symbols + symbol)
+            q = following[last].get(symbol)
             if q is not None:
                 last = q if length[q] == length[last] + 1 else self._clone(last, symbol, q)
             else:
-                state = self._state(length[last] + 1, 0, [])
-                p = last
+                state, p, q = len(length), last, None
+                length.append(length[last] + 1)
+                link.append(0)
+                following.append({})
+                least.append(windows.LAST)
                 while p >= 0:
-                    at = p * symbols + symbol
-                    if at in step:
+                    out = following[p]
+                    q = out.get(symbol)
+                    if q is not None:
                         break
-                    step[at] = state
-                    self.out[p].append(symbol)
-                    p = self.link[p]
-                if p >= 0:
-                    q = step[p * symbols + symbol]
-                    self.link[state] = q if length[q] == length[p] + 1 else self._clone(p, symbol, q)
+                    out[symbol] = state
+                    p = link[p]
+                if q is not None:
+                    link[state] = q if length[q] == length[p] + 1 else self._clone(p, symbol, q)
                 last = state
             if holder < least[last]:
                 least[last] = holder
 
     def close(self) -> None:
         """Give every state the smallest holder of the strings that end in its own."""
-        for state in np.argsort(np.array(self.length))[::-1].tolist():
-            link = self.link[state]
-            if link >= 0 and self.least[state] < self.least[link]:
-                self.least[link] = self.least[state]
+        link, least = self.link, self.least
+        for state in np.argsort(-np.array(self.length), kind="stable").tolist()[:-1]:
+            if least[state] < least[link[state]]:
+                least[link[state]] = least[state]
 
     def holders(self, sequence: list[int], size: int) -> list[int]:
         """Smallest holder of each window of ``size`` symbols; LAST if it is not held."""
-        symbols, step, length, link = self.symbols, self.next, self.length, self.link
+        following, length, link, least = self.next, self.length, self.link, self.least
         state = matched = 0
         out = []
-        for i, symbol in enumerate(sequence):
-            while state and state * symbols + symbol not in step:
+        for symbol in sequence:
+            q = following[state].get(symbol)
+            while q is None and state:
                 state = link[state]
                 matched = length[state]
-            following = step.get(state * symbols + symbol)
-            if following is None:
+                q = following[state].get(symbol)
+            if q is None:
                 matched = 0
             else:
-                state, matched = following, matched + 1
-                while length[link[state]] >= size:  # down to the state of the last ``size`` symbols
-                    state = link[state]
-                    matched = min(matched, length[state])
-            if i >= size - 1:
-                out.append(self.least[state] if matched >= size else windows.LAST)
-        return out
+                state, matched = q, matched + 1
+                if matched >= size:  # down to the state of the last ``size`` symbols
+                    while length[link[state]] >= size:
+                        state = link[state]
+                        matched = length[state]
+            out.append(least[state] if matched >= size else windows.LAST)
+        return out[size - 1:]
+
 
+def match(contents: list[bytes], anchors: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> list[np.ndarray]:
+    """For each content, the smallest holder of each of its windows: at most its own smallest one.
 
-def match(contents: list[bytes], holders: np.ndarray) -> list[np.ndarray]:
-    """For each content, the smallest holder of each of its windows."""
+    Windows only recur under the same anchor.  A content is reference for documents above its smallest
+    holder, and is streamed for those of its holders that have a smaller one below them.
+    """
     numbers: dict[bytes, int] = {}
     sequences = [[numbers.setdefault(w, len(numbers)) for w in c.split(b" ")] for c in contents]
-    automaton = Automaton(len(numbers) + 1)
-    for sequence, holder in zip(sequences, holders.tolist()):
-        automaton.add(sequence, holder)
+    refers, asks = windows.roles(anchors, lows, highs)
+    automaton = Automaton()
+    for sequence, low, used in zip(sequences, lows.tolist(), refers.tolist()):
+        if used:
+            automaton.add(sequence, low)
     automaton.close()
-    return [np.array(automaton.holders(s, WORDS), np.int64) for s in sequences]
+    return [np.minimum(np.array(automaton.holders(s, WORDS), np.int64), low) if asked
+            else np.full(max(0, len(s) - WORDS + 1), low)
+            for s, low, asked in zip(sequences, lows.tolist(), asks.tolist())]
 
 
 def split(text: str) -> tuple[list[bytes], np.ndarray]:

@@ -152,21 +152,31 @@ def stretches(scratch: Scratch, docs: DataFrame, shared: DataFrame, units: Units
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {"anchor": [], "content": [], "key": [], "print": [], "at": []}
+            contents, found_at, first_at, rows_of = [], [], [], []
             for i in range(batch.num_rows):
                 parts, hashes = units.split(batch["text"][i].as_py())
                 starts, found = anchors(hashes, units.size, units.gram)
                 ends = np.append(starts[1:], len(hashes) - units.size + 1)
                 wanted = np.isin(found, batch["anchors"][i].values.to_numpy())
-                key, print_ = batch["key"][i].as_py(), batch["print"][i].as_py()
-                for a, b, anchor in zip(starts[wanted].tolist(), ends[wanted].tolist(), found[wanted].tolist()):
-                    for at in range(a, b, longest):
-                        columns["anchor"].append(anchor)
-                        columns["content"].append(units.cut(parts, at, min(b, at + longest) + units.size - 1))
-                        columns["key"].append(key)
-                        columns["print"].append(print_)
-                        columns["at"].append(at)
-            yield pa.RecordBatch.from_pydict(columns, schema=schema)
+                starts, ends, found = starts[wanted], ends[wanted], found[wanted]
+                pieces = -(-(ends - starts) // longest)
+                if len(pieces) and pieces.max() > 1:
+                    number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                    starts = np.repeat(starts, pieces) + number * longest
+                    ends = np.minimum(np.repeat(ends, pieces), starts + longest)
+                    found = np.repeat(found, pieces)
+                cut_, more = units.cut, units.size - 1
+                contents += [cut_(parts, a, b + more) for a, b in zip(starts.tolist(), ends.tolist())]
+                found_at.append(found)
+                first_at.append(starts)
+                rows_of.append(len(starts))
+            if not contents:
+                continue
+            own = np.repeat(np.arange(batch.num_rows), rows_of)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(found_at)), pa.array(contents, pa.binary()),
+                 pa.array(batch["key"].to_numpy()[own]), pa.array(batch["print"].to_numpy()[own]),
+                 pa.array(np.concatenate(first_at).astype(np.int32))], schema=schema)
 
     schema = pa.schema([("anchor", pa.int64()), ("content", pa.binary()), ("key", pa.int64()),
                         ("print", pa.int64()), ("at", pa.int32())])
@@ -214,7 +224,8 @@ def least_holders(scratch: Scratch, rows: DataFrame, units: Units, windows_of: C
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)).cast("int")).drop("route")
 
     def match(batch: pd.DataFrame) -> pd.DataFrame:
-        found = matcher(batch["content"].tolist(), batch["lo"].to_numpy())
+        found = matcher(batch["content"].tolist(), batch["anchor"].to_numpy(), batch["lo"].to_numpy(),
+                        batch["hi"].to_numpy())
         out = {"anchor": [], "content_print": [], "spans": [], "least": []}
         for low, anchor, print_, hi, skip in zip(found, batch["anchor"], batch["content_print"], batch["hi"],
                                                  batch["skip"]):
@@ -258,6 +269,16 @@ def covered(spark: SparkSession, docs: DataFrame, units: Units, windows_of: Call
     return spans
 
 
+def roles(anchors: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contents that some document above their smallest holder may repeat, and contents that some
+    document below their largest holder may have had: by the holders under their anchor."""
+    group = np.unique(anchors, return_inverse=True)[1]
+    lowest, highest = np.full(group.max() + 1, LAST), np.full(group.max() + 1, -LAST - 1)
+    np.minimum.at(lowest, group, lows)
+    np.maximum.at(highest, group, highs)
+    return lows < highest[group], highs > lowest[group]
+
+
 def mask(spans: np.ndarray | None, units: int, size: int) -> np.ndarray:
     """Which units the windows of the spans cover."""
     change = np.zeros(units + 1, np.int64)
