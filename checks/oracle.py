@@ -145,9 +145,10 @@ def _raw_text() -> str:
         "Cantidad": "CASE l_linenumber % 5 WHEN 0 THEN concat(' ', CAST(l_quantity AS INT), ' ') "
                     "WHEN 1 THEN concat(CAST(l_quantity AS INT), '.0') "
                     "ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END",
-        "Precio": "CASE WHEN l_partkey % 53 = 0 THEN '1,5' "
+        "Precio": "CASE WHEN l_partkey % 53 = 0 THEN '1,5' WHEN l_partkey % 71 = 0 THEN '123456789012.5' "
                   "ELSE CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR) END",
         "Importe": "CASE WHEN l_partkey % 59 = 0 THEN '1.5d' WHEN l_partkey % 61 = 0 THEN 'n/a' "
+                   "WHEN l_partkey % 67 = 0 THEN '100000000000000' "
                    f"ELSE CAST(CAST({_NET} AS DECIMAL(18,4)) AS VARCHAR) END",
         "Cod_promo": f"CASE WHEN l_discount < 0.005 THEN '  ' ELSE {_CODE} END",
         "Nom_promo": _PROMO_NAME,

@@ -87,7 +87,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same lines as raw text in the 18 positional columns, with the flaws of real files:
-    short dates, padded numbers, decimal commas, NA tokens, blank promo codes, missing stores."""
+    short dates, padded numbers, decimal commas, NA tokens, blank promo codes, missing stores, and a
+    few very large amounts."""
     return _joined(spark, sf_dir).selectExpr(
         "CASE WHEN l_suppkey % 41 = 0 THEN 'NA' ELSE concat(' ', CAST(o_custkey % _tiendas AS "
         "STRING), ' ') END AS Tiendas",
@@ -102,9 +103,10 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE l_linenumber % 5 WHEN 0 THEN concat(' ', CAST(CAST(l_quantity AS INT) AS STRING), "
         "' ') WHEN 1 THEN concat(CAST(CAST(l_quantity AS INT) AS STRING), '.0') "
         "ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS Cantidad",
-        "CASE WHEN l_partkey % 53 = 0 THEN '1,5' ELSE CAST(CAST(p_retailprice AS DECIMAL(18,2)) "
+        "CASE WHEN l_partkey % 53 = 0 THEN '1,5' WHEN l_partkey % 71 = 0 THEN '123456789012.5' ELSE CAST(CAST(p_retailprice AS DECIMAL(18,2)) "
         "AS STRING) END AS Precio",
         "CASE WHEN l_partkey % 59 = 0 THEN '1.5d' WHEN l_partkey % 61 = 0 THEN 'n/a' "
+        "WHEN l_partkey % 67 = 0 THEN '100000000000000' "
         f"ELSE CAST(CAST({_NET} AS DECIMAL(18,4)) AS STRING) END AS Importe",
         "'0' AS skip3",
         f"CASE WHEN l_discount < 0.005 THEN '  ' ELSE {_SHARED['Cod_promo']} END AS Cod_promo",
