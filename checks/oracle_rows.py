@@ -192,8 +192,8 @@ def rows_and_filters() -> dict[str, str]:
         "n05_line_extensions": sql(
             "Cod_prod " + _OUT4,
             "SELECT Cod_prod, SUM(Importe) AS Importe, SUM(Cantidad) AS Cantidad, "
-            "SUM(CAST(Precio AS DECIMAL(18,4)) * CAST(Cantidad AS DECIMAL(18,4))) AS Precio_x_Cant, "
-            "SUM(CAST(Costo_unit AS DECIMAL(18,4)) * CAST(Cantidad AS DECIMAL(18,4))) AS Costo_total "
+            "SUM(CAST(Precio AS DECIMAL(19,4)) * CAST(Cantidad AS DECIMAL(19,4))) AS Precio_x_Cant, "
+            "SUM(CAST(Costo_unit AS DECIMAL(19,4)) * CAST(Cantidad AS DECIMAL(19,4))) AS Costo_total "
             "FROM limpio GROUP BY 1"),
         "n06_promo_flag": sql(
             "Cod_promo Nom_promo has_promo lineas",
