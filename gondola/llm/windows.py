@@ -206,17 +206,14 @@ def least_holders(scratch: Scratch, rows: DataFrame, units: Units, windows_of: C
         F.min("key").alias("lo"), F.max("key").alias("hi")).withColumn("skip", F.lit(0))
     contents = scratch.write("contents", contents)
     scratch.release()
-    sums = contents.groupBy("anchor").agg(F.sum(F.length("content")).alias("bytes"),
-                                          F.min("lo").alias("low"), F.max("hi").alias("high"))
-    sums = scratch.write("anchors", sums.select(
-        F.col("anchor").alias("of"), (F.col("bytes") > shard_bytes // 8).alias("heavy"),
-        (F.col("low") < F.col("high")).alias("shared")))
+    # A table of its own: while it is small, Spark sees its size and leaves the contents where they are.
+    sums = contents.groupBy("anchor").agg(F.sum(F.length("content")).alias("bytes"))
+    heavy = scratch.write("heavy", sums.where(F.col("bytes") > shard_bytes // 8).select(
+        F.col("anchor").alias("of")))
     total = contents.agg(F.sum(F.length("content"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    heavy = sums.where("heavy")
     dealt = contents.withColumn("route", F.col("anchor"))
     if not heavy.isEmpty():
-        heavy = heavy.select("of")
         single = contents.join(heavy, F.col("anchor") == F.col("of"), "left_semi").mapInArrow(
             _split_windows(units, windows_of), contents.schema)
         dealt = dealt.join(heavy, F.col("anchor") == F.col("of"), "left_anti").unionByName(
@@ -253,6 +250,7 @@ def covered(spark: SparkSession, docs: DataFrame, units: Units, windows_of: Call
     shared = shared_anchors(scratch, docs, units)
     scratch.release()
     rows = stretches(scratch, docs, shared, units)
+    scratch.drop("shared")
     scratch.release()
     least = least_holders(scratch, rows, units, windows_of, matcher, shard_bytes)
     scratch.release()
@@ -264,7 +262,7 @@ def covered(spark: SparkSession, docs: DataFrame, units: Units, windows_of: Call
     spans = spans.groupBy("key", "print").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     spans = scratch.write("covered", spans)
     scratch.release()
-    for name in ("stretches", "contents", "least", "anchors", "shared"):
+    for name in ("stretches", "contents", "least", "heavy"):
         scratch.drop(name)
     return spans
 
