@@ -145,6 +145,15 @@ def links(scratch: Scratch, nodes: DataFrame, bits: int = MAX_BITS, dense: int =
     return found.unionByName(_dense_links(live.where(F.col("n") > dense), bits))
 
 
+def _classes(scratch: Scratch, prints: DataFrame, bits: int, dense: int) -> DataFrame:
+    """(fp, root) of every fingerprint of ``prints``; the root names the component."""
+    nodes = scratch.write("nodes", prints.select("fp").distinct())
+    edges = scratch.write("edges", links(scratch, nodes, bits, dense))
+    roots = components(scratch, edges)
+    return scratch.write("classes", nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS,
                     bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame:
     """One row per document: (doc_id, fp, fingerprint, component_id)."""
@@ -162,16 +171,40 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_W
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component: one document of each group.
+def representatives(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS,
+                    bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame:
+    """The rows of one document of each component: of its smallest doc_id (null as the largest), and
+    of the smallest digest among the texts of that doc_id.
 
-    Rows without a doc_id stay unless a row with one is in their group; rows that repeat a doc_id
-    stay together, as exact dedup is another stage.
+    A document is a doc_id and a text.  Rows that repeat one stay together, as exact dedup is another
+    stage; without a doc_id they are no document, and one row stays.
     """
-    found = near_duplicates(spark, docs, **options)
+    ship(spark)
     scratch = Scratch(spark, "simhash-rows")
-    gone = found.where("component_id IS NOT NULL AND NOT component_id <=> doc_id").select(
-        F.col("doc_id").alias("id")).distinct()
-    gone = scratch.write("gone", gone)
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id")
-    return kept.join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti").select("row.*")
+    prints = scratch.write("prints", docs.select("doc_id", digest().alias("digest"),
+                                                 fingerprints(F.col("text"), width).alias("fp")))
+    classes = _classes(scratch, prints, bits, dense)
+    return one_of_each(scratch, docs, prints.join(classes, "fp").select("doc_id", "digest", "root"))
+
+
+def digest() -> Column:
+    """Digest of a text; null without one."""
+    return F.sha2("text", 256)
+
+
+def one_of_each(scratch: Scratch, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` of one document of each root of ``found`` (doc_id, digest, root)."""
+    named = scratch.write("named", found.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n")))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    best = named.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n"))
+    rest = named.join(best.where("n > 1").select("root", "best"), "root").where(order != F.col("best"))
+    gone = scratch.write("gone", rest.select(F.col("doc_id").alias("id"), F.col("digest").alias("of")))
+
+    def kept(rows: DataFrame) -> DataFrame:
+        rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id",
+                           digest().alias("own"))
+        same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("own").eqNullSafe(F.col("of"))
+        return rows.join(gone, same, "left_anti")
+
+    nameless = kept(docs.where("doc_id IS NULL")).dropDuplicates(["own"])
+    return kept(docs.where("doc_id IS NOT NULL")).unionByName(nameless).select("row.*")

@@ -196,6 +196,19 @@ def test_near_stage(spark, awkward):
     assert rows(kept, "doc_id", "text") == Counter(t for t in TEXTS if t[0] not in gone)
 
 
+def test_near_stage_drops_rows_and_not_ids(spark):
+    base = [f"w{k}" for k in range(300)]
+    a, b, c, d = (" ".join([f"{p}{w}" for w in base]) for p in "abcd")
+    assert simhash.fingerprint(a) == simhash.fingerprint(a.upper())
+    given = [(1, a), (None, a.upper()),  # a copy without an id, beside an unrelated one
+             (None, b), (2, c), (3, c.upper()), (3, b + " " + a),  # two texts under one id
+             (None, d), (None, d.upper()), (None, d)]  # a group without any id
+    table = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    kept = rows(simhash.representatives(spark, table), "doc_id", "text")
+    last = min([d, d.upper()], key=brute.sha)
+    assert kept == Counter([(1, a), (None, b), (2, c), (3, b + " " + a), (None, last)])
+
+
 # 4 Language
 
 def test_language_query(spark):
