@@ -11,7 +11,8 @@ anchored stretches instead of a long list of windows:
 2. ``stretches``: the units under shared anchors, cut out of the texts.
 3. ``shards``: distinct stretches with the smallest doc_id that has them, dealt out by anchor, so that
    equal windows meet in one shard.  An anchor with very much under it (say the edge of a line that a
-   third of all documents have, with another context in each) is dealt out by window instead.
+   third of all documents have, with another context in each) is in no shard: its contents are cut into
+   windows, and the smallest doc_id of each is an aggregate over equal ones (``_window_holders``).
 4. A shard's matcher gives, for every window of its stretches, the smallest doc_id that has it.  The
    matchers decide by the units themselves; hashes only bring windows together.
 5. ``covered``: per document, the windows that a smaller doc_id has.
@@ -198,6 +199,17 @@ def _split_windows(units: Units, windows_of: Callable[[bytes], list[bytes]]):
     return split
 
 
+def _window_holders(single: DataFrame) -> DataFrame:
+    """``least_holders`` of contents cut into windows.  Equal windows have equal anchors, so all holders
+    of one are in its group; a window with very many contexts is aggregated before it is shuffled."""
+    holders = single.groupBy("anchor", "content").agg(F.min("lo").alias("low"), F.max("hi").alias("high"))
+    holders = holders.where("low < high").select(F.col("anchor").alias("of"), F.col("content").alias("window"), "low")
+    met = single.join(holders, (F.col("anchor") == F.col("of")) & (F.col("content") == F.col("window")))
+    span = F.shiftleft(F.col("skip").cast("long"), 32) + F.lit(1)
+    return met.where("low < hi").select(
+        "anchor", "content_print", F.array(span).alias("spans"), F.array("low").alias("least"))
+
+
 def least_holders(scratch: Scratch, rows: DataFrame, units: Units, windows_of: Callable, matcher: Callable,
                   shard_bytes: int) -> DataFrame:
     """(anchor, content_print, spans, least): windows of a content (first << 32 | number) and the
@@ -210,15 +222,13 @@ def least_holders(scratch: Scratch, rows: DataFrame, units: Units, windows_of: C
     sums = contents.groupBy("anchor").agg(F.sum(F.length("content")).alias("bytes"))
     heavy = scratch.write("heavy", sums.where(F.col("bytes") > shard_bytes // 8).select(
         F.col("anchor").alias("of")))
-    total = contents.agg(F.sum(F.length("content"))).first()[0] or 0
+    crowded = not heavy.isEmpty()
+    light = contents
+    if crowded:
+        light = contents.join(heavy, F.col("anchor") == F.col("of"), "left_anti")
+    total = light.agg(F.sum(F.length("content"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    dealt = contents.withColumn("route", F.col("anchor"))
-    if not heavy.isEmpty():
-        single = contents.join(heavy, F.col("anchor") == F.col("of"), "left_semi").mapInArrow(
-            _split_windows(units, windows_of), contents.schema)
-        dealt = dealt.join(heavy, F.col("anchor") == F.col("of"), "left_anti").unionByName(
-            single.withColumn("route", F.xxhash64("content")))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)).cast("int")).drop("route")
+    dealt = light.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
 
     def match(batch: pd.DataFrame) -> pd.DataFrame:
         found = matcher(batch["content"].tolist(), batch["anchor"].to_numpy(), batch["lo"].to_numpy(),
@@ -239,6 +249,10 @@ def least_holders(scratch: Scratch, rows: DataFrame, units: Units, windows_of: C
 
     found = dealt.groupBy("shard").applyInPandas(
         match, "anchor long, content_print long, spans array<bigint>, least array<bigint>")
+    if crowded:
+        single = contents.join(heavy, F.col("anchor") == F.col("of"), "left_semi").mapInArrow(
+            _split_windows(units, windows_of), contents.schema)
+        found = found.unionByName(_window_holders(single))
     return scratch.write("least", found)
 
 

@@ -15,6 +15,7 @@ import corpus_pipeline
 from checks.compare import differences
 from gondola.llm import (
     bpe, bytes_dedup, exact, jaccard, langid, licenses, merkle, mixing, pii, simhash, substring,
+    windows,
 )
 from gondola.llm.common import Scratch
 from gondola.llm.components import components
@@ -314,6 +315,31 @@ def test_byte_strings_awkward(spark, awkward):
             brute.byte_strings(short))
 
 
+def test_crowded_anchors_meet_as_aggregates(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    line = " ".join(word() for _ in range(14))
+    given = [(k, " ".join([*(word() for _ in range(14)), line, *(word() for _ in range(14))])) for k in range(60)]
+    given += [(None, line), (7, line + " " + line)]
+    table = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    seen = spark.sparkContext.accumulator(0)
+
+    def matcher(contents, *rest):
+        seen.add(len(contents))
+        return substring.match(contents, *rest)
+
+    units, windows_of = substring.UNITS, substring._windows
+    spans = windows.covered(spark, table, units, windows_of, matcher, 800)
+    found = windows.with_spans(table, spans).collect()
+    expected = brute.removed(given, str.split, substring.WORDS)
+    expected = Counter((i, " ".join(words), sum(gone)) for i, words, gone in expected)
+    assert seen.value < 60  # of 60 and more contents under the anchors of the line
+    assert Counter((windows.LAST if r["doc_id"] is None else r["doc_id"], r["text"], int(windows.mask(
+        None if r["spans"] is None else pd.Series(r["spans"]).to_numpy(), len(r["text"].split()),
+        substring.WORDS).sum())) for r in found) == Counter(
+            {(windows.LAST if i is None else i, t, n): c for (i, t, n), c in expected.items()})
+
+
 def test_substring_queries(spark, sf_dir, tiny):
     pairs = [r[:2] for r in tiny]
     found = query("op5_substrings", spark, sf_dir)
