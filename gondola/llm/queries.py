@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gondola.llm import (
-    bpe, bytes_dedup, exact, langid, licenses, merkle, mixing, pii, simhash, substring,
+    bpe, bytes_dedup, exact, langid, licenses, merkle, mixing, negatives, neighbours, pii, prefix_trie,
+    simhash, substring,
 )
 from gondola.llm.common import Scratch, word_count
+from gondola.llm.tiles import usable
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +189,94 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("new_text").alias("text"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each anchor and each of its five nearest rows of the same label."""
+    divides = lambda n: F.col("vec_id") % n == 0
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(divides(7), (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.where(usable(F.col("embedding"))).select(
+        F.col("vec_id").alias("id"), label.alias("label"), negatives.quantized(F.col("embedding")).alias("vector"))
+    return negatives.mine(spark, rows, anchor=F.col("id") % 50 == 0)
+
+
+OP11_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % 50 = 0 AND b.vec_id IS DISTINCT FROM a.vec_id AND len(a.q) = len(b.q)),
+positives AS (
+  SELECT * FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id NULLS LAST) <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id, p.score AS positive_score,
+         n.score AS negative_score, row_number() OVER (
+           PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id NULLS LAST) AS rank
+  FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+    AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 3
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of conversations, each with its first turns taken from the one its fives begin with."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    own = F.col("conv_id")
+    rebuilt = prefix_trie.grafted(prefix_trie.turns(rows), base=own - own % 5,
+                                  heads=F.crc32(own.cast("string")) % 9, most=8)
+    return prefix_trie.trie(spark, rebuilt)
+
+
+OP12_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text,
+         md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL),
+conversation AS (
+  SELECT conv_id, list(digest ORDER BY turn NULLS FIRST, digest) AS digests,
+         list(strlen(text) ORDER BY turn NULLS FIRST, digest) AS sizes,
+         -- crc32 of the decimal conv_id, bit by bit
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)),
+             lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 9 AS head
+  FROM turns GROUP BY conv_id),
+rebuilt AS (
+  SELECT c.conv_id,
+         list_concat(coalesce(list_slice(b.digests, 1, c.head), []), list_slice(c.digests, c.head + 1, len(c.digests))) AS digests,
+         list_concat(coalesce(list_slice(b.sizes, 1, c.head), []), list_slice(c.sizes, c.head + 1, len(c.sizes))) AS sizes
+  FROM conversation c LEFT JOIN conversation b ON b.conv_id = c.conv_id - c.conv_id % 5),
+starts AS (SELECT *, unnest(range(0, len(digests) + 1)) AS depth FROM rebuilt),
+keyed AS (
+  SELECT *, array_to_string(list_slice(digests, 1, depth), '') AS k, coalesce(sizes[depth], 0) AS size FROM starts),
+nodes AS (
+  SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(digests) = depth), '')) AS ends_sha256
+  FROM keyed GROUP BY k, depth),
+children AS (
+  SELECT left(k, 32 * (depth - 1)) AS k, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+under AS (
+  SELECT left(n.k, 32 * d) AS k, sum(n.saved) AS saved_tokens, count(*) FILTER (c.k IS NULL) AS n_leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM nodes) n LEFT JOIN children c ON n.k = c.k GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs,
+       coalesce(c.n_children, 0) AS n_children, u.n_leaves, u.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN under u ON n.k = u.k LEFT JOIN children c ON n.k = c.k
+LEFT JOIN nodes p ON n.depth > 0 AND p.k = left(n.k, 32 * (n.depth - 1))
+"""
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return neighbours.nearest(spark, rows, query=F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
@@ -198,6 +288,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_licenses": op9_licenses,
     "op10_pii": op10_pii,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_neighbours": op13_neighbours,
 }
 
 ORACLES: dict[str, str] = {
@@ -205,4 +298,6 @@ ORACLES: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
     "op5_substrings": OP5_SQL,
     "op6_merkle": OP6_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
