@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gondola.llm import bpe, exact, jaccard, langid, mixing
+from gondola.llm import bpe, exact, langid, mixing, simhash
 from gondola.llm.common import Scratch
 
 
@@ -24,8 +24,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: a five-word Jaccard similarity of 0.8 or more."""
-    return jaccard.representatives(spark, docs)
+    """One document of each group of near copies: SimHashes of three-word shingles at two bits or fewer."""
+    return simhash.representatives(spark, docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
