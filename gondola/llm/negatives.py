@@ -190,7 +190,7 @@ def mine(spark: SparkSession, rows: DataFrame, anchor: Column, positives: int =
         ids, labels, vectors = unpack(block)
         for row, own, label, query, scores, numbers in zip(
                 np.frombuffer(block["rows"], dtype=np.int64), ids, labels, vectors, block["scores"], block["pairs"]):
-            windows = [(-(-least * s // 100), most * s // 100) for s in scores]
+            windows = [(-(-least * s // 100), most * s // 100) for s in map(int, scores)]
             open_ = [k for k, (low, high) in enumerate(windows) if low <= high]
             if not open_:
                 continue
