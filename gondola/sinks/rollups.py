@@ -1,7 +1,8 @@
-"""Writing rollups: full build and month replacement."""
+"""Writing rollups: full build and month replacement, each published in one step."""
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,20 +12,20 @@ from gondola.operators.rollup import build_rollup
 from gondola.schema import MONTH, ROLLUPS, rollup_schema
 from gondola.sources.lines import scan_sales_csv
 from gondola.sources.rollups import read_rollup
+from gondola.sources.versions import Snapshot, months_of, publish, snapshot
 
 
-def write_rollup(table: DataFrame, folder: str, name: str, replace_months: bool = False) -> None:
-    """One rollup as parquet, a folder per month.
+def write_rollup(table: DataFrame, folder: str, name: str, version: str) -> dict[str, str]:
+    """One rollup as parquet under a new version, a folder per month; gives the version of its months.
 
     REBALANCE brings the rows of a month together so that a month is a few files rather than one
-    per task, and adaptive execution splits a month that is too big for one task.  With
-    ``replace_months`` only the months present in ``table`` are rewritten.  Either way a repeated
-    write gives the same result, so a lost job can simply run again.
+    per task, and adaptive execution splits a month that is too big for one task.  Nobody reads a
+    version before it is published, so a lost job can simply run again under another one.
     """
-    rows = table.select(*rollup_schema(name).names).hint("rebalance", MONTH)
-    writer = rows.write.partitionBy(MONTH).mode("overwrite")
-    mode = "dynamic" if replace_months else "static"
-    writer.option("partitionOverwriteMode", mode).parquet(f"{folder}/{name}")
+    schema, path = rollup_schema(name), f"{folder}/{name}/version={version}"
+    table.select(*schema.names).hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(path)
+    written = table.sparkSession.read.schema(schema).parquet(path)
+    return dict.fromkeys(months_of(written), version)
 
 
 def stage_lines(lines: DataFrame, folder: str) -> DataFrame:
@@ -38,45 +39,41 @@ def stage_lines(lines: DataFrame, folder: str) -> DataFrame:
     return lines.sparkSession.read.parquet(path)
 
 
-def write_rollups(lines: DataFrame, folder: str, months: list[str] | None = None) -> None:
+def write_rollups(lines: DataFrame, folder: str, months: list[str] | None = None) -> Snapshot:
     """All five rollups; with the list of the lines' months, only those months are replaced.
 
     The four that read the lines are independent jobs and are submitted together, so the slow last
     tasks of one overlap with the next.  ``productos`` then comes from the stored ``promo_prod``:
     summing a table already grouped by a superset of its keys replaces another pass over the lines.
-    The months are literals there, so only their folders are read.
+    Only its new folders are read.
+
+    The new months are published together at the end (``sources.versions``): a reader sees all five
+    tables before the batch or after it, and a job that ends half way leaves them as they were.  A month
+    without rows in a table (lines without any store give no tickets) is empty there afterwards.
     """
     spark = lines.sparkSession
-    replace_months = months is not None
-
-    def write(name: str) -> None:
-        table = build_rollup(lines, name)
-        if name == "tickets" and replace_months:
-            # A month whose lines all lack a store has no ticket row, and its folder would keep
-            # the old ones.  A row without a store makes the write replace it; readers drop it.
-            empty = spark.createDataFrame([(m,) for m in months], f"{MONTH} string").select(
-                MONTH, F.expr("CAST(NULL AS STRING) AS Tiendas"),
-                F.expr("0L AS n_tickets"), F.expr("0L AS n_tkt_promo"))
-            table = table.unionByName(empty)
-        write_rollup(table, folder, name, replace_months)
+    before, version = snapshot(spark, folder), uuid.uuid4().hex
+
+    def write(name: str) -> dict[str, str]:
+        return write_rollup(build_rollup(lines, name), folder, name, version)
 
     from_lines = [name for name in ROLLUPS if name != "productos"]
     with ThreadPoolExecutor(len(from_lines)) as pool:
-        list(pool.map(write, from_lines))  # list() re-raises the first failure
-
-    write_rollup(products_of(spark, folder, months), folder, "productos", replace_months)
+        written = dict(zip(from_lines, pool.map(write, from_lines)))  # raises the first failure
+    products = products_of(spark, folder, Snapshot(0, written))
+    written["productos"] = write_rollup(products, folder, "productos", version)
+    new = before.replacing(months, written)
+    publish(spark, folder, new)
+    return new
 
 
-def products_of(spark: SparkSession, folder: str, months: list[str] | None = None) -> DataFrame:
-    """The product rollup from the stored ``promo_prod``, of the given months or of all."""
-    by_flag = read_rollup(spark, folder, "promo_prod")
-    if months is not None:
-        by_flag = by_flag.where(F.col(MONTH).isin(months))
-    return build_rollup(by_flag, "productos")
+def products_of(spark: SparkSession, folder: str, state: Snapshot) -> DataFrame:
+    """The product rollup from the stored ``promo_prod`` of a snapshot."""
+    return build_rollup(read_rollup(spark, folder, "promo_prod", state), "productos")
 
 
 def merge_batch(lines: DataFrame, folder: str) -> list[str]:
-    """Month replacement: the months of a new batch replace those months in every rollup.
+    """Month replacement: the months of a new batch replace those months in every rollup, at once.
 
     Other months are not read or written.  Returns the replaced months in order; a batch without
     a single valid line is an error and leaves the tables as they are.  The months reach the driver:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gondola.schema import ROLLUPS, rollup_schema
+from gondola.sources.versions import Snapshot, read_version, snapshot
 
 
 @dataclass(frozen=True)
@@ -43,22 +43,24 @@ class Rollups:
         self.release()
 
 
-def read_rollup(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One stored rollup in schema column order; a table never written reads as empty."""
+def read_rollup(
+    spark: SparkSession, folder: str, name: str, state: Snapshot | None = None,
+) -> DataFrame:
+    """One stored rollup in schema column order; a table never written reads as empty.
+
+    Tables to be used together take one ``state`` of their folder, so that all are of the same batch.
+    """
     schema = rollup_schema(name)
-    try:
-        table = spark.read.schema(schema).parquet(f"{folder}/{name}")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    table = read_version(spark, folder, name, (state or snapshot(spark, folder)).of(name))
     if name == "productos":
         # Tables written before the list price existed fall back to net revenue.
         table = table.withColumn("Precio_x_Cant", F.coalesce("Precio_x_Cant", "Importe"))
     if name == "tickets":
-        table = table.where(F.col("Tiendas").isNotNull())  # see sinks.rollups.write_rollups
+        table = table.where(F.col("Tiendas").isNotNull())  # rows of tables without a manifest
     return table.select(*schema.names)
 
 
-def read_rollups(spark: SparkSession, folder: str) -> Rollups:
-    return Rollups(**{name: read_rollup(spark, folder, name) for name in ROLLUPS})
+def read_rollups(spark: SparkSession, folder: str, number: int | None = None) -> Rollups:
+    """All five rollups of one snapshot of a folder: the current one, or an earlier one by its number."""
+    state = snapshot(spark, folder, number)
+    return Rollups(**{name: read_rollup(spark, folder, name, state) for name in ROLLUPS})

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from gondola.operators.rollup import build_rollup
 from gondola.plans.reports import report
 from gondola.schema import MEASURES, ROLLUPS, rollup_schema
+from gondola.sinks import rollups as sink
 from gondola.sinks.rollups import ingest, merge_batch, products_of, write_rollups
 from gondola.sources.rollups import read_rollup, read_rollups
+from gondola.sources.versions import ConcurrentBatch, Snapshot, drop_versions, publish, snapshot
 from gondola.testbed import Testbed
 from tests.test_lines import line
 
@@ -77,6 +79,78 @@ def test_replaced_month_without_stores_loses_its_tickets(spark, lines, tmp_path)
     assert [r[0] for r in months] == ["2024-02"]
 
 
+BATCH = "Anio_mes IN ('2024-02', '2024-03')"
+
+
+@pytest.mark.parametrize("table", ["ventas", "tickets", "productos"])
+def test_a_batch_that_ends_half_way_changes_nothing(spark, lines, tmp_path, monkeypatch, table):
+    folder = str(tmp_path)
+    write_rollups(lines.where("Anio_mes IN ('2024-01', '2024-02')"), folder)
+    before, state = content(spark, folder), snapshot(spark, folder)
+    write = sink.write_rollup
+
+    def killed(rows, place, name, version):
+        done = write(rows, place, name, version)
+        if name == table:  # its files are complete, those of other tables may be or not
+            raise RuntimeError("lost")
+        return done
+
+    monkeypatch.setattr(sink, "write_rollup", killed)
+    batch = lines.where(BATCH).where("Tipo = 'A'")
+    with pytest.raises(RuntimeError, match="lost"):
+        merge_batch(batch, folder)
+    assert content(spark, folder) == before and snapshot(spark, folder) == state
+    monkeypatch.setattr(sink, "write_rollup", write)
+    assert merge_batch(batch, folder) == ["2024-02", "2024-03"]
+    assert all(content(spark, folder)[t] != before[t] for t in ROLLUPS)
+    dropped = drop_versions(spark, folder, hours=0)
+    assert any(d.startswith(f"{table}/") for d in dropped)  # what the killed batch left behind
+
+
+def test_readers_of_the_old_version_go_on(spark, lines, tmp_path):
+    folder = str(tmp_path)
+    write_rollups(lines.where("Anio_mes IN ('2024-01', '2024-02')"), folder)
+    old, before = read_rollups(spark, folder), content(spark, folder)
+    merge_batch(lines.where(BATCH).where("Tipo = 'A'"), folder)
+    after = content(spark, folder)
+    for name in ROLLUPS:  # planned before the batch, run after it
+        assert sorted(map(str, old.table(name).collect())) == before[name]
+        assert sorted(map(str, read_rollups(spark, folder, number=1).table(name).collect())) == before[name]
+    assert drop_versions(spark, folder, keep=2) == []
+    merge_batch(lines.where("Anio_mes IN ('2024-01', '2024-02', '2024-03')").where("Tipo = 'R'"), folder)
+    last = content(spark, folder)
+    assert last != after
+    assert len(drop_versions(spark, folder)) == 2 * len(ROLLUPS)
+    assert content(spark, folder) == last
+    with pytest.raises(ValueError):
+        snapshot(spark, folder, number=9)
+
+
+def test_a_batch_beside_another_is_an_error(spark, lines, tmp_path):
+    folder = str(tmp_path)
+    first = write_rollups(lines.where("Anio_mes = '2024-01'"), folder)
+    publish(spark, folder, first.replacing([], {}))
+    with pytest.raises(ConcurrentBatch):
+        publish(spark, folder, first.replacing([], {}))
+
+
+def test_tables_without_a_manifest_take_batches(spark, lines, tmp_path):
+    """Folders written without versions: read as they are, replaced month by month."""
+    folder = str(tmp_path)
+    old = lines.where("Anio_mes IN ('2024-01', '2024-02')").withColumn(
+        "Anio_mes", F.when(F.col("Anio_mes") == "2024-01", "20:1/%").otherwise(F.col("Anio_mes")))
+    for name in ROLLUPS:
+        build_rollup(old, name).drop(*["Anio_mes"] if name == "ventas_dia" else []).withColumns(
+            {"Anio_mes": F.lit("2024-02")} if name == "ventas_dia" else {}).write.partitionBy("Anio_mes").parquet(f"{folder}/{name}")
+    before = content(spark, folder)
+    assert set(snapshot(spark, folder).of("ventas")) == {"20:1/%", "2024-02"}
+    merge_batch(lines.where(BATCH), folder)
+    stored = read_rollup(spark, folder, "ventas")
+    assert sums(stored.where("Anio_mes = '20:1/%'")) == sums(old.where("Anio_mes = '20:1/%'"))
+    assert sums(stored.where(BATCH)) == sums(lines.where(BATCH))
+    assert content(spark, folder) != before
+
+
 def test_missing_tables_read_as_empty(spark, tmp_path):
     tables = read_rollups(spark, str(tmp_path / "nothing"))
     for name in ROLLUPS:
@@ -110,8 +184,9 @@ def test_a_month_is_few_files(spark, sf_dir):
 
 def test_a_batch_reads_only_its_months(spark, lines, tmp_path):
     folder = str(tmp_path)
-    write_rollups(lines.where("Anio_mes LIKE '2024-0%'"), folder)
-    plan = products_of(spark, folder, ["2024-05", "2024-06"])._jdf.queryExecution().executedPlan().toString()
+    state = write_rollups(lines.where("Anio_mes LIKE '2024-0%'"), folder)
+    some = {m: v for m, v in state.of("promo_prod").items() if m in ("2024-05", "2024-06")}
+    plan = products_of(spark, folder, Snapshot(0, {"promo_prod": some}))._jdf.queryExecution().executedPlan().toString()
     found = plan[plan.index("PartitionFilters"):].split("PushedFilters")[0]
     assert "2024-05" in found and "2024-06" in found and "Join" not in plan
 
