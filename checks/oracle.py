@@ -492,6 +492,8 @@ def _report_oracles() -> dict[str, str]:
 
 def all_oracles() -> dict[str, str]:
     from checks.oracle_analytics import analytics
+    from checks.queries import SHARED
     from checks.oracle_rows import rows_and_filters
 
-    return {**rows_and_filters(), **_report_oracles(), **analytics()}
+    own = {**rows_and_filters(), **_report_oracles(), **analytics()}
+    return own | {name: own[source] for name, source in SHARED.items()}

@@ -21,6 +21,7 @@ from gondola.operators.filters import FilterSpec, apply_filters
 from gondola.operators.rollup import build_rollup, roll_to_grain
 from gondola.plans import alerts, crosses, margin, overview, promotions, skus, yoy
 from gondola.plans import stores as store_plans
+from gondola.plans.lattice import shared
 from gondola.plans.reports import (
     REPORT_NAMES, all_reports, promo_drill_months, promo_drill_stores, report,
 )
@@ -161,9 +162,11 @@ def s07_products(tb: Testbed) -> DataFrame:
 
 
 def s08(tb: Testbed) -> DataFrame:
-    """The seven tables of the bundle, written and read back: rows, columns, revenue."""
+    """The seven tables of the bundle, from shared sub-aggregates, written and read back: rows, columns,
+    revenue."""
     def write(path: str) -> None:
-        write_bundle(all_reports(tb.rollups()), path)
+        with shared(tb.rollups()) as tables:
+            write_bundle(all_reports(tables), path)
 
     folder = tb.once("bundle", write)
 
@@ -396,6 +399,11 @@ def _r(tb: Testbed, name: str) -> DataFrame:
     return report(tb.rollups(), name)
 
 
+def _shared(tb: Testbed) -> Rollups:
+    """Shared sub-aggregates of the rollups, kept for the session."""
+    return tb._open("shared", lambda: shared(tb.rollups()))
+
+
 def _rows(tb: Testbed, name: str) -> DataFrame:
     """A report as input of another plan, which orders its own result."""
     return report(tb.rollups(), name, ordered=False)
@@ -526,6 +534,16 @@ REPORT_QUERIES: dict[str, Callable[[Testbed], DataFrame]] = {
     "q28_penetracion_cat_filtered": lambda tb: report(_filtered(tb, "f10"), "penetracion_cat"),
 }
 
+# Reports by way of shared sub-aggregates; each must agree with the SQL of the report itself.
+SHARED = {f"{q}_shared": q for q in (
+    "q01_kpis_v", "q03_treemap", "q11_promos", "q14_tiendas_v", "q19_ticket_promo_mes", "q21_sku_por_promo",
+    "q22_evo_ciclo", "q24_pen_cat_v", "q26_penetracion_prod", "q29_penetracion_cat_mes", "q34_yoy_mes",
+    "q36_sku_ranking", "q38_cobertura_prod")}
+SHARED_QUERIES: dict[str, Callable[[Testbed], DataFrame]] = {
+    name: (lambda report_name: lambda tb: report(_shared(tb), report_name))(source.split("_", 1)[1])
+    for name, source in SHARED.items()
+}
+
 ANALYTICS: dict[str, Callable[[Testbed], DataFrame]] = {
     "p01_header_kpis": lambda tb: overview.header_kpis(_r(tb, "kpis_v"), _r(tb, "kpis_t")),
     "p01_header_period": lambda tb: overview.period(tb.rollups().ventas, SPECS["f01"]),
@@ -640,5 +658,6 @@ def _as_query(build: Callable[[Testbed], DataFrame]) -> Query:
 
 
 def all_queries() -> dict[str, Query]:
-    groups = {**SOURCES_AND_ROWS, **FILTERS_AND_COLUMNS, **REPORT_QUERIES, **ANALYTICS}
+    groups = {**SOURCES_AND_ROWS, **FILTERS_AND_COLUMNS, **REPORT_QUERIES, **SHARED_QUERIES,
+              **ANALYTICS}
     return {name: _as_query(build) for name, build in groups.items()}

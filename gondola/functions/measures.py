@@ -7,7 +7,7 @@ measures are free to mention the same sums.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, functions as F
 
@@ -104,12 +104,13 @@ MEASURES: dict[str, Callable[[], Column]] = {
 }
 
 
-def measure(name: str) -> Column:
-    """One measure by name; ``"Alias=Name"`` renames it."""
+def measure(name: str, instead: Mapping[str, Column] | None = None) -> Column:
+    """One measure by name; ``"Alias=Name"`` renames it, and ``instead`` may compute it another way."""
     alias, _, source = name.partition("=")
-    return MEASURES[source or alias]().alias(alias)
+    source = source or alias
+    return (instead[source] if instead and source in instead else MEASURES[source]()).alias(alias)
 
 
-def measures(names: str | Iterable[str]) -> list[Column]:
+def measures(names: str | Iterable[str], instead: Mapping[str, Column] | None = None) -> list[Column]:
     parts = names.split() if isinstance(names, str) else list(names)
-    return [measure(n) for n in parts]
+    return [measure(n, instead) for n in parts]

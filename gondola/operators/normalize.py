@@ -135,4 +135,4 @@ def model_tables(stored: Rollups) -> Rollups:
         ventas=attach_cycle(ventas),
         productos=kept(stored.productos),
         promo_prod=kept(stored.promo_prod),
-    )
+    ).numbered()

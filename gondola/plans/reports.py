@@ -9,10 +9,11 @@ group keys as tie-break so the cut is the same on every run.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gondola.functions.bits import MAX_WORDS
 from gondola.functions.measures import measures, month_key, over, total
 from gondola.functions.text import (
     category_label, mechanic, or_dash, product_label, promo_label,
@@ -51,6 +52,10 @@ KEYS: dict[str, tuple[str, Key]] = {
 }
 
 
+def no_condition(rows: DataFrame) -> DataFrame:
+    return rows
+
+
 @dataclass(frozen=True)
 class Report:
     table: str
@@ -59,8 +64,8 @@ class Report:
     order: str = ""  # space-separated; "-" in front means descending
     limit: int = 0
     above: tuple[str, float] | None = None  # HAVING measure > bound
-    where: Callable[[DataFrame], DataFrame] = field(default=lambda df: df)
-    by: tuple[str, ...] = ()  # columns whose distinct values are counted: rows are summed by them first
+    where: Callable[[DataFrame], DataFrame] = no_condition
+    by: tuple[str, ...] = ()  # dimensions whose distinct values are counted
 
 
 def sorted_by(df: DataFrame, order: str, ties: list[str] = ()) -> DataFrame:
@@ -74,16 +79,29 @@ def sorted_by(df: DataFrame, order: str, ties: list[str] = ()) -> DataFrame:
     return df.orderBy(*columns) if columns else df
 
 
+#: Measures that count the distinct values of a dimension.
+COUNTS = {"Anio_mes": "Meses", "Tiendas": "N_tiendas"}
+
+
 def run_report(tables: Rollups, report: Report, ordered: bool = True) -> DataFrame:
-    rows = report.where(tables.table(report.table))
+    """A report from the smallest shared sub-aggregate that covers it, or else from its rollup."""
+    given = tables.shared.source(report) if tables.shared else None
+    rows, counts = given or (tables.table(report.table), {})
+    rows = report.where(rows)
     names = [KEYS[k][0] for k in report.keys.split()]
     keys = [KEYS[k][1]().alias(KEYS[k][0]) for k in report.keys.split()]
-    if report.by:
-        rows = rows.groupBy(*keys, *[F.col(c).alias(f"por_{c}") for c in report.by]).agg(
-            *[F.sum(m).alias(m) for m in AMOUNTS])
-        rows = rows.withColumnsRenamed({f"por_{c}": c for c in report.by if c not in names})
-        keys = [F.col(n) for n in names]
-    out = rows.groupBy(*keys).agg(*measures(report.measures))
+    if report.by and not given:
+        dimensions = [tables.dimension(c) for c in report.by]
+        if all(d.words() <= MAX_WORDS for d in dimensions):
+            for d in dimensions:
+                rows = d.numbered(rows)
+            counts = {COUNTS[d.column]: d.count() for d in dimensions}
+        else:  # more values than bits are kept for: rows are summed by them first
+            rows = rows.groupBy(*keys, *[F.col(c).alias(f"por_{c}") for c in report.by]).agg(
+                *[F.sum(m).alias(m) for m in AMOUNTS])
+            rows = rows.withColumnsRenamed({f"por_{c}": c for c in report.by if c not in names})
+            keys = [F.col(n) for n in names]
+    out = rows.groupBy(*keys).agg(*measures(report.measures, counts))
     if report.above:
         out = out.where(F.col(report.above[0]) > F.lit(report.above[1]))
     if report.order and (ordered or report.limit):
@@ -91,11 +109,11 @@ def run_report(tables: Rollups, report: Report, ordered: bool = True) -> DataFra
     return out.limit(report.limit) if report.limit else out
 
 
-def _with_store(ventas: DataFrame) -> DataFrame:
+def with_store(ventas: DataFrame) -> DataFrame:
     return ventas.where(F.col("Tiendas").isNotNull())
 
 
-def _with_promo_cycle(ventas: DataFrame) -> DataFrame:
+def with_promo_cycle(ventas: DataFrame) -> DataFrame:
     return only_promos(ventas).where(F.col("CicloAno_p") != "")
 
 
@@ -129,7 +147,7 @@ REPORTS: dict[str, Report] = {
     "tiendas_v": Report(
         "ventas", "store",
         "Ingresos Unidades Costo Margen Mg_pct Desc_pct Precio_lista Precio_ef Mix_promo",
-        "-Ingresos", where=_with_store),
+        "-Ingresos", where=with_store),
     "tiendas_t": Report("tickets", "store", "Tickets Tkt_promo"),
     "alertas": Report(
         "productos", "prod cat",
@@ -144,7 +162,7 @@ REPORTS: dict[str, Report] = {
         "-Ingresos", where=only_promos, by=("Anio_mes", "Tiendas")),
     "evo_ciclo": Report(
         "ventas", "cycle cat promo promo_code", "Ingresos Unidades Tiendas=N_tiendas Mg_pct",
-        "Ciclo Categoria", where=_with_promo_cycle),
+        "Ciclo Categoria", where=with_promo_cycle),
     "modalidad_venta": Report(
         "ventas", "modality cat", "Ingresos Unidades", "-Unidades", where=only_promos),
     "pen_cat_v": Report(
@@ -251,7 +269,7 @@ def promo_heatmap(tables: Rollups, top: int = 20) -> DataFrame:
 
 def store_heatmap(tables: Rollups, top: int = 20) -> DataFrame:
     """Revenue per month of the ``top`` stores."""
-    monthly = run_report(tables, Report("ventas", "store month", "Ingresos", where=_with_store))
+    monthly = run_report(tables, Report("ventas", "store month", "Ingresos", where=with_store))
     best = _best(monthly, ["Tiendas"], top)
     kept = monthly.join(F.broadcast(best.select("Tiendas")), "Tiendas")
     return sorted_by(kept, "Tiendas Anio_mes")
@@ -332,7 +350,8 @@ REPORT_NAMES = [*REPORTS, *_SHAPED]
 
 
 def report(tables: Rollups, name: str, ordered: bool = True) -> DataFrame:
-    """Any report by name; lazy.  ``ordered=False`` saves the final sort where the report feeds another
+    """Any report by name; lazy, but for the numbers of months and stores that distinct counts need once
+    for a set of tables.  ``ordered=False`` saves the final sort where the report feeds another
     plan (a limited report needs it all the same)."""
     if name in _SHAPED:
         return _SHAPED[name](tables)

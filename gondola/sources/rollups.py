@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gondola.functions.bits import Dimension
 from gondola.schema import ROLLUPS, rollup_schema
 from gondola.sources.versions import Snapshot, read_version, snapshot
 
@@ -20,6 +21,8 @@ class Rollups:
     promo_prod: DataFrame
     ventas_dia: DataFrame
     held: tuple[DataFrame, ...] = ()  # key sets cached for a filtered set
+    dimensions: dict[str, Dimension] = field(default_factory=dict)  # of the sales before any filter
+    shared: object = None  # sub-aggregates that answer reports (plans.lattice)
 
     def with_tables(self, **tables: DataFrame) -> "Rollups":
         return replace(self, **tables)
@@ -27,6 +30,14 @@ class Rollups:
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
+    def dimension(self, column: str) -> Dimension:
+        """Numbers of the months or stores of the sales; kept where ``numbered`` was called."""
+        return self.dimensions.get(column) or Dimension(self.ventas, column)
+
+    def numbered(self) -> "Rollups":
+        """The same tables, which number their months and stores once and keep that through filters."""
+        return replace(self, dimensions={c: Dimension(self.ventas, c) for c in ("Anio_mes", "Tiendas")})
+
     def holding(self, keys: list[DataFrame]) -> "Rollups":
         return replace(self, held=(*self.held, *keys))
 
