@@ -135,12 +135,10 @@ def nearest(spark: SparkSession, rows: DataFrame, query: Column, k: int = 20, ti
     ship(spark)
     scratch = Scratch(spark, "neighbours")
     vector = F.col("vector").cast("array<double>")
-    top = F.array_max(F.transform(vector, F.abs))
-    # lengths by way of the largest component, which does not overflow
-    length = top * F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + (x / top) * (x / top)))
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x))
     rows = rows.where(usable(F.col("vector"))).select(
         F.col("id").cast("long"), F.lit(0).cast("long").alias("label"), vector.alias("vector"),
-        F.coalesce(query, F.lit(False)).alias("query"), F.when(top > 0, length).alias("length"))
+        F.coalesce(query, F.lit(False)).alias("query"), length.alias("length"))
     rows = rows.where((F.col("length") > 0) & (F.col("length") < 1e150))
     placed = scratch.write("placed", tiled(scratch, rows, labelled=False, tile_rows=tile_rows))
     bounds = placed.agg(F.max("length"), F.max("tile")).first()

@@ -39,10 +39,11 @@ def tiled(scratch: Scratch, rows: DataFrame, labelled: bool, tile_rows: int = TI
     count = max(1, math.ceil(rows.count() / tile_rows))
     kinds = min(MAX_SLABS, count) if labelled else 1
     sides = min(MAX_SLABS, math.ceil(math.sqrt(count / kinds)))
-    out = _cut(rows.withColumn("slab", F.lit(0)), F.col("label").cast("double"), kinds)
+    out = _cut(rows.withColumn("slab", F.lit(0)), F.col("label").cast("double"), 1, kinds)
     out = out.withColumn("kind", F.col("slab"))
     for axis in (1, 2):
-        out = _cut(out, F.coalesce(F.try_element_at("vector", F.lit(axis)), F.lit(0.0)), sides)
+        value = F.coalesce(F.try_element_at("vector", F.lit(axis)), F.lit(0.0))
+        out = _cut(out, value, kinds * sides ** (axis - 1), sides)
     out = scratch.write("slabs", out)
     chunks = out.groupBy("dim", "kind", "slab").agg(F.ceil(F.count("*") / tile_rows).alias("chunks"))
     kind = Window.partitionBy("dim", "kind")  # over slabs, not rows: their number is bounded
@@ -55,12 +56,15 @@ def tiled(scratch: Scratch, rows: DataFrame, labelled: bool, tile_rows: int = TI
         (F.col("offset") + F.pmod(F.xxhash64("row"), F.col("chunks"))).alias("tile"))
 
 
-def _cut(rows: DataFrame, axis: Column, parts: int) -> DataFrame:
-    """``rows`` with their slab cut again by quantiles of ``axis`` within it; equal values stay together."""
+def _cut(rows: DataFrame, axis: Column, slabs: int, parts: int) -> DataFrame:
+    """``rows`` with each of their ``slabs`` cut by quantiles of ``axis`` within it; equal values stay together."""
     if parts < 2:
         return rows
-    cuts = rows.groupBy(F.col("slab").alias("_slab")).agg(F.percentile_approx(
-        axis, [k / parts for k in range(1, parts)], 2_000).alias("cuts"))
+    at = F.percentile_approx(axis, [k / parts for k in range(1, parts)], 2_000).alias("cuts")
+    if slabs == 1:
+        cuts = rows.agg(at).first()["cuts"] or []
+        return rows.withColumn("slab", F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c < axis)))
+    cuts = rows.groupBy(F.col("slab").alias("_slab")).agg(at)
     met = rows.join(F.broadcast(cuts), F.col("slab") == F.col("_slab"))  # MAX_SLABS ** 2 rows at most
     below = F.size(F.filter("cuts", lambda c: c < axis))
     return met.withColumn("slab", F.col("slab") * parts + below).drop("_slab", "cuts")
