@@ -189,6 +189,16 @@ def rows_and_filters() -> dict[str, str]:
         "n04_numeric_text": sql(
             "Transaccion Cod_prod " + number_out + " c4",
             "SELECT *, ROUND(CAST(Costo_unit AS DOUBLE), 4) AS c4 FROM limpio"),
+        "n04_rejected_amounts": sql(
+            "Transaccion Cod_prod Columna Motivo",
+            "SELECT Transaccion, Cod_prod, 'Importe' AS Columna, 'number too large' AS Motivo "
+            "FROM limpio WHERE CAST(Cod_prod AS INT) % 83 = 0 UNION ALL "
+            "SELECT Transaccion, Cod_prod, 'Precio_x_Cant', 'product too large' "
+            "FROM limpio WHERE CAST(Cod_prod AS INT) % 79 = 0"),
+        "n05_loaded_without_rejected": sql(
+            "Anio_mes Ingresos Unidades",
+            "SELECT Anio_mes, SUM(Importe) AS Ingresos, SUM(Cantidad) AS Unidades FROM limpio "
+            "WHERE CAST(Cod_prod AS INT) % 83 <> 0 AND CAST(Cod_prod AS INT) % 79 <> 0 GROUP BY 1"),
         "n05_line_extensions": sql(
             "Cod_prod " + _OUT4,
             "SELECT Cod_prod, SUM(Importe) AS Importe, SUM(Cantidad) AS Cantidad, "

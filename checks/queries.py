@@ -27,7 +27,7 @@ from gondola.plans.reports import (
 )
 from gondola.schema import KEPT_COLUMNS, MEASURES, RAW_COLUMNS, ROLLUPS
 from gondola.sinks.exports import BUNDLE, write_bundle, write_csv
-from gondola.sinks.rollups import merge_batch, write_rollups
+from gondola.sinks.rollups import ingest_batch, merge_batch, write_rollups
 from gondola.sources.dimensions import load_catalog, load_stores
 from gondola.sources.lines import scan_sales_csv
 from gondola.sources.rollups import Rollups, read_rollup
@@ -68,7 +68,35 @@ def _csv_lines(tb: Testbed) -> DataFrame:
 
 
 def _typed_lines(tb: Testbed) -> DataFrame:
-    return norm.with_promo_flag(norm.with_amounts(norm.with_dates(norm.dated_lines(_csv_lines(tb)))))
+    lines = norm.strict(norm.with_amounts(norm.with_dates(norm.dated_lines(_csv_lines(tb)))))
+    return norm.with_promo_flag(lines)
+
+
+def _flawed_batch(tb: Testbed) -> tuple[str, str]:
+    """Rollups and staging folder of a batch in which some amounts, and some products of amounts that are
+    none too large by themselves, do not fit."""
+    def write(path: str) -> None:
+        part, huge = F.expr("CAST(Cod_prod AS INT)"), "99999999999999999999"
+        rows = text_lines(tb.spark, tb.sf_dir).withColumns({
+            "Importe": F.when(part % 83 == 0, "1e30").otherwise(F.col("Importe")),
+            **{c: F.when(part % 79 == 0, huge).otherwise(F.col(c)) for c in ("Precio", "Cantidad")}})
+        rows.select(*RAW_COLUMNS).write.mode("overwrite").option("sep", ";").csv(f"{path}/texto")
+        ingest_batch(tb.spark, f"{path}/texto", f"{path}/tablas", f"{path}/lote")
+
+    folder = tb.once("lote_con_fallas", write)
+    return f"{folder}/tablas", f"{folder}/lote"
+
+
+def n04_rejected(tb: Testbed) -> DataFrame:
+    """The amounts put aside, with their column and reason."""
+    aside = tb.spark.read.parquet(f"{_flawed_batch(tb)[1]}/rechazos")
+    return aside.select("Transaccion", "Cod_prod", "Columna", "Motivo")
+
+
+def n05_loaded(tb: Testbed) -> DataFrame:
+    """What was loaded of the same batch."""
+    rows = read_rollup(tb.spark, _flawed_batch(tb)[0], "ventas")
+    return rows.groupBy("Anio_mes").agg(*measures("Ingresos Unidades"))
 
 
 def _catalog_file(tb: Testbed, name: str, only_type: str = "") -> str:
@@ -456,6 +484,8 @@ SOURCES_AND_ROWS: dict[str, Callable[[Testbed], DataFrame]] = {
         F.count(F.lit(1)).alias("lineas"))),
     "n04_numeric_text": lambda tb: _typed_lines(tb).select(
         "Transaccion", "Cod_prod", "Cantidad", "Precio", "Importe", "Costo_unit"),
+    "n04_rejected_amounts": n04_rejected,
+    "n05_loaded_without_rejected": n05_loaded,
     "n05_line_extensions": lambda tb: _typed_lines(tb).groupBy("Cod_prod").agg(
         *[F.sum(m).alias(m) for m in MEASURES]),
     "n06_promo_flag": lambda tb: _typed_lines(tb).groupBy(

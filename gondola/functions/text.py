@@ -29,23 +29,23 @@ def drop_na_tokens(column: Column) -> Column:
     return F.when(~column.isin(NA_TOKENS), column)
 
 
-def number_or_zero(column: Column, dtype, place: Column) -> Column:
-    """Numeric text as an exact decimal; anything else is zero.
+def number_or_zero(column: Column, dtype) -> Column:
+    """Numeric text as an exact decimal; anything else, or a number ``too_large`` for it, is zero.
 
     The cast goes straight to DECIMAL: unlike a cast to DOUBLE it takes no ``1.5d``, ``NaN`` or
-    ``Infinity``.  A number that does not fit is an error that names its ``place``, never a zero.
+    ``Infinity``.
     """
-    exact = column.try_cast(dtype)
-    too_large = F.raise_error(F.concat(F.lit("number too large: "), column, F.lit(" in "), place))
-    return F.coalesce(exact, F.when(column.rlike(PLAIN_NUMBER), too_large.cast(dtype)).otherwise(
-        F.lit(0).cast(dtype)))
+    return F.coalesce(column.try_cast(dtype), F.lit(0).cast(dtype))
 
 
-def exact_product(a: Column, b: Column, dtype, place: Column) -> Column:
-    """``a * b`` in the given type; a product that does not fit is an error that names its place."""
-    product = F.try_multiply(a, b).try_cast(dtype)
-    return F.coalesce(product, F.raise_error(
-        F.concat(F.lit("product too large in "), place)).cast(dtype))
+def too_large(column: Column, dtype) -> Column:
+    """Whether a text is a plain number that the type cannot hold."""
+    return column.try_cast(dtype).isNull() & F.coalesce(column.rlike(PLAIN_NUMBER), F.lit(False))
+
+
+def exact_product(a: Column, b: Column, dtype) -> Column:
+    """``a * b`` in the given type; NULL if it does not fit."""
+    return F.try_multiply(a, b).try_cast(dtype)
 
 
 # How a plain number is written.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gondola.functions.cycles import attach_cycle, week_label
 from gondola.functions.text import (
-    blank_to_null, exact_product, normalized_code, number_or_zero, strip,
+    blank_to_null, exact_product, normalized_code, number_or_zero, strip, too_large,
 )
 from gondola.schema import LINE_NUMBER, LINE_PRODUCT
 from gondola.sources.rollups import Rollups
@@ -42,18 +42,56 @@ def with_week(df: DataFrame) -> DataFrame:
     return df.withColumn("Semana", week_label(F.col("Fecha")))
 
 
+_NUMBERS = ("Cantidad", "Precio", "Importe", "Costo_unit")
+_PRODUCTS = {"Costo_total": "Costo_unit", "Precio_x_Cant": "Precio"}
+#: What is wrong with a line: column, reason and text of each amount that does not fit.
+FAULTS = "Rechazos"
+
+
 def with_amounts(lines: DataFrame) -> DataFrame:
-    """Numeric text to exact decimals, then the two line extensions."""
+    """Numeric text to exact decimals, then the two line extensions.
+
+    An amount that does not fit is never taken as some other one: ``Rechazos`` lists it, the column itself
+    is 0, and ``accepted`` or ``strict`` decide what becomes of the line.
+    """
+    def fault(condition: Column, column: str, reason: str, text: Column) -> Column:
+        return F.when(condition, F.struct(
+            F.lit(column).alias("Columna"), F.lit(reason).alias("Motivo"), text.alias("Texto")))
+
+    texts = lines.withColumns({f"_{c}": F.col(c) for c in _NUMBERS})
+    typed = texts.withColumns({c: number_or_zero(F.col(f"_{c}"), LINE_NUMBER) for c in _NUMBERS})
+    typed = typed.withColumns({
+        name: exact_product(F.col(price), F.col("Cantidad"), LINE_PRODUCT) for name, price in _PRODUCTS.items()})
+    faults = [fault(too_large(F.col(f"_{c}"), LINE_NUMBER), c, "number too large", F.col(f"_{c}"))
+              for c in _NUMBERS]
+    faults += [fault(F.col(name).isNull(), name, "product too large", F.concat_ws(" * ", f"_{price}", "_Cantidad"))
+               for name, price in _PRODUCTS.items()]
+    return typed.withColumn(FAULTS, F.filter(F.array(*faults), lambda x: x.isNotNull())).drop(
+        *[f"_{c}" for c in _NUMBERS])
+
+
+def accepted(lines: DataFrame) -> DataFrame:
+    """The lines whose amounts fit."""
+    return lines.where(F.size(FAULTS) == 0).drop(FAULTS)
+
+
+def strict(lines: DataFrame) -> DataFrame:
+    """All lines; an amount that does not fit is an error that names the file, offset and ticket."""
     parts = [F.col(c).cast("string") for c in ("Archivo", "Bloque") if c in lines.columns]
-    place = F.concat_ws(" at ", *parts, F.col("Transaccion"))
-    numbers = {c: number_or_zero(F.col(c), LINE_NUMBER, place)
-               for c in ("Cantidad", "Precio", "Importe", "Costo_unit")}
-    typed = lines.withColumns(numbers)
+    first = F.get(F.col(FAULTS), F.lit(0))
+    message = F.concat(first["Motivo"], F.lit(": "), first["Texto"], F.lit(" in "),
+                       F.concat_ws(" at ", *parts, F.col("Transaccion")))
+    checked = F.when(F.size(FAULTS) > 0, F.raise_error(message).cast(LINE_NUMBER))
+    return lines.withColumns({c: F.coalesce(checked, F.col(c)) for c in ("Importe", *_PRODUCTS)}).drop(FAULTS)
 
-    def extended(price: str) -> Column:
-        return exact_product(F.col(price), F.col("Cantidad"), LINE_PRODUCT, place)
 
-    return typed.withColumns({"Costo_total": extended("Costo_unit"), "Precio_x_Cant": extended("Precio")})
+def rejected(lines: DataFrame) -> DataFrame:
+    """The other lines: one row for each amount that does not fit, with the place of its line."""
+    order = F.col("Orden")
+    return lines.where(F.size(FAULTS) > 0).select(
+        "Archivo", F.floor(order / F.lit(_ROWS_PER_TASK)).cast("long").alias("Bloque"),
+        F.pmod(order, F.lit(_ROWS_PER_TASK).cast("decimal(38,0)")).cast("long").alias("Fila"),
+        "Fecha", "Tiendas", "Transaccion", "Cod_prod", F.inline(FAULTS))
 
 
 def with_promo_flag(lines: DataFrame) -> DataFrame:
@@ -83,8 +121,9 @@ def with_store_code(lines: DataFrame) -> DataFrame:
     return lines.withColumn("Tiendas", strip(F.col("Tiendas")))
 
 
-def normalize_lines(raw: DataFrame) -> DataFrame:
-    """The whole row-level path: narrow, no shuffle, one code-generated stage.
+def parse_lines(raw: DataFrame) -> DataFrame:
+    """The whole row-level path: narrow, no shuffle, one code-generated stage.  Lines with an amount that
+    does not fit carry it in ``Rechazos``.
 
     Week and cycle are functions of the date, so they are added to rolled-up rows (a few thousand
     dates) rather than to every line.
@@ -93,6 +132,12 @@ def normalize_lines(raw: DataFrame) -> DataFrame:
     return with_line_order(lines).drop("Fecha_raw")
 
 
+def normalize_lines(raw: DataFrame) -> DataFrame:
+    """Parsed lines, all of whose amounts fit; one that does not is an error."""
+    lines = with_promo_flag(strict(with_amounts(with_dates(with_store_code(dated_lines(raw))))))
+    return with_line_order(lines).drop("Fecha_raw")
+
+
 def in_model(category: Column) -> Column:
     """False for excluded categories; a NULL category stays in the model.
 

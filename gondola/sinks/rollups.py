@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from gondola.operators.normalize import normalize_lines
+from gondola.operators.normalize import FAULTS, accepted, parse_lines, rejected
 from gondola.operators.rollup import build_rollup
 from gondola.schema import MONTH, ROLLUPS, rollup_schema
 from gondola.sources.lines import scan_sales_csv
@@ -86,14 +87,51 @@ def merge_batch(lines: DataFrame, folder: str) -> list[str]:
     return months
 
 
-def ingest(
+class TooManyRejected(RuntimeError):
+    """A batch with more rejected lines than its caller allows; the rollups are as they were."""
+
+
+@dataclass(frozen=True)
+class Batch:
+    """What became of a batch: replaced months, lines read, lines put aside, and where these are."""
+
+    months: list[str]
+    lines: int
+    rejected: int
+    rejected_path: str
+
+
+def ingest_batch(
     spark: SparkSession, csv_path: str, folder: str, staging: str, partitions: int | None = None,
-) -> list[str]:
+    max_rejected: int | None = None,
+) -> Batch:
     """Raw line files to rollups: parse once into ``staging``, then merge the months they hold.
 
     Works for the first load and for every later batch alike.  A caller whose files cannot be split
     (compressed text) may deal the lines out to a number of ``partitions``, at the price of a shuffle.
+
+    Lines with an amount too large for its type are put aside: a row for each such amount, with file,
+    split offset, row, column, reason and text, in ``<staging>/rechazos``.  The rest of the batch is loaded,
+    unless more than ``max_rejected`` lines are put aside.  Lines are counted as they are staged.
     """
-    lines = normalize_lines(scan_sales_csv(spark, csv_path))
+    lines = parse_lines(scan_sales_csv(spark, csv_path))
     lines = lines.repartition(partitions) if partitions else lines
-    return merge_batch(stage_lines(lines, staging), folder)
+    counts = Observation("lines")
+    bad = F.when(F.size(FAULTS) > 0, 1)
+    staged = stage_lines(lines.observe(
+        counts, F.count(F.lit(1)).alias("lines"), F.count(bad).alias("rejected")), staging)
+    found = counts.get
+    path = f"{staging}/rechazos"
+    rejected(staged).write.mode("overwrite").parquet(path)
+    if max_rejected is not None and found["rejected"] > max_rejected:
+        raise TooManyRejected(f"{found['rejected']} of {found['lines']} lines are in {path}")
+    months = merge_batch(accepted(staged), folder)
+    return Batch(months, found["lines"], found["rejected"], path)
+
+
+def ingest(
+    spark: SparkSession, csv_path: str, folder: str, staging: str, partitions: int | None = None,
+    max_rejected: int | None = None,
+) -> list[str]:
+    """``ingest_batch``, of which only the replaced months are wanted."""
+    return ingest_batch(spark, csv_path, folder, staging, partitions, max_rejected).months

@@ -7,7 +7,9 @@ from gondola.operators.rollup import build_rollup
 from gondola.plans.reports import report
 from gondola.schema import MEASURES, ROLLUPS, rollup_schema
 from gondola.sinks import rollups as sink
-from gondola.sinks.rollups import ingest, merge_batch, products_of, write_rollups
+from gondola.sinks.rollups import (
+    TooManyRejected, ingest, ingest_batch, merge_batch, products_of, write_rollups,
+)
 from gondola.sources.rollups import read_rollup, read_rollups
 from gondola.sources.versions import ConcurrentBatch, Snapshot, drop_versions, publish, snapshot
 from gondola.testbed import Testbed
@@ -175,6 +177,28 @@ def test_ingest_from_csv_to_rollups(spark, tmp_path):
     assert [(r[0], float(r[1])) for r in rows] == [("2024-01", 100.0), ("2024-02", 50.0)]
 
 
+def test_lines_with_an_amount_that_does_not_fit_are_put_aside(spark, tmp_path):
+    raw, folder, staging = (str(tmp_path / d) for d in ("raw", "rollups", "staging"))
+    (tmp_path / "raw").mkdir()
+    huge = "9" * 20
+    (tmp_path / "raw" / "a.csv").write_text("\n".join([
+        line(net="100", qty="2"), line(net="1e30", code="p2"), line(code="p3", qty=huge, price=huge, cost="-1e25"),
+        line(net="1,5"), line(day="20240203", net="7")]))
+    with pytest.raises(TooManyRejected, match="2 of 5 lines"):
+        ingest_batch(spark, raw, folder, staging, max_rejected=1)
+    assert all(read_rollup(spark, folder, n).isEmpty() for n in ROLLUPS)
+    done = ingest_batch(spark, raw, folder, staging, max_rejected=2)
+    assert (done.months, done.lines, done.rejected) == (["2024-01", "2024-02"], 5, 2)
+    rows = read_rollup(spark, folder, "ventas").groupBy("Anio_mes").agg(F.sum("Importe")).collect()
+    assert {r[0]: float(r[1]) for r in rows} == {"2024-01": 100.0, "2024-02": 7.0}
+    aside = spark.read.parquet(done.rejected_path).collect()
+    assert {(r["Fila"], r["Cod_prod"], r["Columna"], r["Motivo"], r["Texto"]) for r in aside} == {
+        (1, "p2", "Importe", "number too large", "1e30"),
+        (2, "p3", "Costo_unit", "number too large", "-1e25"),
+        (2, "p3", "Precio_x_Cant", "product too large", f"{huge} * {huge}")}
+    assert all(r["Archivo"].endswith("a.csv") and r["Bloque"] == 0 for r in aside)
+
+
 def test_a_month_is_few_files(spark, sf_dir):
     """Rebalancing keeps a month together instead of one file per task."""
     folder = Testbed(spark, sf_dir).once("rollups", lambda p: None)
