@@ -23,6 +23,16 @@ def additive_rollup(lines: DataFrame, name: str) -> DataFrame:
     return lines.groupBy(*ROLLUP_KEYS[name]).agg(*_sums())
 
 
+#: Grouping columns of the detail that the sales and daily rollups have in common.
+DETAIL_KEYS = ["Fecha", *ROLLUP_KEYS["ventas"]]
+
+
+def detail(lines: DataFrame) -> DataFrame:
+    """Sums per day, store, category, promo, type and system: ``ventas`` and ``ventas_dia`` are sums of
+    these, so both come from one pass over the lines."""
+    return lines.groupBy(*DETAIL_KEYS).agg(*_sums())
+
+
 def daily_rollup(lines: DataFrame) -> DataFrame:
     """Rollup per day.  Month, week and cycle follow from the day, so the lines are grouped by the
     day alone and the other three are added to the result."""

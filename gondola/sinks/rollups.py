@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from gondola.operators.normalize import FAULTS, accepted, parse_lines, rejected
-from gondola.operators.rollup import build_rollup
+from gondola.operators.rollup import build_rollup, detail
 from gondola.schema import MONTH, ROLLUPS, rollup_schema
 from gondola.sources.lines import scan_sales_csv
 from gondola.sources.rollups import read_rollup
@@ -43,10 +43,11 @@ def stage_lines(lines: DataFrame, folder: str) -> DataFrame:
 def write_rollups(lines: DataFrame, folder: str, months: list[str] | None = None) -> Snapshot:
     """All five rollups; with the list of the lines' months, only those months are replaced.
 
-    The four that read the lines are independent jobs and are submitted together, so the slow last
-    tasks of one overlap with the next.  ``productos`` then comes from the stored ``promo_prod``:
-    summing a table already grouped by a superset of its keys replaces another pass over the lines.
-    Only its new folders are read.
+    The lines are passed over three times: for ``promo_prod``, for ``tickets``, and for a detail that
+    both ``ventas`` and ``ventas_dia`` are sums of; it is cached until these are written, and a lost
+    executor computes its part again.  ``productos`` comes from the stored ``promo_prod``, of which only
+    the new folders are read.  The jobs are submitted together, so the slow last tasks of one overlap
+    with the next.
 
     The new months are published together at the end (``sources.versions``): a reader sees all five
     tables before the batch or after it, and a job that ends half way leaves them as they were.  A month
@@ -55,14 +56,22 @@ def write_rollups(lines: DataFrame, folder: str, months: list[str] | None = None
     spark = lines.sparkSession
     before, version = snapshot(spark, folder), uuid.uuid4().hex
 
-    def write(name: str) -> dict[str, str]:
-        return write_rollup(build_rollup(lines, name), folder, name, version)
-
-    from_lines = [name for name in ROLLUPS if name != "productos"]
-    with ThreadPoolExecutor(len(from_lines)) as pool:
-        written = dict(zip(from_lines, pool.map(write, from_lines)))  # raises the first failure
-    products = products_of(spark, folder, Snapshot(0, written))
-    written["productos"] = write_rollup(products, folder, "productos", version)
+    fine = detail(lines).persist()
+    sources = {"ventas": fine, "ventas_dia": fine, "promo_prod": lines, "tickets": lines}
+
+    def write(name: str) -> dict[str, dict[str, str]]:
+        done = {name: write_rollup(build_rollup(sources[name], name), folder, name, version)}
+        if name == "promo_prod":
+            products = products_of(spark, folder, Snapshot(0, done))
+            done["productos"] = write_rollup(products, folder, "productos", version)
+        return done
+
+    try:
+        with ThreadPoolExecutor(len(sources)) as pool:
+            parts = list(pool.map(write, sources))  # raises the first failure
+    finally:
+        fine.unpersist()
+    written = {name: of_table for part in parts for name, of_table in part.items()}
     new = before.replacing(months, written)
     publish(spark, folder, new)
     return new
