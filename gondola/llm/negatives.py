@@ -8,8 +8,8 @@ Nearness is the inner product, ties go to the smaller id.
 Rows are packed into tiles of an R-tree (``tiles``, ``rtree``): the slabs of labels and coordinates are its
 upper levels, each tile is a subtree with minimum bounding boxes.  A box bounds the inner product of every
 row in it, coordinate by coordinate; a best-first queue takes the box with the greatest bound and leaves
-boxes outside all windows, of the wrong labels, or strictly below the k-th score found.  Positives are
-first searched in the anchor's own tile; their k-th score prunes in the other tiles of the label.
+boxes outside all windows, of the wrong labels, or strictly below the k-th score found.  Positives and
+negatives are first searched in the anchor's own tile; the k-th score there prunes in all others.
 
 Defined results: rows with a null label, a null or empty vector or a component that is null or not finite
 take no part.  Rows that share the anchor's id are the anchor itself, and so neither its positives nor its
@@ -29,16 +29,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gondola.llm.common import Scratch, ship
-from gondola.llm.rtree import RTree
+from gondola.llm.rtree import EXACT, RTree
 from gondola.llm.tiles import NO_ID, PACKED, TILE_ROWS, pack, tiled, unpack, usable, visit
 
 BLOCK_ROWS = 256
 LONGEST = (1 << 63) - 1
+NO_FLOOR = -LONGEST - 1
 FOUND = "row long, other long, score long"
 #: A tile with the anchors in it, as blocks, and what they find within it.
 TILE = f"{PACKED}, blocks array<struct<rows: binary, floors: binary, ids: binary, labels: binary, " \
        "vectors: binary, first: long, last: long>>, home array<struct<row: long, other: long, score: long>>"
 HARD = "row long, pair int, other long, score long"
+#: Anchors with their positives, and what they find in their own tile.
+BLOCK_COLUMNS = ["own long", "dim int", "rows binary", "ids binary", "labels binary", "vectors binary",
+                 "scores array<array<long>>", "pairs array<array<int>>", "floors array<array<long>>",
+                 "home array<struct<row: long, pair: int, other: long, score: long>>"]
 
 
 class Best:
@@ -65,47 +70,48 @@ def quantized(vector: Column, steps: int = 256) -> Column:
     return F.transform(vector.cast("array<double>"), lambda x: F.floor(x * steps).cast("double"))
 
 
-def nearest_same(tree: RTree, query: np.ndarray, own: int, label: int, k: int, floor: float) -> Best:
-    """The best ``k`` rows of ``label`` in a tile, besides those with the id ``own``."""
-    best = Best(k, floor)
-
-    def admits(low, high, small, large):
-        return (small <= label) & (large >= label) & (high >= best.least())
-
-    for rows in tree.best_first(query, admits, best.least):
-        scores = tree.scores(rows, query)
-        good = (tree.labels[rows] == label) & (tree.ids[rows] != own) & (scores >= best.least())
-        for i in np.flatnonzero(good):
-            best.add(scores[i], int(tree.ids[rows][i]))
-    return best
-
-
-def nearest_other(tree: RTree, query: np.ndarray, own: int, label: int, k: int,
-                  windows: list[tuple[int, int]]) -> list[Best]:
-    """For each window of scores the best ``k`` rows of other labels in a tile."""
-    found = [Best(k, low) for low, _ in windows]
-    tops = np.array([high for _, high in windows], dtype=object if any(abs(h) > 2 ** 52 for _, h in windows) else float)
-
-    def least() -> float:
-        return min(b.least() for b in found)
-
-    def admits(low, high, small, large):
-        floors = np.array([b.least() for b in found])
-        other = ~((small == label) & (large == label))
-        return other & ((low[:, None] <= tops) & (high[:, None] >= floors)).any(axis=1)
-
-    for rows in tree.best_first(query, admits, least):
-        scores = tree.scores(rows, query)
-        good = (tree.labels[rows] != label) & (tree.ids[rows] != own) & (scores >= least())
-        for i in np.flatnonzero(good):
-            for best, (_, high) in zip(found, windows):
-                if best.least() <= scores[i] <= high:
-                    best.add(scores[i], int(tree.ids[rows][i]))
+def nearest(tree: RTree, queries: np.ndarray, own: np.ndarray, labels: np.ndarray, same: bool, k: int,
+            floors: list[list], tops: list[list]) -> list[list[Best]]:
+    """For each query and each of its windows of scores the best ``k`` rows of a tile, of the query's label
+    or of others, besides those with its own id.  A window is closed if its floor is above its top."""
+    found = [[Best(k, floor) for floor in of_query] for of_query in floors]
+    exact = tree.exact(queries)
+    kind = np.float64 if exact else object
+    width = max(map(len, floors))
+    low, high = (np.array([[*x, *[fill] * (width - len(x))] for x in of], dtype=kind)
+                 for of, fill in ((floors, np.inf), (tops, -np.inf)))
+    low = np.where((low > high).astype(bool), np.inf, low)
+
+    def admits(fewest, most, small, large):
+        of_label = (small <= labels) & (large >= labels) if same else ~((small == labels) & (large == labels))
+        return of_label & ((fewest[:, None] <= high) & (most[:, None] >= low)).astype(bool).any(axis=1)
+
+    for rows, active in tree.best_first(queries, admits, lambda: low.min(axis=1)):
+        scores = tree.scores(rows, queries if len(active) == len(queries) else queries[active])
+        if not exact:
+            scores = scores.astype(object)
+        good = (scores >= low[active].min(axis=1)).astype(bool) & (scores <= high[active].max(axis=1)).astype(bool)
+        row, at = np.nonzero(good)
+        of_label = tree.labels[rows][row] == labels[active][at]
+        keep = np.flatnonzero((of_label == same) & (tree.ids[rows][row] != own[active][at]))
+        row, at = row[keep], at[keep]
+        value, query, ids = scores[row, at], active[at], tree.ids[rows][row]
+        hit = ((value[:, None] >= low[query]) & (value[:, None] <= high[query])).astype(bool)
+        for i, w in zip(*(x.tolist() for x in np.nonzero(hit))):
+            best, score = found[query[i]][w], value[i]
+            if score >= best.least():
+                best.add(score, int(ids[i]))
+                low[query[i], w] = best.least()
     return found
 
 
 def held(value: int) -> int:
-    return max(-LONGEST - 1, min(LONGEST, int(value)))
+    return max(NO_FLOOR, min(LONGEST, int(value)))
+
+
+def below(value: float) -> float:
+    """The same or a little less in double precision, so that rounding lifts no floor."""
+    return float(value) if abs(value) < EXACT else float(np.nextafter(float(value), -np.inf))
 
 
 def mine(spark: SparkSession, rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 3,
@@ -127,10 +133,11 @@ def mine(spark: SparkSession, rows: DataFrame, anchor: Column, positives: int =
         tile = pack(part)
         tree, chosen, home, floors = RTree(*unpack(tile)), part[part["anchor"]], [], []
         ids, labels, vectors = unpack(pack(chosen)) if len(chosen) else ((), (), ())
-        for row, own, label, query in zip(chosen["row"], ids, labels, vectors):
-            best = nearest_same(tree, query, int(own), int(label), positives, -np.inf)
+        anyone = [[-np.inf]] * len(chosen), [[np.inf]] * len(chosen)
+        found = nearest(tree, vectors, ids, labels, True, positives, *anyone) if len(chosen) else []
+        for row, (best,) in zip(chosen["row"], found):
             home += [{"row": int(row), "other": other, "score": held(s)} for s, other in best.sorted()]
-            floors.append(float(best.least()))
+            floors.append(below(best.least()))
         blocks = []
         for k in range(0, len(chosen), BLOCK_ROWS):
             some = chosen.iloc[k:k + BLOCK_ROWS]
@@ -149,63 +156,73 @@ def mine(spark: SparkSession, rows: DataFrame, anchor: Column, positives: int =
         if block["own"] == block["tile"]:
             return  # searched when it was packed
         ids, labels, vectors = unpack(block)
-        for row, own, label, query, floor in zip(
-                np.frombuffer(block["rows"], dtype=np.int64), ids, labels, vectors, np.frombuffer(block["floors"])):
-            best = nearest_same(tree, query, int(own), int(label), positives, float(floor))
-            yield from ({"row": int(row), "other": other, "score": held(s)} for s, other in best.sorted())
+        floors = np.frombuffer(block["floors"])[:, None].tolist()
+        found = nearest(tree, vectors, ids, labels, True, positives, floors, [[np.inf]] * len(ids))
+        for row, (best,) in zip(np.frombuffer(block["rows"], dtype=np.int64).tolist(), found):
+            yield from ({"row": row, "other": other, "score": held(s)} for s, other in best.sorted())
 
     near = visit(tiles, blocks, F.col("first"), F.col("last"), build, others, FOUND).unionByName(
         table.select(F.inline("home")))
     order = Window.partitionBy("row").orderBy(F.desc("score"), "other")
     near = near.withColumn("pair", F.row_number().over(order)).where(F.col("pair") <= positives)
     pairs = placed.where("anchor").select(
-        "row", F.col("id").alias("anchor_id"), "label", "vector", "dim").join(near, "row").select(
-        "row", "anchor_id", "label", "vector", "dim", "pair", F.col("other").alias("positive_id"),
+        "tile", "row", F.col("id").alias("anchor_id"), "label", "vector").join(near, "row").select(
+        "tile", "row", "anchor_id", "label", "vector", "pair", F.col("other").alias("positive_id"),
         F.col("score").alias("positive_score"))
     pairs = scratch.write("positives", pairs)
     least, most = window
 
-    def bundled(part: pd.DataFrame) -> pd.DataFrame:
-        """A block of anchors with the windows of their positives."""
-        part = part.sort_values(["row", "pair"])
+    def searched(tree: RTree, block: dict) -> Iterator[tuple[int, int, int, Best]]:
+        """What each anchor and positive of a block finds in a tile: (anchor, row, pair, best)."""
+        ids, labels, vectors = unpack(block)
+        lows = [[max(-(-least * int(s) // 100), int(f)) for s, f in zip(*x)]
+                for x in zip(block["scores"], block["floors"])]
+        highs = [[most * int(s) // 100 for s in x] for x in block["scores"]]
+        found = nearest(tree, vectors, ids, labels, False, negatives, lows, highs)
+        for at, row in enumerate(np.frombuffer(block["rows"], dtype=np.int64).tolist()):
+            yield from ((at, row, int(pair), best) for pair, best in zip(block["pairs"][at], found[at]))
+
+    def bundled(tile: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        """The anchors of a tile as blocks, with the windows of their positives and what they find in the
+        tile, whose k-th score is the floor elsewhere."""
+        if not len(part):
+            return pd.DataFrame(columns=[c.split()[0] for c in BLOCK_COLUMNS])
+        record = tile.to_dict("records")[0]
+        tree, part, out = build(record), part.sort_values(["row", "pair"]), []
         heads = part.drop_duplicates("row")
-        lists = [list(map(int, x)) for _, x in part.groupby("row")["positive_score"]]
-        pairs = [list(map(int, x)) for _, x in part.groupby("row")["pair"]]
-        return pd.DataFrame([{
-            "dim": int(heads["dim"].iloc[0]), "rows": heads["row"].to_numpy(np.int64).tobytes(),
-            "ids": heads["anchor_id"].to_numpy(np.int64).tobytes(),
-            "labels": heads["label"].to_numpy(np.int64).tobytes(),
-            "vectors": np.array(heads["vector"].tolist(), dtype=np.float64).tobytes(),
-            "scores": lists, "pairs": pairs}])
-
-    count = placed.where("anchor").count()
-    total = int(placed.agg(F.coalesce(F.max("tile"), F.lit(-1))).first()[0])
-    deal = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-count // BLOCK_ROWS))))
-    blocks = pairs.groupBy("dim", deal.alias("block")).applyInPandas(
-        bundled, "dim int, rows binary, ids binary, labels binary, vectors binary, "
-                 "scores array<array<long>>, pairs array<array<int>>")
-    blocks = scratch.write("blocks", blocks)
+        lists = [part.groupby("row")[c].apply(list).tolist() for c in ("positive_score", "pair")]
+        for k in range(0, len(heads), BLOCK_ROWS):
+            some = heads.iloc[k:k + BLOCK_ROWS]
+            scores, numbers = (x[k:k + BLOCK_ROWS] for x in lists)
+            block = {"own": record["tile"], "dim": record["dim"], "rows": some["row"].to_numpy(np.int64).tobytes(),
+                     "ids": some["anchor_id"].to_numpy(np.int64).tobytes(),
+                     "labels": some["label"].to_numpy(np.int64).tobytes(),
+                     "vectors": np.array(some["vector"].tolist(), dtype=np.float64).tobytes(),
+                     "scores": scores, "pairs": numbers, "floors": [[NO_FLOOR] * len(n) for n in numbers], "home": []}
+            floors = [[NO_FLOOR] * len(n) for n in numbers]
+            for at, row, pair, best in searched(tree, block):
+                block["home"] += [{"row": row, "pair": pair, "other": other, "score": held(s)}
+                                  for s, other in best.sorted()]
+                if len(best.heap) == negatives and best.least() > NO_FLOOR:
+                    floors[at][numbers[at].index(pair)] = held(best.least())
+            out.append(block | {"floors": floors})
+        return pd.DataFrame(out)
+
+    blocks = scratch.write("blocks", tiles.groupBy("tile").cogroup(pairs.groupBy("tile")).applyInPandas(
+        bundled, ", ".join(BLOCK_COLUMNS)))
 
     def mined(tree: RTree, block: dict) -> Iterator[dict]:
-        ids, labels, vectors = unpack(block)
-        for row, own, label, query, scores, numbers in zip(
-                np.frombuffer(block["rows"], dtype=np.int64), ids, labels, vectors, block["scores"], block["pairs"]):
-            windows = [(-(-least * s // 100), most * s // 100) for s in map(int, scores)]
-            open_ = [k for k, (low, high) in enumerate(windows) if low <= high]
-            if not open_:
-                continue
-            found = nearest_other(tree, query, int(own), int(label), negatives, [windows[k] for k in open_])
-            for k, best in zip(open_, found):
-                for score, other in best.sorted():
-                    yield {"row": int(row), "pair": int(numbers[k]), "other": other, "score": held(score)}
-
-    if total < 0:
-        hard = spark.createDataFrame([], HARD)
-    else:
-        hard = visit(tiles, blocks, F.lit(0), F.lit(total), build, mined, HARD)
+        if block["own"] == block["tile"]:
+            return  # searched when it was bundled
+        for _, row, pair, best in searched(tree, block):
+            yield from ({"row": row, "pair": pair, "other": other, "score": held(s)} for s, other in best.sorted())
+
+    total = int(placed.agg(F.coalesce(F.max("tile"), F.lit(0))).first()[0])
+    hard = visit(tiles, blocks.drop("home"), F.lit(0), F.lit(total), build, mined, HARD).unionByName(
+        blocks.select(F.inline("home")))
     order = Window.partitionBy("row", "pair").orderBy(F.desc("score"), "other")
     hard = hard.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
     known = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
-    return hard.join(pairs.drop("vector", "label", "dim"), ["row", "pair"]).select(
+    return hard.join(pairs.drop("vector", "label", "tile"), ["row", "pair"]).select(
         "anchor_id", known("positive_id").alias("positive_id"), "rank", known("other").alias("negative_id"),
         "positive_score", F.col("score").alias("negative_score"))

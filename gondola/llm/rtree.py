@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-LEAF_ROWS = 64
-FANOUT = 16
+LEAF_ROWS = 128
+FANOUT = 32
 #: Sums of products of whole numbers below this are exact in double precision.
 EXACT = float(1 << 53)
 
@@ -50,37 +50,43 @@ class RTree:
             if len(starts) == 1:
                 break
 
-    def scores(self, rows: slice, query: np.ndarray) -> np.ndarray:
-        """Exact inner products with whole numbers; beyond double precision as Python's integers."""
-        if self.largest * float(np.abs(query).max()) * len(query) < EXACT:
-            return self.vectors[rows] @ query
-        whole = [int(x) for x in query]
-        return np.array([sum(int(a) * b for a, b in zip(v, whole)) for v in self.vectors[rows]], dtype=object)
+    def exact(self, queries: np.ndarray) -> bool:
+        """Whether double precision holds all inner products with whole numbers."""
+        return self.largest * float(np.abs(queries).max()) * queries.shape[1] < EXACT
 
-    def best_first(self, query: np.ndarray, admits: Callable, least: Callable[[], float]) -> Iterator[slice]:
-        """Leaves as slices of rows, the one with the greatest possible inner product first.
+    def scores(self, rows: slice, queries: np.ndarray) -> np.ndarray:
+        """Exact inner products, a row for each vector; beyond double precision as Python's integers."""
+        if self.exact(queries):
+            return self.vectors[rows] @ queries.T
+        whole = [[int(x) for x in q] for q in queries]
+        return np.array([[sum(int(a) * b for a, b in zip(v, q)) for q in whole] for v in self.vectors[rows]], dtype=object)
 
-        ``admits(least possible, greatest possible, least label, greatest label)`` tells of several boxes
-        at once whether they can matter; boxes strictly below ``least()``, as it is by then, are left.
+    def best_first(self, queries: np.ndarray, admits: Callable, least: Callable[[], np.ndarray]
+                   ) -> Iterator[tuple[slice, np.ndarray]]:
+        """Leaves as slices of rows with the numbers of the queries that have to see them; the leaf with the
+        greatest possible inner product with any query first.
+
+        ``admits(least possible, greatest possible, least label, greatest label)`` tells for which queries a
+        box can matter; a query leaves boxes strictly below its ``least()``, as it is by then.  Queries of one
+        block share the queue, so that a leaf is scored for all of them at once.
         """
-        up, down = np.maximum(query, 0.0), np.minimum(query, 0.0)
-        slack = 1e-12 * self.largest * float(np.abs(query).sum())  # for sums that are not exact
-        top = len(self.levels) - 1
-        queue = [(-np.inf, top, 0, -np.inf)]
-        first = True
+        up, down = np.maximum(queries, 0.0).T, np.minimum(queries, 0.0).T
+        slack = 1e-12 * self.largest * np.abs(queries).sum(axis=1)  # for sums that are not exact
+        bounds = [(low @ up + high @ down - slack, high @ up + low @ down + slack) for low, high, _, _ in self.levels]
+        queue = [(-np.inf, len(self.levels) - 1, 0)]
         while queue:
-            bound, level, box, floor = heapq.heappop(queue)
-            if -bound < least():
+            bound, level, box = heapq.heappop(queue)
+            floors = least()
+            if -bound < floors.min():
                 return  # the queue is in order: all others are below as well
-            if not first and not admits(np.array([floor]), np.array([-bound]), *(
-                    x[box:box + 1] for x in self.levels[level][2:]))[0]:
-                continue  # what was found since rules it out
+            fewest, most = (x[box] for x in bounds[level])
+            _, _, small, large = self.levels[level]
+            active = np.flatnonzero(admits(fewest, most, small[box], large[box]) & (most >= floors).astype(bool))
+            if not len(active):
+                continue
             if level == 0:
-                yield slice(box * self.leaf, (box + 1) * self.leaf)
+                yield slice(box * self.leaf, (box + 1) * self.leaf), active
                 continue
-            first = False
-            inside = slice(box * FANOUT, (box + 1) * FANOUT)
-            low, high, small, large = (x[inside] for x in self.levels[level - 1])
-            most, fewest = high @ up + low @ down + slack, low @ up + high @ down - slack
-            for k in np.flatnonzero(admits(fewest, most, small, large) & (most >= least())):
-                heapq.heappush(queue, (-float(most[k]), level - 1, box * FANOUT + int(k), float(fewest[k])))
+            most = bounds[level - 1][1]
+            for k in range(box * FANOUT, min((box + 1) * FANOUT, len(most))):
+                heapq.heappush(queue, (-float(most[k][active].max()), level - 1, k))

@@ -95,12 +95,13 @@ def test_boxes_prune_and_miss_nothing():
     centres = rng.standard_normal((30, 4)) * 10
     vectors = np.floor(256 * (np.repeat(centres, 100, axis=0) + rng.standard_normal((3_000, 4)) * 0.1))
     labels = np.repeat(np.arange(30) % 3, 100)
-    tree, query = RTree(np.arange(3_000), labels, vectors), vectors[17]
+    tree, query = RTree(np.arange(3_000), labels, vectors, leaf=64), vectors[17]
     best = negatives.Best(5)
     visited = 0
-    for rows in tree.best_first(query, lambda low, high, small, large: high >= best.least(), best.least):
+    least = lambda: np.array([best.least()])
+    for rows, _ in tree.best_first(query[None], lambda low, high, small, large: high >= least(), least):
         visited += 1
-        for s, i in zip(tree.scores(rows, query), tree.ids[rows]):
+        for s, i in zip(tree.scores(rows, query[None])[:, 0], tree.ids[rows]):
             best.add(s, int(i))
     scores = vectors @ query
     assert best.sorted() == [(int(scores[i]), i) for i in sorted(range(3_000), key=lambda i: (-scores[i], i))[:5]]
