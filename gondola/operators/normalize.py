@@ -110,9 +110,9 @@ def with_line_order(lines: DataFrame) -> DataFrame:
     are read by one task in file order, so the pair orders a whole file.  It is one DECIMAL rather
     than a struct because a fixed-width value can live in a hash-aggregation buffer.
     """
-    row = F.pmod(F.monotonically_increasing_id(), F.lit(_ROWS_PER_TASK))
+    row = F.pmod(F.col("Fila"), F.lit(_ROWS_PER_TASK))
     offset = F.col("Bloque").cast("decimal(20,0)") * F.lit(_ROWS_PER_TASK).cast("decimal(11,0)")
-    return lines.withColumn("Orden", (offset + row).cast("decimal(38,0)")).drop("Bloque")
+    return lines.withColumn("Orden", (offset + row).cast("decimal(38,0)")).drop("Bloque", "Fila")
 
 
 def with_store_code(lines: DataFrame) -> DataFrame:

@@ -5,27 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gondola.functions.text import drop_na_tokens
-from gondola.schema import KEPT_COLUMNS, raw_schema
+from gondola.schema import KEPT_COLUMNS, RAW_COLUMNS, raw_schema
+from gondola.sources.records import broken_files, records, text_lines
 
+SEPARATOR = ";"
+# Long lines are cut, short ones padded, none dropped.
+_OPTIONS = {"sep": SEPARATOR, "encoding": "UTF-8", "mode": "PERMISSIVE", "escape": '"'}
+_PLACE = ["Archivo", "Bloque", "Fila"]
 
-def scan_sales_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+
+def scan_sales_csv(spark: SparkSession, path: str | list[str], quoted_breaks: bool = True) -> DataFrame:
     """All line files under ``path`` as text, plus the place each line came from.
 
-    ``Archivo`` and ``Bloque`` are the file and the byte offset of the split inside it; together
-    with a row number taken inside the split (``operators.normalize``) they give every line a
-    total order that does not depend on how splits are packed into tasks.  Files stay splittable:
-    a quoted field may not contain a line break.
+    ``Archivo`` and ``Bloque`` are the file and the byte offset of the split inside it; with ``Fila``, which
+    grows within a split, they give every line a total order that does not depend on how splits are packed
+    into tasks.  Files stay splittable, also those whose quoted fields hold line breaks (``records``): these
+    are found by one narrow pass over the text, which ``quoted_breaks=False`` saves where there are none.
+    Line breaks within a field are read as ``\\n``.
     """
-    lines = (
-        spark.read.schema(raw_schema())
-        .option("sep", ";")
-        .option("encoding", "UTF-8")
-        .option("mode", "PERMISSIVE")  # long lines are cut, short ones padded, none dropped
-        .option("escape", '"')
-        .csv(path)
-    )
-    return lines.select(
-        *[drop_na_tokens(F.col(c)).alias(c) for c in KEPT_COLUMNS],
-        F.col("_metadata.file_path").alias("Archivo"),
-        F.col("_metadata.file_block_start").alias("Bloque"),
-    )
+    plain = spark.read.schema(raw_schema()).options(**_OPTIONS).csv(path).select(
+        *RAW_COLUMNS, F.col("_metadata.file_path").alias("Archivo"),
+        F.col("_metadata.file_block_start").alias("Bloque"), F.monotonically_increasing_id().alias("Fila"))
+    if quoted_breaks:
+        text = text_lines(spark, path, SEPARATOR)
+        broken = broken_files(text).persist()  # as many rows as files; a lost part is computed again
+        if not broken.isEmpty():
+            fields = F.from_csv("value", raw_schema().simpleString()[len("struct<"):-1].replace(":", " "), _OPTIONS)
+            mended = records(text.join(broken, "Archivo", "left_semi")).select(fields.alias("r"), *_PLACE)
+            plain = plain.join(broken, "Archivo", "left_anti").select(*RAW_COLUMNS, *_PLACE).unionByName(
+                mended.select("r.*", *_PLACE))
+    return plain.select(*[drop_na_tokens(F.col(c)).alias(c) for c in KEPT_COLUMNS], *_PLACE)

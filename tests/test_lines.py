@@ -1,5 +1,6 @@
 """Raw line files: the flaws of real text, line order and the ticket rules."""
 
+import csv
 from decimal import Decimal
 
 import pytest
@@ -9,6 +10,7 @@ from gondola import normalize_lines, scan_sales_csv
 from gondola.functions.cycles import attach_cycle
 from gondola.operators.normalize import with_week
 from gondola.operators.rollup import build_rollup, ticket_rollup
+from gondola.sources.records import records, text_lines
 
 
 def line(store="1", ticket="t", day="20240105", code="p1", name="Cola", cat="BEBIDAS", qty="1",
@@ -153,3 +155,42 @@ def test_large_amounts_are_kept(load):
 def test_an_amount_that_does_not_fit_names_its_place(load):
     with pytest.raises(Exception, match=r"number too large: 1e30 in .*a\.csv"):
         load(a=[line(net="1e30")]).select("Importe").collect()
+
+
+BREAKS = [
+    line(code="a", name='"dos\nlineas"'), line(code="b"), line(code="c", name='"dice ""x"";\n\ny;""z"" "'),
+    line(code="d", name='12" pizza'), line(code="e", name='"cerrado"', promo='"C1-2024\n-05-UM"'),
+    line(code="f", name='pan "duro"\tx'), line(code="g", name='""'),
+    line(code="h", name='"' + "\n".join(f"renglón {k} ; \"\"{k}\"\"" for k in range(40)) + '"', net="7"),
+    line(code="i", kind='"A"'), line(code="j", system='"S\n"'), line(code="k", store='"1\n"', net="1.5"),
+]
+
+
+@pytest.mark.parametrize("size", [37, 100, 250, 1 << 20])
+def test_quoted_line_breaks_at_any_split_size(spark, tmp_path, size):
+    """A file with quoted breaks gives the lines that one reader of whole files gives, at any split size."""
+    (tmp_path / "a.csv").write_text("\n".join(BREAKS) + "\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("\n".join(line(code=f"p{k}", name='3" clavo') for k in range(20)), encoding="utf-8")
+    (tmp_path / "c.csv").write_text("\n".join(BREAKS[::-1]), encoding="utf-8")
+    with open(tmp_path / "a.csv", newline="", encoding="utf-8") as file:
+        expected = [(r[4], r[5], r[12], r[10]) for r in csv.reader(file, delimiter=";")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = scan_sales_csv(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    found = {}
+    for r in sorted(rows, key=lambda r: (r["Archivo"], r["Bloque"], r["Fila"])):
+        found.setdefault(r["Archivo"][-5], []).append(tuple(r[c] or "" for c in ("Cod_prod", "Nom_prod", "Cod_promo", "Importe")))
+    assert found["a"] == expected and found["c"] == expected[::-1]
+    assert [r[:2] for r in found["b"]] == [(f"p{k}", '3" clavo') for k in range(20)]
+
+
+def test_a_quote_that_is_never_closed_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\n".join([line(name='"abierto'), *[line()] * 50]), encoding="utf-8")
+    lines = text_lines(spark, str(tmp_path), ";")
+    with pytest.raises(Exception, match="more than 20 lines"):
+        records(lines, max_lines=20).collect()
+    assert records(lines).count() == 1
