@@ -151,6 +151,12 @@ def rows_and_filters() -> dict[str, str]:
             "Tiendas Transaccion Fecha_raw Cod_prod Nom_prod Categoria c1 c2 c3 Cod_promo Nom_promo "
             "c4 Tipo Sistema",
             "SELECT *, Cantidad AS c1, Precio AS c2, Importe AS c3, Costo_unit AS c4 FROM texto"),
+        "s01_quoted_line_breaks": sql(
+            "Tiendas Transaccion Fecha_raw Cod_prod Nom_prod Categoria c1 c2 c3 Cod_promo Nom_promo "
+            "c4 Tipo Sistema",
+            "SELECT * REPLACE (CASE WHEN CAST(Cod_prod AS INT) % 7 = 0 THEN coalesce(Nom_prod, '') || chr(10) || "
+            "'de \"' || Cod_prod || '\";' || chr(10) ELSE Nom_prod END AS Nom_prod), "
+            "Cantidad AS c1, Precio AS c2, Importe AS c3, Costo_unit AS c4 FROM texto"),
         "s02_rollup_scan": sql(
             "tabla filas total",
             f"SELECT tabla, SUM(filas) AS filas, SUM(total) AS total FROM ({_ALL_SUMS}) "
@@ -341,8 +347,8 @@ def rows_and_filters() -> dict[str, str]:
             REPORT_SQL["penetracion_cat"].replace("FROM promo_prod", "FROM pp10"), **_F10_CTES),
     }
     # Raw text and re-read numbers keep their column names but not the usual output types.
-    for key, names in {"s01_sales_csv_scan": {"c1": "Cantidad", "c2": "Precio", "c3": "Importe",
-                                              "c4": "Costo_unit"},
+    texts = {"c1": "Cantidad", "c2": "Precio", "c3": "Importe", "c4": "Costo_unit"}
+    for key, names in {"s01_sales_csv_scan": texts, "s01_quoted_line_breaks": texts,
                        "n04_numeric_text": {"c4": "Costo_unit"},
                        "s07_export_summary_csv": {"n1": "Ingresos", "n2": "Unidades", "n3": "Costo",
                                                   "n4": "Margen", "n5": "Margen_pct"}}.items():

@@ -67,6 +67,20 @@ def _csv_lines(tb: Testbed) -> DataFrame:
     return scan_sales_csv(tb.spark, tb.once("texto", write))
 
 
+def s01_breaks(tb: Testbed) -> DataFrame:
+    """The same lines with line breaks, quotes and separators in some product names."""
+    def write(path: str) -> None:
+        name = F.concat("Nom_prod", F.lit('\nde "'), "Cod_prod", F.lit('";\n'))
+        rows = text_lines(tb.spark, tb.sf_dir).withColumn(
+            "Nom_prod", F.when(F.expr("CAST(Cod_prod AS INT) % 7 = 0"), name).otherwise(F.col("Nom_prod")))
+        writer = rows.select(*RAW_COLUMNS).write.mode("overwrite").option("sep", ";").option("escape", '"')
+        for side in ("Leading", "Trailing"):
+            writer = writer.option(f"ignore{side}WhiteSpace", False)
+        writer.csv(path)
+
+    return scan_sales_csv(tb.spark, tb.once("texto_con_saltos", write)).select(*KEPT_COLUMNS)
+
+
 def _typed_lines(tb: Testbed) -> DataFrame:
     lines = norm.strict(norm.with_amounts(norm.with_dates(norm.dated_lines(_csv_lines(tb)))))
     return norm.with_promo_flag(lines)
@@ -466,6 +480,7 @@ def _skus(tb: Testbed) -> DataFrame:
 
 
 SOURCES_AND_ROWS: dict[str, Callable[[Testbed], DataFrame]] = {
+    "s01_quoted_line_breaks": s01_breaks,
     "s01_sales_csv_scan": lambda tb: _csv_lines(tb).select(*KEPT_COLUMNS),
     "s02_rollup_scan": s02,
     "s03_catalog_load": lambda tb: load_catalog(tb.spark, _catalog_file(tb, "catalogo")),
@@ -595,7 +610,7 @@ ANALYTICS: dict[str, Callable[[Testbed], DataFrame]] = {
     "p11_promo_coverage": _coverage,
     "p12_promo_totals": lambda tb: promotions.promo_totals(_coverage(tb)),
     "p13_promo_month_matrix": lambda tb: promotions.promo_month_matrix(
-        _r(tb, "heatmap_promo"), flt.month_facet(tb.rollups().ventas)),
+        _r(tb, "heatmap_promo"), flt.month_list(tb.rollups(), "ventas")),
     "p14_promo_fatigue": lambda tb: promotions.promo_fatigue(tb.rollups().ventas),
     "p15_store_ranking": _store_rank,
     "p16_store_means": lambda tb: store_plans.store_means(_store_rank(tb)),
@@ -611,7 +626,7 @@ ANALYTICS: dict[str, Callable[[Testbed], DataFrame]] = {
     "p25_margin_band_top": lambda tb: alerts.margin_band_top(_r(tb, "alertas")),
     "p26_category_alerts": lambda tb: alerts.category_alerts(_r(tb, "alertas")),
     "p27_margin_matrix": lambda tb: crosses.margin_matrix(
-        _r(tb, "mg_cat_mes"), flt.month_facet(tb.rollups().ventas)),
+        _r(tb, "mg_cat_mes"), flt.month_list(tb.rollups(), "ventas")),
     "p28_margin_trend": lambda tb: crosses.margin_trend(_rows(tb, "mg_cat_mes")),
     "p29_margin_volatility": lambda tb: crosses.margin_volatility(_r(tb, "mg_cat_mes")),
     "p30_discount_zones": _zones,
@@ -629,7 +644,7 @@ ANALYTICS: dict[str, Callable[[Testbed], DataFrame]] = {
     "p37_penetration_by_month": lambda tb: promotions.penetration_by_month(
         _r(tb, "penetracion_mes")),
     "p38_penetration_matrix": lambda tb: promotions.penetration_matrix(
-        _r(tb, "penetracion_cat_mes"), flt.month_facet(tb.rollups().promo_prod)),
+        _r(tb, "penetracion_cat_mes"), flt.month_list(tb.rollups(), "promo_prod")),
     "p39_penetrated_products": lambda tb: promotions.penetrated_products(
         _r(tb, "penetracion_prod")),
     "p39_penetrated_products_one": lambda tb: promotions.penetrated_products(

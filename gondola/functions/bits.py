@@ -36,9 +36,13 @@ class Dimension:
             self._numbers, self._size = found, found.count()
         return self._numbers
 
-    def words(self) -> int:
+    def size(self) -> int:
+        """How many values there are, one at least."""
         self.numbers()
-        return max(1, -(-self._size // WIDTH))
+        return max(1, self._size)
+
+    def words(self) -> int:
+        return -(-self.size() // WIDTH)
 
     def numbered(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the number of their value.  The cached numbers have a known size, so Spark broadcasts

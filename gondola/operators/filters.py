@@ -48,8 +48,10 @@ class FilterSpec:
         Those two cut the product tables in the same way, and both come from the same lines, so
         without a further choice the sales cannot lack a (month, category) the products have.
         """
-        plain = replace(self, months=(), years=(), cycle_years=(), cycle_numbers=(), categories=())
-        return not plain.is_empty()
+        return replace(self, categories=()).by_more_than_months()
+
+    def by_more_than_months(self) -> bool:
+        return not replace(self, months=(), years=(), cycle_years=(), cycle_numbers=()).is_empty()
 
     def by_product(self) -> bool:
         return bool(self.products or _text(self.product_text) or _text(self.product_code_text))
@@ -95,25 +97,52 @@ def year_facet(ventas: DataFrame) -> DataFrame:
 # --- single-table filters ---------------------------------------------------------------------
 
 def month_facet(df: DataFrame) -> list[str]:
-    """The months present, in order, for the columns of a month matrix.  They are the table's
-    partition folders, so the list is as long as the calendar."""
+    """The months present in a table, in order.  They are its partition folders, so the list is as long
+    as the calendar."""
     return [r[0] for r in df.select("Anio_mes").distinct().orderBy("Anio_mes").collect()]
 
 
+def month_list(tables: Rollups, name: str) -> list[str]:
+    """The months of one table of a set, in order, for the columns of a month matrix.
+
+    Without other filters than those of months this is the list of folders, and no job runs (a folder whose
+    rows are all of excluded categories is a month of it); else the months that have rows left.
+    """
+    if name in tables.months and not tables.narrowed:
+        return list(tables.months[name])
+    return month_facet(tables.table(name))
+
+
+def known_months(tables: Rollups, name: str) -> list[str]:
+    """Months in order that include all those of a table; no job where its folders are known."""
+    return list(tables.months[name]) if name in tables.months else month_facet(tables.table(name))
+
+
+def _cycle_months(spec: FilterSpec) -> list[str] | None:
+    if not (spec.cycle_years or spec.cycle_numbers):
+        return None
+    return [
+        month for month, cycle in cycle_of_month().items()
+        if (not spec.cycle_years or cycle in spec.cycle_years)
+        and (not spec.cycle_numbers or cycle.split("-")[0] in spec.cycle_numbers)
+    ]
+
+
 def filter_months(df: DataFrame, spec: FilterSpec) -> DataFrame:
     """Months ∩ years ∩ months of the chosen cycles: predicates on the partition column only, so
     they prune month folders at planning time."""
     df = _one_of(df, "Anio_mes", spec.months)
     if spec.years:
         df = df.where(F.substring("Anio_mes", 1, 4).isin(list(spec.years)))
-    if spec.cycle_years or spec.cycle_numbers:
-        chosen = [
-            month for month, cycle in cycle_of_month().items()
-            if (not spec.cycle_years or cycle in spec.cycle_years)
-            and (not spec.cycle_numbers or cycle.split("-")[0] in spec.cycle_numbers)
-        ]
-        df = df.where(F.col("Anio_mes").isin(chosen))
-    return df
+    chosen = _cycle_months(spec)
+    return df if chosen is None else df.where(F.col("Anio_mes").isin(chosen))
+
+
+def months_left(months: Iterable[str], spec: FilterSpec) -> tuple[str, ...]:
+    """What ``filter_months`` leaves of a list of months."""
+    cycle = _cycle_months(spec)
+    return tuple(m for m in months if (not spec.months or m in spec.months)
+                 and (not spec.years or m[:4] in spec.years) and (cycle is None or m in cycle))
 
 
 def filter_promo_code(ventas: DataFrame, spec: FilterSpec) -> DataFrame:
@@ -243,9 +272,11 @@ def apply_filters(
         if usable(size):
             promo_prod = matching(promo_prod, sold)
 
-    return tables.with_tables(
-        ventas=ventas, productos=productos, tickets=tickets, promo_prod=promo_prod
-    ).holding(held)
+    months = {name: listed if name == "ventas_dia" else months_left(listed, spec)
+              for name, listed in tables.months.items()}
+    chosen_tables = tables.with_tables(ventas=ventas, productos=productos, tickets=tickets, promo_prod=promo_prod)
+    return replace(
+        chosen_tables, months=months, narrowed=tables.narrowed or spec.by_more_than_months()).holding(held)
 
 
 def drill_filter(ventas: DataFrame, spec: FilterSpec) -> DataFrame:

@@ -20,6 +20,7 @@ from gondola.functions.text import (
 )
 from gondola.functions.whole import beside
 from gondola.operators.filters import only_promos
+from gondola.plans.layout import in_month_order
 from gondola.schema import MEASURES as AMOUNTS
 from gondola.sources.rollups import Rollups
 
@@ -307,8 +308,8 @@ def ticket_by_category(tables: Rollups) -> DataFrame:
     return sorted_by(out, "-Ing_promo", ["Categoria"])
 
 
-def export_summary(tables: Rollups) -> DataFrame:
-    """Month, store, category, type and system summary for export."""
+def export_summary(tables: Rollups, ordered: bool = True) -> DataFrame:
+    """Month, store, category, type and system summary for export, in that order."""
     out = run_report(tables, Report(
         "ventas", "month store cat type system",
         "Ingresos Unidades Costo Margen Mg_pct Descuento Promos_distintas=N_promos"))
@@ -317,7 +318,7 @@ def export_summary(tables: Rollups) -> DataFrame:
         "Margen", F.round(F.col("Mg_pct") * 100, 2).alias("Margen_pct"), "Descuento",
         "Promos_distintas",
     )
-    return sorted_by(out, "Anio_mes Tiendas Categoria", ["Tipo", "Sistema"])
+    return in_month_order(out, tables, ["Categoria", "Tipo", "Sistema"]) if ordered else out
 
 
 def promo_drill_months(ventas: DataFrame, promo: str | None = None) -> DataFrame:
@@ -353,6 +354,8 @@ def report(tables: Rollups, name: str, ordered: bool = True) -> DataFrame:
     """Any report by name; lazy, but for the numbers of months and stores that distinct counts need once
     for a set of tables.  ``ordered=False`` saves the final sort where the report feeds another
     plan (a limited report needs it all the same)."""
+    if name == "resumen_export":
+        return export_summary(tables, ordered)
     if name in _SHAPED:
         return _SHAPED[name](tables)
     return run_report(tables, REPORTS[name], ordered)

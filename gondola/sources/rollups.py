@@ -23,6 +23,8 @@ class Rollups:
     held: tuple[DataFrame, ...] = ()  # key sets cached for a filtered set
     dimensions: dict[str, Dimension] = field(default_factory=dict)  # of the sales before any filter
     shared: object = None  # sub-aggregates that answer reports (plans.lattice)
+    months: dict[str, tuple[str, ...]] = field(default_factory=dict)  # of the folders each table is read from
+    narrowed: bool = False  # whether rows of those months were left out by more than their month
 
     def with_tables(self, **tables: DataFrame) -> "Rollups":
         return replace(self, **tables)
@@ -74,4 +76,5 @@ def read_rollup(
 def read_rollups(spark: SparkSession, folder: str, number: int | None = None) -> Rollups:
     """All five rollups of one snapshot of a folder: the current one, or an earlier one by its number."""
     state = snapshot(spark, folder, number)
-    return Rollups(**{name: read_rollup(spark, folder, name, state) for name in ROLLUPS})
+    months = {name: tuple(sorted(state.of(name))) for name in ROLLUPS}
+    return Rollups(**{name: read_rollup(spark, folder, name, state) for name in ROLLUPS}, months=months)

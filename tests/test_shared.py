@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from checks.queries import SPECS
 from gondola.functions.bits import Dimension
-from gondola.operators.filters import apply_filters
+from gondola.operators.filters import FilterSpec, apply_filters, month_facet, month_list
 from gondola.plans import reports as plans
 from gondola.plans.lattice import SETS, needs, shared
 from gondola.plans.reports import REPORTS, REPORT_NAMES, all_reports, report
-from gondola.sinks.exports import BUNDLE
+from gondola.sinks.exports import BUNDLE, write_csv
 from gondola.testbed import stores
 
 
@@ -102,3 +102,37 @@ def test_a_value_without_a_number_is_an_error(spark):
     dimension = Dimension(table.where("v = 'a'"), "v")
     with pytest.raises(Exception, match="v without a number: b"):
         dimension.numbered(table).agg(dimension.count()).collect()
+
+
+@pytest.mark.parametrize("partitions", ["8", "400"])
+def test_export_is_in_order_without_a_sampling_pass(spark, tables, tmp_path, partitions):
+    """By month, and with more partitions than months by store as well; files read by name are in order."""
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = report(tables, "resumen_export")
+        assert "rangepartitioning" not in plan(found)
+        write_csv(found, str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    rows = []
+    for file in sorted((tmp_path / "out").glob("part-*.csv")):
+        rows += [x.split(";") for x in file.read_text(encoding="utf-8").splitlines()[1:]]
+    keys = [(r[0], r[1] or "\U0010ffff", *r[2:5]) for r in rows]
+    assert keys == sorted(keys) and len(keys) == report(tables, "resumen_export", ordered=False).count()
+
+
+def test_month_lists_need_no_job(spark, tables, sf_dir):
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("months"))
+    spark.sparkContext.setJobGroup("months", "months")
+    try:
+        everything = month_list(tables, "ventas")
+        some = apply_filters(tables, None, FilterSpec(years=("2024",), months=("2024-02", "2024-05", "2025-01")))
+        assert month_list(some, "ventas") == ["2024-02", "2024-05"] and jobs() == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert everything == month_facet(tables.ventas)
+    assert month_list(some, "promo_prod") == month_facet(some.promo_prod)
+    for spec in (FilterSpec(cycle_numbers=("C2",), types=("A",)), FilterSpec(promo_text="no such promo")):
+        with apply_filters(tables, None, spec) as chosen:
+            assert month_list(chosen, "ventas") == month_facet(chosen.ventas)
