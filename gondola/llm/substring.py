@@ -127,23 +127,18 @@ def match(contents: list[bytes], anchors: np.ndarray, lows: np.ndarray, highs: n
             for s, low, asked in zip(sequences, lows.tolist(), asks.tolist())]
 
 
-def split(text: str) -> tuple[list[bytes], np.ndarray]:
-    words = text.encode().split()
+def split(text: bytes) -> tuple[list[bytes], np.ndarray]:
+    words = text.split()
     return words, np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _windows(content: bytes) -> list[bytes]:
-    words = content.split(b" ")
-    return [b" ".join(words[i:i + WORDS]) for i in range(len(words) - WORDS + 1)]
-
-
 UNITS = windows.Units(split, lambda words, a, b: b" ".join(words[a:b]), WORDS, GRAM)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, text, n_words, n_removed, kept_text): texts without the words they repeat; the kept
     words are joined by one space."""
-    spans = windows.covered(spark, docs, UNITS, _windows, match, shard_bytes)
+    spans = windows.covered(spark, docs, UNITS, match, shard_bytes)
 
     @F.pandas_udf("n_words long, n_removed long, kept_text string")
     def removed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -11,8 +11,10 @@ anchored stretches instead of a long list of windows:
 2. ``stretches``: the units under shared anchors, cut out of the texts.
 3. ``shards``: distinct stretches with the smallest doc_id that has them, dealt out by anchor, so that
    equal windows meet in one shard.  An anchor with very much under it (say the edge of a line that a
-   third of all documents have, with another context in each) is in no shard: its contents are cut into
-   windows, and the smallest doc_id of each is an aggregate over equal ones (``_window_holders``).
+   third of all documents have, with another context in each) is in no shard: its contents are cut again by
+   second anchors, equal pieces collapse, and pieces are dealt out by both anchors; equal windows have
+   equal second anchors.  What is crowded under ``LEVELS`` such anchors is cut into windows, and the
+   smallest doc_id of each is an aggregate over equal ones (``_holders``).
 4. A shard's matcher gives, for every window of its stretches, the smallest doc_id that has it.  The
    matchers decide by the units themselves; hashes only bring windows together.
 5. ``covered``: per document, the windows that a smaller doc_id has.
@@ -37,13 +39,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gondola.llm.common import Scratch, ship
 
 LAST = (1 << 63) - 1
+#: Times that contents under a crowded anchor are cut by further anchors before single windows are.
+LEVELS = 2
 
 
 @dataclass(frozen=True)
 class Units:
     """How a text is cut into units, and joined again."""
 
-    split: Callable[[str], tuple[object, np.ndarray]]  # the units, and a hash of each
+    split: Callable[[bytes], tuple[object, np.ndarray]]  # the units, and a hash of each
     cut: Callable[[object, int, int], bytes]  # units from .. to as bytes
     size: int  # of a window
     gram: int  # of an anchor
@@ -56,8 +60,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-def anchors(hashes: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """First window of each stretch of one anchor, and the anchors (as signed numbers)."""
+def anchors(hashes: np.ndarray, size: int, gram: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """First window of each stretch of one anchor, and the anchors (as signed numbers); another ``seed``
+    chooses others."""
     windows = len(hashes) - size + 1
     if windows <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -72,7 +77,7 @@ def anchors(hashes: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.nd
                 rest = hashes[have:have + len(grams) - 1]
                 grams = grams[:-1] * factor + rest
                 have += 1
-    least, span = _mixed(grams), 1
+    least, span = _mixed(grams ^ np.uint64(seed * 0x632BE59BD9B4E019 % (1 << 64))), 1
     width = size - gram + 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -96,7 +101,7 @@ def shared_anchors(scratch: Scratch, docs: DataFrame, units: Units) -> DataFrame
     def first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, docs_ = batch["text"], batch["doc"].to_numpy()
-            found = [np.unique(anchors(units.split(texts[i].as_py())[1], units.size, units.gram)[1])
+            found = [np.unique(anchors(units.split(texts[i].as_py().encode())[1], units.size, units.gram)[1])
                      for i in range(len(texts))]
             sizes = [len(f) for f in found]
             if not sum(sizes):
@@ -155,7 +160,7 @@ def stretches(scratch: Scratch, docs: DataFrame, shared: DataFrame, units: Units
         for batch in batches:
             contents, found_at, first_at, rows_of = [], [], [], []
             for i in range(batch.num_rows):
-                parts, hashes = units.split(batch["text"][i].as_py())
+                parts, hashes = units.split(batch["text"][i].as_py().encode())
                 starts, found = anchors(hashes, units.size, units.gram)
                 ends = np.append(starts[1:], len(hashes) - units.size + 1)
                 wanted = np.isin(found, batch["anchors"][i].values.to_numpy())
@@ -187,40 +192,47 @@ def stretches(scratch: Scratch, docs: DataFrame, shared: DataFrame, units: Units
     return scratch.write("stretches", rows)
 
 
-def _split_windows(units: Units, windows_of: Callable[[bytes], list[bytes]]):
-    """Heavy contents window by window."""
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            out = [{**r, "content": w, "skip": r["skip"] + i}
-                   for r in rows for i, w in enumerate(windows_of(r["content"]))]
-            yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
-
-    return split
-
-
-def _window_holders(single: DataFrame) -> DataFrame:
-    """``least_holders`` of contents cut into windows.  Equal windows have equal anchors, so all holders
-    of one are in its group; a window with very many contexts is aggregated before it is shuffled."""
-    holders = single.groupBy("anchor", "content").agg(F.min("lo").alias("low"), F.max("hi").alias("high"))
-    holders = holders.where("low < high").select(F.col("anchor").alias("of"), F.col("content").alias("window"), "low")
-    met = single.join(holders, (F.col("anchor") == F.col("of")) & (F.col("content") == F.col("window")))
-    span = F.shiftleft(F.col("skip").cast("long"), 32) + F.lit(1)
-    return met.where("low < hi").select(
-        "anchor", "content_print", F.array(span).alias("spans"), F.array("low").alias("least"))
-
+def _pieces(units: Units, level: int):
+    """Crowded contents cut again: by second anchors, or at the last ``level`` window by window."""
+    schema = pa.schema([("of_anchor", pa.int64()), ("of_print", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()),
+                        ("skip", pa.int32()), ("anchor", pa.int64()), ("content", pa.binary())])
 
-def least_holders(scratch: Scratch, rows: DataFrame, units: Units, windows_of: Callable, matcher: Callable,
-                  shard_bytes: int) -> DataFrame:
-    """(anchor, content_print, spans, least): windows of a content (first << 32 | number) and the
-    smallest doc_id that has them, where some document is to lose them."""
-    contents = rows.groupBy("anchor", "content_print", "content").agg(
-        F.min("key").alias("lo"), F.max("key").alias("hi")).withColumn("skip", F.lit(0))
-    contents = scratch.write("contents", contents)
-    scratch.release()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, skips, found_at, contents = [], [], [], []
+            given = batch["anchor"].to_numpy()
+            for i in range(batch.num_rows):
+                parts, hashes = units.split(batch["content"][i].as_py())
+                windows = len(hashes) - units.size + 1
+                if level < LEVELS:
+                    starts, found = anchors(hashes, units.size, units.gram, seed=level + 1)
+                    found = _mixed(found.view(np.uint64) ^ given[i:i + 1].view(np.uint64)).view(np.int64)
+                else:
+                    starts, found = np.arange(windows), np.repeat(given[i], windows)
+                ends = np.append(starts[1:], windows) + units.size - 1
+                contents += [units.cut(parts, x, y) for x, y in zip(starts.tolist(), ends.tolist())]
+                own.append(np.repeat(i, len(starts)))
+                skips.append(starts)
+                found_at.append(found)
+            if contents:
+                own = np.concatenate(own)
+                yield pa.RecordBatch.from_arrays([
+                    *(pa.array(batch[c].to_numpy()[own]) for c in ("anchor", "content_print", "lo", "hi")),
+                    pa.array(np.concatenate(skips).astype(np.int32)), pa.array(np.concatenate(found_at)),
+                    pa.array(contents, pa.binary())], schema=schema)
+
+    return cut, "of_anchor long, of_print long, lo long, hi long, skip int, anchor long, content binary"
+
+
+def _holders(scratch: Scratch, contents: DataFrame, units: Units, matcher: Callable, shard_bytes: int,
+             level: int = 0) -> DataFrame:
+    """(anchor, content_print, spans, least) of the table ``contents``; see ``least_holders``."""
+    if level > LEVELS:  # windows: a content is one, and so are its equals in the same group
+        return contents.where("lo < hi").select(
+            "anchor", "content_print", F.array(F.lit(1).cast("long")).alias("spans"), F.array("lo").alias("least"))
     # A table of its own: while it is small, Spark sees its size and leaves the contents where they are.
     sums = contents.groupBy("anchor").agg(F.sum(F.length("content")).alias("bytes"))
-    heavy = scratch.write("heavy", sums.where(F.col("bytes") > shard_bytes // 8).select(
+    heavy = scratch.write(f"heavy{level}", sums.where(F.col("bytes") > shard_bytes // 8).select(
         F.col("anchor").alias("of")))
     crowded = not heavy.isEmpty()
     light = contents
@@ -234,8 +246,7 @@ def least_holders(scratch: Scratch, rows: DataFrame, units: Units, windows_of: C
         found = matcher(batch["content"].tolist(), batch["anchor"].to_numpy(), batch["lo"].to_numpy(),
                         batch["hi"].to_numpy())
         out = {"anchor": [], "content_print": [], "spans": [], "least": []}
-        for low, anchor, print_, hi, skip in zip(found, batch["anchor"], batch["content_print"], batch["hi"],
-                                                 batch["skip"]):
+        for low, anchor, print_, hi in zip(found, batch["anchor"], batch["content_print"], batch["hi"]):
             change = np.append(0, np.flatnonzero(low[1:] != low[:-1]) + 1)
             number = np.diff(np.append(change, len(low)))
             lows = low[change]
@@ -243,21 +254,36 @@ def least_holders(scratch: Scratch, rows: DataFrame, units: Units, windows_of: C
             if keep.any():
                 out["anchor"].append(anchor)
                 out["content_print"].append(print_)
-                out["spans"].append(((change[keep] + skip) << 32) | number[keep])
+                out["spans"].append((change[keep] << 32) | number[keep])
                 out["least"].append(lows[keep])
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, dtype=None if out["anchor"] else object)
 
     found = dealt.groupBy("shard").applyInPandas(
         match, "anchor long, content_print long, spans array<bigint>, least array<bigint>")
-    if crowded:
-        single = contents.join(heavy, F.col("anchor") == F.col("of"), "left_semi").mapInArrow(
-            _split_windows(units, windows_of), contents.schema)
-        found = found.unionByName(_window_holders(single))
-    return scratch.write("least", found)
+    if not crowded:
+        return found
+    pieces = contents.join(heavy, F.col("anchor") == F.col("of"), "left_semi").mapInArrow(*_pieces(units, level))
+    pieces = scratch.write(f"pieces{level}", pieces.withColumn("content_print", F.xxhash64("content")))
+    inner = pieces.groupBy("anchor", "content_print", "content").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    inner = _holders(scratch, scratch.write(f"contents{level + 1}", inner), units, matcher, shard_bytes, level + 1)
+    shift = F.shiftleft(F.col("skip").cast("long"), 32)
+    back = pieces.drop("content").join(inner, ["anchor", "content_print"]).select(
+        F.col("of_anchor").alias("anchor"), F.col("of_print").alias("content_print"),
+        F.transform("spans", lambda x: x + shift).alias("spans"), "least")
+    return found.unionByName(back)
+
+
+def least_holders(scratch: Scratch, rows: DataFrame, units: Units, matcher: Callable, shard_bytes: int) -> DataFrame:
+    """(anchor, content_print, spans, least): windows of a content (first << 32 | number) and the
+    smallest doc_id that has them, where some document is to lose them."""
+    contents = rows.groupBy("anchor", "content_print", "content").agg(
+        F.min("key").alias("lo"), F.max("key").alias("hi"))
+    contents = scratch.write("contents", contents)
+    scratch.release()
+    return scratch.write("least", _holders(scratch, contents, units, matcher, shard_bytes))
 
 
-def covered(spark: SparkSession, docs: DataFrame, units: Units, windows_of: Callable, matcher: Callable,
-            shard_bytes: int) -> DataFrame:
+def covered(spark: SparkSession, docs: DataFrame, units: Units, matcher: Callable, shard_bytes: int) -> DataFrame:
     """(key, print, spans) of documents with windows that a smaller doc_id has: first << 32 | number."""
     ship(spark)
     scratch = Scratch(spark, "windows")
@@ -266,7 +292,7 @@ def covered(spark: SparkSession, docs: DataFrame, units: Units, windows_of: Call
     rows = stretches(scratch, docs, shared, units)
     scratch.drop("shared")
     scratch.release()
-    least = least_holders(scratch, rows, units, windows_of, matcher, shard_bytes)
+    least = least_holders(scratch, rows, units, matcher, shard_bytes)
     scratch.release()
     own = F.zip_with("spans", "least", lambda s, low: F.when(low < F.col("key"), s + F.shiftleft(
         F.col("at").cast("long"), 32)))
@@ -276,7 +302,8 @@ def covered(spark: SparkSession, docs: DataFrame, units: Units, windows_of: Call
     spans = spans.groupBy("key", "print").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     spans = scratch.write("covered", spans)
     scratch.release()
-    for name in ("stretches", "contents", "least", "heavy"):
+    levels = [f"{name}{k}" for name in ("heavy", "pieces", "contents") for k in range(LEVELS + 2)]
+    for name in ("stretches", "contents", "least", *levels):
         scratch.drop(name)
     return spans
 

@@ -248,7 +248,7 @@ def test_language_stage(spark, awkward):
 # 5 and 7 Substrings
 
 def test_substrings_awkward(spark, awkward):
-    for options in ({}, {"shard_bytes": 2_000}):  # small shards split anchors window by window
+    for options in ({}, {"shard_bytes": 2_000}):  # small shards crowd anchors, down to single windows
         found = substring.dedup(spark, awkward, **options).withColumn("sha", F.sha2("kept_text", 256))
         assert rows(found, "doc_id", "n_words", "n_removed", "sha") == Counter(brute.substrings(TEXTS))
 
@@ -262,25 +262,28 @@ def test_byte_strings_awkward(spark, awkward):
             brute.byte_strings(short))
 
 
-def test_crowded_anchors_meet_as_aggregates(spark):
+def test_crowded_anchors_are_cut_again(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     line = " ".join(word() for _ in range(14))
     given = [(k, " ".join([*(word() for _ in range(14)), line, *(word() for _ in range(14))])) for k in range(60)]
     given += [(None, line), (7, line + " " + line)]
     table = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
-    seen = spark.sparkContext.accumulator(0)
+    pieces = spark.sparkContext.accumulator(0)
 
-    def matcher(contents, *rest):
-        seen.add(len(contents))
-        return substring.match(contents, *rest)
+    def matcher(contents, anchors, *rest):
+        under = Counter()
+        for anchor, content in zip(anchors.tolist(), contents):
+            under[anchor] += len(content)
+        assert max(under.values()) <= 100  # an eighth of a shard
+        pieces.add(len(contents))
+        return substring.match(contents, anchors, *rest)
 
-    units, windows_of = substring.UNITS, substring._windows
-    spans = windows.covered(spark, table, units, windows_of, matcher, 800)
+    spans = windows.covered(spark, table, substring.UNITS, matcher, 800)
     found = windows.with_spans(table, spans).collect()
     expected = brute.removed(given, str.split, substring.WORDS)
     expected = Counter((i, " ".join(words), sum(gone)) for i, words, gone in expected)
-    assert seen.value < 60  # of 60 and more contents under the anchors of the line
+    assert pieces.value > 60  # contexts of the line under further anchors, not all as single windows
     assert Counter((windows.LAST if r["doc_id"] is None else r["doc_id"], r["text"], int(windows.mask(
         None if r["spans"] is None else pd.Series(r["spans"]).to_numpy(), len(r["text"].split()),
         substring.WORDS).sum())) for r in found) == Counter(
