@@ -176,7 +176,9 @@ def test_facets(loaded):
 
 def test_month_filter_prunes_folders(spark, tables):
     plan = filter_months(tables.ventas, FilterSpec(cycle_years=("C1-2024",), years=("2024",)))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")  # the versions of months come before
     text = plan._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     pruned = text[text.index("PartitionFilters"):]
     assert "2024-01" in pruned and "substring" in pruned
 
