@@ -10,13 +10,15 @@ Letters are lower-cased; a run of anything else is one boundary symbol, and the
 two of them.  Whole texts are read.
 
 Training reads a bounded sample of labelled rows: ``train_rows`` in expectation, chosen by a hash of
-the doc_id; all other work covers every row.  A task adds up the vectors of its texts, so what is
+the doc_id (of the text without one).  The bound is shared among the languages: each gives the same
+number of rows, or all it has if those are fewer, so that a rare language is learned beside common ones however
+many rows they have.  All other work covers every row.  A task adds up the vectors of its texts, so what is
 shuffled is one vector per task and language; prototypes (languages x dimensions) go to the tasks.
 More than ``MAX_LANGUAGES`` labels are refused, which bounds them.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letters, or if nothing could
 be learned; ties go to the language that sorts first; a null doc_id counts as an empty one; rows with
-a null lang or text are not learned from.
+a null lang or text are not learned from; without any label, ``accepted`` goes by letters alone.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ UNKNOWN = "und"
 SEED = 0x5EED
 _GRAMS = 4_096  # distinct n-grams bound together
 _UNITS = 1 << 20  # code points looked at together
+_DRAWS = 1 << 40  # a share of a language is so fine that one of 10^12 rows gives some
 _SCALE = float(1 << 30)  # prototypes are summed as whole numbers, so the order of tasks is no matter
 
 
@@ -171,27 +174,45 @@ def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": [lang], "vector": [vector]})
 
 
+def quota(counts: dict[str, int], train_rows: int) -> int:
+    """The most rows a language may give so that all together give ``train_rows`` at most; languages
+    with fewer give all of theirs."""
+    left, levels = train_rows, sorted(counts.values())
+    for k, n in enumerate(levels):
+        level = left // (len(levels) - k)
+        if n > level:
+            return max(1, level)
+        left -= n
+    return max(levels, default=0)
+
+
 def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Profiles:
     """Prototypes from labelled rows outside the held-out fold."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     labelled = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    rows = labelled.select("lang").count()
-    share = int(min(1.0, train_rows / max(rows, 1)) * 1_000_000)
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1_000_000))
-    sums = labelled.where(draw < share).select("lang", "text").mapInPandas(
-        _sums, "lang string, vector array<bigint>")
+    found = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = {r["lang"]: r["n"] for r in found}
+    if not counts:
+        return Profiles([], np.zeros((0, DIMENSIONS)))
+    most = quota(counts, train_rows)
+    shares = spark.createDataFrame(
+        [(lang, max(1, most * _DRAWS // n)) for lang, n in counts.items()], "of string, share long")
+    drawn = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(
+        F.xxhash64(F.col("doc_id").cast("string")))
+    sample = labelled.join(F.broadcast(shares), F.col("lang") == F.col("of")).where(
+        F.pmod(drawn, F.lit(_DRAWS)) < F.col("share"))
+    sums = sample.select("lang", "text").mapInPandas(_sums, "lang string, vector array<bigint>")
     sums = sums.select("lang", F.posexplode("vector").alias("place", "value"))
     sums = sums.groupBy("lang", "place").agg(F.sum("value").alias("value"))
-    found = sums.where("place = 0").limit(MAX_LANGUAGES + 1).count()
-    if found > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    vectors: dict[str, np.ndarray] = {}
-    for row in sums.collect():  # languages x dimensions, bounded above
-        vectors.setdefault(row["lang"], np.zeros(DIMENSIONS))[row["place"]] = row["value"] / _SCALE
-    names = sorted(vectors)
-    stacked = np.stack([vectors[n] for n in names]) if names else np.zeros((0, DIMENSIONS))
-    return Profiles(names, _unit(stacked))
+    placed = F.sort_array(F.collect_list(F.struct("place", "value")))
+    rows = sums.groupBy("lang").agg(placed["value"].alias("vector")).orderBy("lang")
+    learned = rows.collect()  # an array per language, bounded above
+    vectors = np.array([r["vector"] for r in learned], np.float64).reshape(-1, DIMENSIONS) / _SCALE
+    return Profiles([r["lang"] for r in learned], _unit(vectors))
 
 
 def predicted(text: Column, profiles: Profiles) -> Column:
@@ -214,9 +235,21 @@ def identify(spark: SparkSession, docs: DataFrame, train_rows: int = TRAIN_ROWS)
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def lettered(text: Column) -> Column:
+    """Whether a text has a letter, which the prediction finds out by itself."""
+
+    @F.pandas_udf("boolean")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([any(c.isalpha() for c in t or "") for t in texts], dtype=bool)
+
+    return of(text)
+
+
 def accepted(spark: SparkSession, docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of ``docs`` in a known language; those without a letter are rejected."""
+    """The rows of ``docs`` in a known language.  Those without a letter are rejected, and no others:
+    if nothing could be learned, every text with a letter stays."""
     profiles = learn(docs, train_rows)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                       predicted(F.col("text"), profiles)["lang_pred"].alias("found"))
-    return rows.where(F.col("found") != UNKNOWN).select("row.*")
+    known = predicted(F.col("text"), profiles)["lang_pred"] != UNKNOWN if profiles.names else lettered(F.col("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), known.alias("known"))
+    return rows.where("known").select("row.*")

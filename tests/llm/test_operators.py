@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -245,6 +246,51 @@ def test_language_stage(spark, awkward):
         t for t in TEXTS if any(c.isalpha() for c in t[1] or ""))
 
 
+def test_rare_languages_are_learned(spark):
+    """The sample is drawn by language; a table without labels loses no text."""
+    rng = random.Random(3)
+    say = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(12))
+    given = [(k, say("abcdefgh"), "en") for k in range(6_000)] + [(k, say("rstuvwxyz"), "pl") for k in range(7_000, 7_030)]
+    table = spark.createDataFrame(given, "doc_id long, text string, lang string").repartition(3)
+    found = langid.identify(spark, table, train_rows=100).toPandas().set_index("doc_id").lang_pred
+    assert all(found[k] == lang for k, _, lang in given)
+    blank = table.where("lang = 'pl'").withColumn("lang", F.lit(None).cast("string"))
+    assert langid.accepted(spark, blank.unionByName(spark.createDataFrame(
+        [(1, "12 .", None), (2, None, None)], blank.schema))).count() == 30
+
+
+@pytest.mark.parametrize("counts,rows,most", [([5, 5], 100, 5), ([1, 50, 50], 21, 10), ([30, 60_000], 400, 370),
+                                              ([], 5, 0), ([9, 9, 9], 2, 1)])
+def test_sample_by_language(counts, rows, most):
+    assert langid.quota(dict(enumerate(counts)), rows) == most
+
+
+def test_language_by_brute_force(spark, tiny):
+    """Predictions from vectors bundled one n-gram at a time."""
+    def bundle(text):
+        run = re.sub(r"0+", "0", "0" + "".join(c if c.isalpha() else "0" for c in text.lower()) + "0")
+        total = np.zeros(langid.DIMENSIONS)
+        for gram, n in Counter(run[k:k + 3] for k in range(len(run) - 2)).items():
+            points = np.array([0 if c == "0" else ord(c) for c in gram], np.uint32)
+            a, b, c = (np.roll(v, k) for k, v in enumerate(langid.letter_vectors(points)))
+            total += n * a * b * c
+        return total / (np.linalg.norm(total) or 1)
+
+    chosen = [r for r in tiny if r[1] and any(c.isalpha() for c in r[1]) and len(r[1]) < 3_000][:120]
+    sums = {}
+    for i, text, lang in ((r[0], r[1], r[2]) for r in chosen):
+        if lang and not brute.held_out(i):
+            sums[lang] = sums.get(lang, 0) + bundle(text)
+    names = sorted(sums)
+    unit = np.stack([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    table = spark.createDataFrame([(r[0], r[1], r[2]) for r in chosen], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(spark, table).collect()}
+    for i, text in ((r[0], r[1]) for r in chosen):
+        cosines = unit @ bundle(text)
+        assert abs(found[i][1] - max(0, cosines.max())) < 1e-4
+        assert cosines[names.index(found[i][0])] > cosines.max() - 1e-4
+
+
 # 5 and 7 Substrings
 
 def test_substrings_awkward(spark, awkward):
