@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -397,49 +398,68 @@ def test_tokens(spark, awkward, sf_dir, tiny):
 
 # 9 Licenses
 
-def brute_licenses(pairs):
-    """Own license of each (path, text), and the inherited one."""
-    vocabulary = {w for _, t in licenses.TEMPLATES for w in licenses.terms(t)}
-    n, df = len(pairs), Counter()
-    for _, _, text in pairs:
-        df.update(vocabulary & set(licenses.terms(text or "")))
-    weights = licenses.weighted(n, df)
-    idf = {w: ws[w] / licenses.terms(dict(licenses.TEMPLATES)[k])[w] for k, ws in weights.items() for w in ws}
-    own = []
-    for _, _, text in pairs:
-        best = None
-        for line in (text or "").split("\n"):
-            words = licenses.terms(line)
-            norm = sum((c * idf.get(w, 1.0)) ** 2 for w, c in words.items()) ** 0.5
-            for name, ws in weights.items():
-                dot = sum(words[w] * idf[w] * v for w, v in ws.items())
-                if dot:
-                    score = round(dot / norm / sum(v * v for v in ws.values()) ** 0.5, 9)
-                    if score >= licenses.THRESHOLD and (best is None or (-score, name) < (-best[0], best[1])):
-                        best = score, name
-        own.append(best)
+def brute_licenses(given):
+    """Own license of each (id, path, text), and the inherited one."""
+    words = lambda text: re.findall("[a-z0-9]+", text.lower())
+    cue = re.compile("licen[sc]|copyright|rights reserved|redistribut|public domain|permission|warrant|spdx", re.I)
+    df = Counter(w for _, _, text in given for w in set(words(text or "")))
+    weigh = lambda bag: {w: c * (1 + np.log((1 + len(given)) / (1 + df[w]))) for w, c in bag.items()}
+    length = lambda v: sum(x * x for x in v.values()) ** 0.5
+    cosine = lambda a, b: sum(x * b.get(w, 0) for w, x in a.items()) / length(a) / length(b)
+    models = [(name, weigh(Counter(words(text)))) for name, text in licenses.TEMPLATES]
+    apart = [[set(m) - set(o) for other, o in models if other != name and cosine(m, o) >= 0.3 and set(m) - set(o)]
+             for name, m in models]
+
+    def runs(parts, most, joint):
+        return {joint.join(parts[k:k + n]) for n in range(1, most + 1) for k in range(len(parts))}
+
+    def best(text):
+        lines = [x for x in text.split("\n") if re.search("[A-Za-z0-9]", x)]
+        found = {text} | runs(lines, 4, "\n") | runs(re.split(r"\n(?:[^A-Za-z0-9\n]*\n)+", text), 5, "\n")
+        top = None
+        for bag in {" ".join(words(u)) for u in found if cue.search(u)} - {""}:
+            unit = weigh(Counter(bag.split()))
+            for (name, model), sets in zip(models, apart):
+                if all(s & set(unit) for s in sets):
+                    score = round(cosine(unit, model), 9)
+                    rank = (name == "Proprietary", -score, name)
+                    if score >= 0.7 and (top is None or rank < top):
+                        top = rank
+        return top and (-top[1], top[2])
+
+    once = {text: best(text) for text in {t for _, _, t in given if t}}
+    own = [once.get(text) for _, _, text in given]
     folders = {}
-    for (_, path, _), best in zip(pairs, own):
+    for (_, path, _), best in zip(given, own):
         folder = path.rpartition("/")[0] if path else None
         if best and folder:
             if folder not in folders or (-best[0], best[1]) < (-folders[folder][0], folders[folder][1]):
                 folders[folder] = best
     out = []
-    for (i, path, _), best in zip(pairs, own):
-        folder, given = (path or "").rpartition("/")[0], None
-        while folder and given is None and not best:
-            given = folder if folder in folders else None
+    for (i, path, _), best in zip(given, own):
+        folder, source = (path or "").rpartition("/")[0], None
+        while folder and source is None and not best:
+            source = folder if folder in folders else None
             folder = folder.rpartition("/")[0]
-        out.append((i, path, best and best[1], best[1] if best else given and folders[given][1], given))
-    return Counter(out)
+        out.append((i, path, best and best[0], best and best[1], best[1] if best else source and folders[source][1], source))
+    return out
+
+
+LICENSE_COLUMNS = ("doc_id", "path", "own_score", "own_license", "license", "inherited_from")
+
+
+def same_licenses(found, expected):
+    key = lambda r: tuple((x is None, x) for x in (r[:2] + r[3:]))
+    left, right = (sorted((tuple(r) for r in x), key=key) for x in (found, expected))
+    assert [r[:2] + r[3:] for r in left] == [r[:2] + r[3:] for r in right]
+    assert all(a[2] == b[2] or abs(a[2] - b[2]) < 1e-6 for a, b in zip(left, right))
 
 
 def test_licenses(spark, sf_dir, tiny):
-    found = query("op9_licenses", spark, sf_dir)
-    paths = {r["doc_id"]: r["path"] for r in found.collect()}
-    assert rows(found, "doc_id", "path", "own_license", "license", "inherited_from") == brute_licenses(
-        [(r[0], paths[r[0]], r[1]) for r in tiny])
-    assert sum(r["own_license"] is not None for r in found.collect()) > 0
+    found = query("op9_licenses", spark, sf_dir).select(*LICENSE_COLUMNS).collect()
+    paths = {r["doc_id"]: r["path"] for r in found}
+    same_licenses(found, brute_licenses([(r[0], paths[r[0]], r[1]) for r in tiny]))
+    assert sum(r["own_license"] is not None for r in found) > 0
 
 
 def test_licenses_awkward(spark):
@@ -447,17 +467,60 @@ def test_licenses_awkward(spark):
              (4, "z/x", ""), (5, None, "All rights reserved."), (6, "top", "nothing"), (1, "a/LICENSE",
              "Released under the MIT License."), (7, "a/b/c/y", "x\nAll  RIGHTS reserved!!\ny"),
              (8, "a/b/c/d/e", "the the the"), (None, "a/q", "Licensed under CC BY-NC 4.0."),
-             (9, "w/x", "All rights reserved. " * 3_000)]
+             (9, "w/x", "All rights reserved. " * 3_000), (10, "v/x", "// \n\n * \n*/\n\n")]
     table = spark.createDataFrame([(*g, "x") for g in given], "doc_id long, path string, text string, row string")
-    found = licenses.scan(spark, table)
-    assert rows(found, "doc_id", "path", "own_license", "license", "inherited_from") == brute_licenses(given)
+    same_licenses(licenses.scan(spark, table).select(*LICENSE_COLUMNS).collect(), brute_licenses(given))
+
+
+def wrapped(text, width, mark=""):
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def test_headers_and_files(spark):
+    """Headers as they stand in code, wrapped statements, whole texts and identifiers."""
+    headers = dict((f"{name} {k}", text) for k, (name, text) in enumerate(licenses.HEADERS))
+    pick = lambda start: next(t for n, t in headers.items() if n.startswith(start))
+    prose = "The committee met again in spring and found that seven bridges need repair before winter."
+    code = "import sys\n\n\ndef main(argv):\n    return len(argv)\n"
+    address = "\n#\n# You should have received a copy of it along with this program; if not, write to its authors.\n\n"
+    bsd3 = next(t for n, t in headers.items() if n.startswith("BSD-3"))
+    holder = "Copyright (c) 2019, Some Holder\nAll rights reserved.\n\n"
+    clauses = lambda t: re.sub(r" (?=[123]\. |THIS SOFTWARE)", "\n\n", t)
+    given = {
+        "gpl3-wrapped": (f"{prose}\nThis work is licensed under the GNU General Public License,\nversion 3.\n{prose}", "GPL-3.0"),
+        "gpl2-wrapped": (f"{prose}\nThis work is licensed under the GNU General Public\nLicense, version 2.", "GPL-2.0"),
+        "gpl-none": (f"{prose}\nThis work is licensed under the GNU General Public License.", None),
+        "gpl2": ("# prog - does a thing\n#\n" + wrapped(pick("GPL-2.0"), 70, "# ") + address + code, "GPL-2.0"),
+        "gpl3": ("/*\n * prog\n *\n" + wrapped(pick("GPL-3.0"), 70, " * ") + "\n */\n" + code, "GPL-3.0"),
+        "lgpl": (wrapped(pick("LGPL-3.0"), 60, "// ") + "\n\n" + code, "LGPL-3.0"),
+        "lgpl2": (wrapped(pick("LGPL-2.1"), 60, "// ") + "\n\n" + code, "LGPL-2.1"),
+        "agpl": (wrapped(pick("AGPL-3.0"), 72) + "\n\n" + code, "AGPL-3.0"),
+        "mit": ("MIT License\n\nCopyright (c) 2020 Some One\n\n" + wrapped(
+            [t for n, t in headers.items() if n.startswith("MIT")][1], 78), "MIT"),
+        "bsd2": (holder + wrapped(pick("BSD-2"), 78), "BSD-2-Clause"),
+        "bsd3": (holder + wrapped(bsd3, 78), "BSD-3-Clause"),
+        "bsd3-code": ("\n".join("# " + x for x in (holder + clauses(bsd3)).split("\n")) + "\n\n" + code * 9, "BSD-3-Clause"),
+        "bsd-none": ("Redistribution and use in source and binary forms are permitted.", None),
+        "apache": (wrapped([t for n, t in headers.items() if n.startswith("Apache")][1], 70, "# ") + "\n" + code, "Apache-2.0"),
+        "isc": (holder + wrapped([t for n, t in headers.items() if n.startswith("ISC")][1], 70), "ISC"),
+        "rights": (f"{prose}\n\nAll rights reserved.\n", "Proprietary"),
+        "prose": (f"{prose} Few rights were reserved by the public, and no licence was ever asked of the ferry.", None)}
+    given |= {f"spdx-{n}": (f"// SPDX-License-Identifier: {n}\n{code}", n) for n, _ in licenses.STATEMENTS if n != "Proprietary"}
+    rest = [(f"plain-{k}", f"{prose} This is line {k} of the report.\n{code}") for k in range(200)]
+    table = spark.createDataFrame([(k, f"{k}/x", t) for k, (t, _) in given.items()] + [(k, f"{k}/x", t) for k, t in rest],
+                                  "doc_id string, path string, text string")
+    found = licenses.scan(spark, table).select(*LICENSE_COLUMNS).collect()
+    assert {r["doc_id"]: r["own_license"] for r in found if r["doc_id"] in given} == {k: x for k, (_, x) in given.items()}
+    assert all(r["own_license"] is None for r in found if r["doc_id"] not in given)
+    same_licenses(found, brute_licenses([(k, f"{k}/x", t) for k, (t, _) in given.items()] + [
+        (k, f"{k}/x", t) for k, t in rest]))
 
 
 def test_every_template_declares_itself(spark):
-    table = spark.createDataFrame([(k, f"{name}/x", text) for k, (name, text) in enumerate(licenses.TEMPLATES)],
+    table = spark.createDataFrame([(k, f"{k}/x", text) for k, (name, text) in enumerate(licenses.TEMPLATES)],
                                   "doc_id long, path string, text string")
-    assert {r["path"].split("/")[0]: r["own_license"] for r in licenses.scan(spark, table).collect()} == {
-        name: name for name, _ in licenses.TEMPLATES}
+    assert {r["doc_id"]: r["own_license"] for r in licenses.scan(spark, table).collect()} == {
+        k: name for k, (name, _) in enumerate(licenses.TEMPLATES)}
 
 
 # 10 Personal data
