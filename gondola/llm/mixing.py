@@ -11,12 +11,13 @@ has taken its target; the document at that point is taken in part.  Each source
 target to the word (rounded), and a rerun takes the same.
 
 Size: documents are summed by (source, slot), where the slot is the leading hex digits of the hash,
-so a source with a third of all rows is spread over all slots; running sums go over slots first, then
+so a source with a third of all rows is spread over all slots; slots grow in number with the documents, and
+the order of the hash, hence the mix, is the same for any number.  Running sums go over slots first, then
 over the rows of one slot.  No Python runs on the executors.
 
 Defined results: null and empty texts have size 0 and take 0; a null source is a source of its own;
 equal doc_ids have equal hashes and are ordered by size, so equal rows are interchangeable; a null
-doc_id hashes like an empty one; an empty table gives an empty mix.  Columns of ``docs`` travel in a
+doc_id hashes like an empty one, followed by the digest of the text if there is a text; an empty table gives an empty mix.  Columns of ``docs`` travel in a
 struct, so clashing names do no harm.
 """
 
@@ -27,7 +28,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from gondola.llm.common import Scratch, word_count
 
 SEED = "mix"
-SLOT_DIGITS = 2
+SLOT_ROWS = 4_000
+MAX_SLOT_DIGITS = 5  # a million slots: the running sums over the slots of a source are one task
+
+
+def slot_digits(rows: int) -> int:
+    """Hex digits of a slot, so that a slot has ``SLOT_ROWS`` rows at most on average."""
+    digits = 1
+    while rows > SLOT_ROWS * 16 ** digits and digits < MAX_SLOT_DIGITS:
+        digits += 1
+    return digits
 
 
 def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFrame:
@@ -61,12 +71,14 @@ def cyclic_weights(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     return sources.withColumn("weight", F.element_at(table, (rank % len(weights) + 1).cast("int")))
 
 
-def _base(docs: DataFrame, size: Column | None, seed: str) -> DataFrame:
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+def _base(docs: DataFrame, size: Column | None, seed: str, digits: int) -> DataFrame:
+    nameless = F.coalesce(F.md5("text"), F.lit("")) if "text" in docs.columns else F.lit("")
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.when(F.col("doc_id").isNull(), nameless).otherwise(
+        F.col("doc_id").cast("string"))))
     measured = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source",
         (word_count(F.col("text")) if size is None else size).alias("size"), digest.alias("draw"))
-    return measured.withColumn("slot", F.substring("draw", 1, SLOT_DIGITS))
+    return measured.withColumn("slot", F.substring("draw", 1, digits))
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1),
@@ -76,7 +88,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (5, 2
     columns of ``docs``; the mix takes the text ``whole`` times and ``extra`` words of it once more.
     """
     scratch = Scratch(spark, "mix")
-    base = _base(docs, size, seed)
+    base = _base(docs, size, seed, slot_digits(docs.count()))
     slots = scratch.write("slots", base.groupBy("source", "slot").agg(F.sum("size").alias("slot_size")))
     sources = slots.groupBy("source").agg(F.sum("slot_size").alias("source_size"))
     sources = scratch.write("sources", cyclic_weights(sources, weights))

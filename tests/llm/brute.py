@@ -115,19 +115,20 @@ def fill(sizes, weights, budget, epochs):
 
 def mix(rows, weights=(5.0, 2.0, 1.0), ratio=1.5, epochs=2.0):
     """(doc_id, size, source_size, target, taken, extra) of rows (doc_id, text, source)."""
-    sized = [(i, len(WORD.findall(t or "")), s) for i, t, s in rows]
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    nameless = lambda t: "" if t is None else md5(t)
+    sized = [(i, len(WORD.findall(t or "")), s, md5(f"mix:{nameless(t) if i is None else i}")) for i, t, s in rows]
     sizes = defaultdict(int)
-    for _, n, s in sized:
+    for _, n, s, _ in sized:
         sizes[s] += n
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     share = {s: weights[k % len(weights)] for k, s in enumerate(names)}
     targets = fill(sizes, share, ratio * sum(sizes.values()), epochs)
-    draw = lambda i: hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest()
     out = []
     for s in names:
         whole = math.floor(targets[s] / sizes[s]) if sizes[s] else 0
         left = math.floor(targets[s] - whole * sizes[s] + 0.5)
-        for i, n, _ in sorted((x for x in sized if x[2] == s), key=lambda x: (draw(x[0]), x[1])):
+        for i, n, _, _ in sorted((x for x in sized if x[2] == s), key=lambda x: (x[3], x[1])):
             extra = max(0, min(n, left))
             left -= n
             out.append((i, n, sizes[s], targets[s], whole * n + extra, whole, extra))

@@ -109,6 +109,18 @@ def test_mix_awkward(spark, awkward):
     assert rows(found, "doc_id", "size", "taken") == rows(again, "doc_id", "size", "taken")
 
 
+def test_slots_grow_with_the_documents(spark, awkward, monkeypatch):
+    """Any number of slots gives the same mix; rows without an id are spread by their texts."""
+    assert [mixing.slot_digits(n) for n in (0, 60_000, 70_000, 2_000_000, 10 ** 12)] == [1, 1, 2, 3, 5]
+    usual = rows(mixing.mix(spark, awkward), "doc_id", "size", "taken")
+    monkeypatch.setattr(mixing, "SLOT_ROWS", 1)
+    assert rows(mixing.mix(spark, awkward), "doc_id", "size", "taken") == usual
+    nameless = spark.createDataFrame([(None, f"text {k}", "a") for k in range(500)],
+                                     "doc_id long, text string, source string")
+    slots = mixing._base(nameless, None, mixing.SEED, 2).groupBy("slot").count()
+    assert slots.agg(F.max("count")).first()[0] < 20
+
+
 def test_mix_reaches_targets(spark, sf_dir):
     taken = query("op1_mix_sources", spark, sf_dir).join(
         spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), "doc_id")
