@@ -3,12 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gondola.operators.rollup import build_rollup
+from gondola.operators.rollup import build_rollup, detail
 from gondola.plans.reports import report
 from gondola.schema import MEASURES, ROLLUPS, rollup_schema
 from gondola.sinks import rollups as sink
 from gondola.sinks.rollups import (
-    TooManyRejected, ingest, ingest_batch, merge_batch, products_of, write_rollups,
+    Parts, TooManyRejected, ingest, ingest_batch, merge_batch, products_of, write_rollups,
 )
 from gondola.sources.rollups import read_rollup, read_rollups
 from gondola.sources.versions import ConcurrentBatch, Snapshot, drop_versions, publish, snapshot
@@ -229,3 +229,48 @@ def test_top_reports_aggregate_their_table_once(tables):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
         assert plan.count("FileScan") == 1 or "Reused" in plan, name
+
+
+def test_parts_hold_a_bounded_number_of_lines():
+    sizes = {"2024-01": 10, "2024-02": 20, "2024-03": 1_200, None: 30}
+    parts = Parts.cut(sizes, cores=1, lines=500)
+    assert parts.of == {"2024-01": (0, 1), "2024-02": (0, 1), "2024-03": (1, 3), None: (4, 1)} and parts.total == 5
+    assert Parts.cut(sizes, cores=8).total >= 8  # few lines still give every core a part
+    assert Parts.cut({}, cores=8).total == 1
+    many = Parts.cut({f"{m:02}": 1_000_000 for m in range(80)}, cores=8)
+    assert many.total == 160 and [many.of["00"], many.of["79"]] == [(0, 2), (158, 2)]
+
+
+def test_lines_are_shuffled_once_for_each_pair_of_rollups(spark, lines):
+    parts = Parts.cut(sink.month_sizes(lines), cores=8)
+    fine = detail(sink.in_parts(lines, parts, ["Tiendas"]), [sink._PART]).persist()
+    both = build_rollup(sink.in_parts(lines, parts, ["Cod_prod"]), "promo_prod", [sink._PART]).persist()
+    for first, name in ((fine, "ventas"), (both, "productos")):
+        plan = first._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[1]
+        assert plan.count("Exchange") - plan.count("BroadcastExchange") == 1 and "hashpartitioning" not in plan
+        first.count()
+        second = build_rollup(first, name, [sink._PART])
+        second.collect()
+        plan = second._jdf.queryExecution().executedPlan().toString()
+        final = plan[plan.index("Final Plan"):plan.index("Initial Plan")].split("InMemoryRelation")[0]
+        assert "Exchange" not in final
+        first.unpersist()
+
+
+def test_unnamed_months_and_stores_are_kept_in_parts(spark, lines, tmp_path):
+    odd = lines.limit(300).withColumns({
+        "Anio_mes": F.when(F.col("Cod_prod").cast("int") % 3 > 0, F.col("Anio_mes")),
+        "Tiendas": F.when(F.col("Cod_prod").cast("int") % 2 > 0, F.col("Tiendas"))}).localCheckpoint()
+    plain = odd.unionByName(odd)
+    parts = Parts.cut(sink.month_sizes(plain), cores=4, lines=50)
+    for name, keys in (("ventas", ["Tiendas", "Categoria"]), ("productos", ["Cod_prod"])):
+        placed = build_rollup(sink.in_parts(plain, parts, keys), name, [sink._PART]).drop(sink._PART)
+        expected = build_rollup(plain, name)
+        assert sorted(map(str, placed.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_test_lines_meet_their_orders_in_one_shuffle(spark, sf_dir):
+    from gondola.testbed import text_lines
+
+    plan = text_lines(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" not in plan and plan.count("Exchange hashpartitioning(l_orderkey") == 1
