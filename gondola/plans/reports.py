@@ -20,7 +20,7 @@ from gondola.functions.text import (
 )
 from gondola.functions.whole import beside
 from gondola.operators.filters import only_promos
-from gondola.plans.layout import in_month_order
+from gondola.plans.layout import PLACE, by_month, in_order
 from gondola.schema import MEASURES as AMOUNTS
 from gondola.sources.rollups import Rollups
 
@@ -84,8 +84,14 @@ def sorted_by(df: DataFrame, order: str, ties: list[str] = ()) -> DataFrame:
 COUNTS = {"Anio_mes": "Meses", "Tiendas": "N_tiendas"}
 
 
-def run_report(tables: Rollups, report: Report, ordered: bool = True) -> DataFrame:
-    """A report from the smallest shared sub-aggregate that covers it, or else from its rollup."""
+def run_report(
+    tables: Rollups, report: Report, ordered: bool = True,
+    place: Callable[[DataFrame, Rollups], DataFrame] | None = None,
+) -> DataFrame:
+    """A report from the smallest shared sub-aggregate that covers it, or else from its rollup.
+
+    ``place`` deals the rows out before they are grouped, by a column ``PLACE`` that follows from the keys and
+    stays in the result."""
     given = tables.shared.source(report) if tables.shared else None
     rows, counts = given or (tables.table(report.table), {})
     rows = report.where(rows)
@@ -102,6 +108,8 @@ def run_report(tables: Rollups, report: Report, ordered: bool = True) -> DataFra
                 *[F.sum(m).alias(m) for m in AMOUNTS])
             rows = rows.withColumnsRenamed({f"por_{c}": c for c in report.by if c not in names})
             keys = [F.col(n) for n in names]
+    if place:
+        rows, keys = place(rows, tables), [F.col(PLACE), *keys]
     out = rows.groupBy(*keys).agg(*measures(report.measures, counts))
     if report.above:
         out = out.where(F.col(report.above[0]) > F.lit(report.above[1]))
@@ -309,16 +317,18 @@ def ticket_by_category(tables: Rollups) -> DataFrame:
 
 
 def export_summary(tables: Rollups, ordered: bool = True) -> DataFrame:
-    """Month, store, category, type and system summary for export, in that order."""
+    """Month, store, category, type and system summary for export, in that order.  The sales are shuffled
+    once: to the month's partition, where they are grouped and sorted."""
     out = run_report(tables, Report(
         "ventas", "month store cat type system",
-        "Ingresos Unidades Costo Margen Mg_pct Descuento Promos_distintas=N_promos"))
-    out = out.select(
+        "Ingresos Unidades Costo Margen Mg_pct Descuento Promos_distintas=N_promos"),
+        place=by_month if ordered else None)
+    out = in_order(out, ["Categoria", "Tipo", "Sistema"]) if ordered else out
+    return out.select(
         "Anio_mes", "Tiendas", "Categoria", "Tipo", "Sistema", "Ingresos", "Unidades", "Costo",
         "Margen", F.round(F.col("Mg_pct") * 100, 2).alias("Margen_pct"), "Descuento",
         "Promos_distintas",
     )
-    return in_month_order(out, tables, ["Categoria", "Tipo", "Sistema"]) if ordered else out
 
 
 def promo_drill_months(ventas: DataFrame, promo: str | None = None) -> DataFrame:

@@ -136,3 +136,17 @@ def test_month_lists_need_no_job(spark, tables, sf_dir):
     for spec in (FilterSpec(cycle_numbers=("C2",), types=("A",)), FilterSpec(promo_text="no such promo")):
         with apply_filters(tables, None, spec) as chosen:
             assert month_list(chosen, "ventas") == month_facet(chosen.ventas)
+
+
+def test_the_export_shuffles_the_sales_once(tables):
+    spark = tables.ventas.sparkSession
+    for partitions in ("8", "200"):  # one partition for each month, or several
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            plan = report(tables, "resumen_export")._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        plan = plan.split("InMemoryRelation")[0]
+        assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+        assert plan.count("Exchange shufflepartitionidpassthrough") == 1
