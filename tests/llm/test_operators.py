@@ -657,3 +657,12 @@ def test_pipeline(spark, sf_dir, tiny):
             expected[(i, len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(texts[i]))] += copies
     found = corpus_pipeline.run(spark, sf_dir)
     assert rows(found, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == expected
+
+
+def test_fingerprints_are_dealt_out_before_they_are_indexed(spark):
+    """A few bytes of fingerprints are one scan task; 66 keys of each would all be held by it."""
+    nodes = spark.range(0, 1000, 1, 1).select(F.col("id").alias("fp"))
+    index = simhash._index(nodes)
+    tasks = index.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(r["count"] for r in tasks) == 66 * 1000
