@@ -27,11 +27,11 @@ def scan_sales_csv(spark: SparkSession, path: str | list[str], quoted_breaks: bo
         *RAW_COLUMNS, F.col("_metadata.file_path").alias("Archivo"),
         F.col("_metadata.file_block_start").alias("Bloque"), F.monotonically_increasing_id().alias("Fila"))
     if quoted_breaks:
-        text = text_lines(spark, path, SEPARATOR)
-        broken = broken_files(text).persist()  # as many rows as files; a lost part is computed again
+        broken = broken_files(spark, path, SEPARATOR).persist()  # as many rows as files; a lost part is computed again
         if not broken.isEmpty():
             fields = F.from_csv("value", raw_schema().simpleString()[len("struct<"):-1].replace(":", " "), _OPTIONS)
-            mended = records(text.join(broken, "Archivo", "left_semi")).select(fields.alias("r"), *_PLACE)
+            text = text_lines(spark, path, SEPARATOR).join(broken, "Archivo", "left_semi")
+            mended = records(text).select(fields.alias("r"), *_PLACE)
             plain = plain.join(broken, "Archivo", "left_anti").select(*RAW_COLUMNS, *_PLACE).unionByName(
                 mended.select("r.*", *_PLACE))
     return plain.select(*[drop_na_tokens(F.col(c)).alias(c) for c in KEPT_COLUMNS], *_PLACE)

@@ -42,9 +42,14 @@ def text_lines(spark: SparkSession, path: str | list[str], sep: str) -> DataFram
     })
 
 
-def broken_files(lines: DataFrame) -> DataFrame:
-    """Files in which some line, as read by itself, ends inside quotes."""
-    return lines.where("fuera = 1").select("Archivo").distinct()
+def broken_files(spark: SparkSession, path: str | list[str], sep: str) -> DataFrame:
+    """Files in which some line, as read by itself, ends inside quotes.
+
+    Two quotes between separators change no state: an empty field outside quotes, one quote within.  Writers
+    make them of empty text, so they are taken out, and lines without any other quote need no regex."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("Archivo"))
+    text = F.replace("value", F.lit(f'{sep}""{sep}'), F.lit(sep * 2))
+    return lines.where(F.contains(text, F.lit('"'))).where(_opens(text, sep)).select("Archivo").distinct()
 
 
 def _steps(rows: DataFrame, group: list[str], order: str, fixed: Column, flips: Column) -> DataFrame:

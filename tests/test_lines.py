@@ -10,7 +10,7 @@ from gondola import normalize_lines, scan_sales_csv
 from gondola.functions.cycles import attach_cycle
 from gondola.operators.normalize import with_week
 from gondola.operators.rollup import build_rollup, ticket_rollup
-from gondola.sources.records import records, text_lines
+from gondola.sources.records import broken_files, records, text_lines
 
 
 def line(store="1", ticket="t", day="20240105", code="p1", name="Cola", cat="BEBIDAS", qty="1",
@@ -194,3 +194,22 @@ def test_a_quote_that_is_never_closed_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="more than 20 lines"):
         records(lines, max_lines=20).collect()
     assert records(lines).count() == 1
+
+
+def test_files_with_broken_records_need_a_regex_for_few_lines(spark, tmp_path):
+    """Two quotes between separators change no state, outside quotes or within."""
+    files = {
+        "plain": ['a;b;c', 'a;"b;";c', 'a;b"c;d', 'a;"";"";c', 'a;"b;"";c";d', '"a"";"";b";c', 'a;"b;"";";c'],
+        "opens": ['a;b;c', 'a;"b', 'c";d'], "after": ['a;"";"b', '"'], "within": ['a;"b;"";c', '"'],
+        "late": ['a;"";"";"b;"";', 'c"'],
+    }
+    for name, rows in files.items():
+        (tmp_path / f"{name}.csv").write_text("\n".join(rows) + "\n")
+    found = broken_files(spark, str(tmp_path), ";")
+    assert sorted(r[0].rsplit("/", 1)[1] for r in found.collect()) == [
+        "after.csv", "late.csv", "opens.csv", "within.csv"]
+    as_before = text_lines(spark, str(tmp_path), ";").where("fuera = 1").select("Archivo").distinct()
+    assert sorted(found.collect()) == sorted(as_before.collect())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    condition = next(row for row in plan.splitlines() if "Filter" in row)
+    assert 'Contains(replace(value' in condition
