@@ -274,3 +274,15 @@ def test_test_lines_meet_their_orders_in_one_shuffle(spark, sf_dir):
 
     plan = text_lines(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobin" not in plan and plan.count("Exchange hashpartitioning(l_orderkey") == 1
+
+
+def test_derived_text_is_compressed_where_it_need_not_be_split(spark, sf_dir):
+    from checks.queries import TEXT_CODEC, _csv_lines, s01_breaks
+
+    tb = Testbed(spark, sf_dir)
+    assert TEXT_CODEC == "gzip"
+    assert all(f.endswith(".csv.gz") for f in _csv_lines(tb).inputFiles())
+    assert [r[0] for r in _csv_lines(tb).groupBy("Bloque").count().collect()] == [0]
+    s01_breaks(tb)
+    text = spark.read.text(tb.once("texto_con_saltos", lambda path: None))
+    assert all(f.endswith(".csv") for f in text.inputFiles())
