@@ -70,6 +70,25 @@ def test_shard_matchers():
         assert [f.tolist() for f in found] == windows_with_least(data, holders, bytes_dedup.LENGTH)
 
 
+def test_contents_alone_under_their_anchor_are_not_compared(monkeypatch):
+    rng, sorted_ = random.Random(8), []
+
+    def counting(text, *rest):
+        sorted_.append(len(text))
+        return suffix_array(text, *rest)
+
+    monkeypatch.setattr(bytes_dedup, "suffix_array", counting)
+    data = [bytes(rng.choice(b"abc") for _ in range(80)) for _ in range(6)]
+    data[4] = data[1][5:] + b"x"
+    anchors, lows, highs = np.array([1, 2, 3, 4, 2, 4]), np.array([3, 5, 0, 7, 2, 7]), np.array([9, 5, 4, 7, 8, 7])
+    found = bytes_dedup.match(data, anchors, lows, highs)
+    assert [f.tolist() for f in found] == windows_with_least(data, lows.tolist(), bytes_dedup.LENGTH)
+    assert sorted_ == [len(data[1]) + len(data[4]) + 2]
+    # One alone is its own holder for all its windows, also where several documents have it.
+    refers, asks = windows.roles(anchors, lows, highs)
+    assert refers.tolist() == asks.tolist() == [False, True, False, False, True, False]
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(3)
     for size, gram in ((13, 4), (50, 12), (7, 7), (5, 1), (9, 3)):
