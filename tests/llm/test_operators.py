@@ -349,6 +349,44 @@ def test_crowded_anchors_are_cut_again(spark):
             {(windows.LAST if i is None else i, t, n): c for (i, t, n), c in expected.items()})
 
 
+def test_equal_texts_are_one_before_windows_are_compared(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    copied, short = text(60), text(5)
+    given = [(k, copied) for k in range(20, 0, -1)] + [(30, short), (31, short), (None, copied), (40, text(40))]
+    table = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
+    compared = spark.sparkContext.accumulator(0)
+
+    def matcher(contents, *rest):
+        compared.add(len(contents))
+        return substring.match(contents, *rest)
+
+    found = windows.with_spans(table, windows.covered(spark, table, substring.UNITS, matcher, 800)).collect()
+    assert compared.value == 0  # copies of a text share nothing with another text
+    gone = {r["doc_id"]: windows.mask(None if r["spans"] is None else np.array(r["spans"]), len(r["text"].split()),
+                                      substring.WORDS).sum() for r in found}
+    assert gone == {k: 0 if k in (1, 30, 31, 40) else 60 for k, _ in given}
+
+
+def test_texts_with_one_hash_keep_their_windows(spark, monkeypatch):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    line, other = text(20), text(20)
+    given = [(k, " ".join([text(3 + k % 2), (line, other)[k % 3 % 2], text(4)])) for k in range(12)]
+    given += [(20, given[3][1]), (21, given[4][1])]
+    documents = windows._documents
+    monkeypatch.setattr(windows, "_documents", lambda docs: documents(docs).withColumn(
+        "print", F.length("text").cast("long") % 2))
+    table = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    spans = {}
+    for r in windows.covered(spark, table, substring.UNITS, substring.match, 800).collect():
+        spans.setdefault(r["key"], []).extend(r["spans"])
+    expected = {i: gone for i, _, gone in brute.removed(given, str.split, substring.WORDS)}
+    for i, t in given:
+        assert windows.mask(np.array(spans.get(i, []), np.int64), len(t.split()), substring.WORDS).tolist() == list(
+            expected[i])
+
+
 def test_substring_queries(spark, sf_dir, tiny):
     pairs = [r[:2] for r in tiny]
     found = query("op5_substrings", spark, sf_dir)
