@@ -28,7 +28,8 @@ from pyspark.sql import Column, SparkSession, functions as F
 
 from gondola.llm.common import ship
 
-CACHE_PIECES = 700_000
+#: Pieces kept that came up in several blocks, and of those that came up in one so far; the latter go with their task.
+CACHE_PIECES = 250_000
 CACHED_LENGTH = 64
 _PIECES = 100_000  # pieces looked up together
 _ROWS = 4_096  # trees held together
@@ -211,7 +212,9 @@ class Codec:
         self.any_pieces = regex.compile(rust_pattern(pattern)).findall
         self.latin_pieces = re.compile(latin_pattern(pattern)).findall
         self.forest = Forest(ranks)
-        self.cache: dict[str, tuple[int, str, bytes]] = {}
+        # Most pieces never come up again: those seen in one block so far, and those seen in several.
+        self.once: dict[str, tuple[int, str, bytes]] = {}
+        self.often: dict[str, tuple[int, str, bytes]] = {}
 
     def pieces(self, text: str) -> list[str]:
         try:
@@ -226,7 +229,7 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
 
-    def _learn(self, pieces: set[str]) -> dict[str, tuple[int, str, bytes]]:
+    def _learn(self, pieces: list[str]) -> dict[str, tuple[int, str, bytes]]:
         """Results of pieces not seen before: short ones together by size, long ones one by one."""
         sizes: dict[int, list[str]] = {}
         found = {}
@@ -254,18 +257,29 @@ class Codec:
         yield from self._digests(split)
 
     def _digests(self, split: list[list[str]]) -> Iterator[tuple[int, str, str]]:
-        unseen = {p for pieces in split for p in pieces if p not in self.cache}
-        if len(self.cache) + len(unseen) > CACHE_PIECES:
-            self.cache.clear()
-            unseen = {p for pieces in split for p in pieces}
-        self.cache.update(self._learn(unseen))
+        found = {p: None for pieces in split for p in pieces}
+        unseen = [p for p in found if p not in self.often and p not in self.once]
+        again = [p for p in found if p in self.once]
+        if len(self.often) + len(again) > CACHE_PIECES:
+            self.often.clear()
+            unseen = [p for p in found if p not in self.once]
+        for piece in again:
+            self.often[piece] = self.once.pop(piece)
+        learned = self._learn(unseen)
+        for piece in found:
+            found[piece] = learned.get(piece) or self.often[piece]
+        if len(self.once) + len(learned) > CACHE_PIECES:
+            self.once.clear()
+        self.once.update((p, r) for p, r in learned.items() if len(p) <= CACHED_LENGTH)
         for pieces in split:
-            parts = [self.cache[p] for p in pieces]
+            parts = [found[p] for p in pieces]
             ids = hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest()
             decoded = hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest()
             yield sum([p[0] for p in parts]), ids, decoded
-        for piece in [p for p in unseen if len(p) > CACHED_LENGTH]:
-            del self.cache[piece]
+
+    def rest(self) -> None:
+        """Between tasks a worker only keeps the pieces that came up again."""
+        self.once.clear()
 
 
 #: The codec of this worker process: pieces seen by earlier tasks need no merging again.
@@ -286,9 +300,12 @@ def tokenized(spark: SparkSession, text: Column, path: str, pattern: str) -> Col
     @F.pandas_udf(RESULT)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = _codec(path, pattern, shared.value)
-        for texts in batches:
-            yield pd.DataFrame(list(codec.digests(texts)),
-                               columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for texts in batches:
+                yield pd.DataFrame(list(codec.digests(texts)),
+                                   columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            codec.rest()
 
     return of(text)
 

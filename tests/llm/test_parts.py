@@ -89,6 +89,22 @@ def test_contents_alone_under_their_anchor_are_not_compared(monkeypatch):
     assert refers.tolist() == asks.tolist() == [False, True, False, False, True, False]
 
 
+def test_tokenizer_keeps_between_tasks_only_what_came_up_again(monkeypatch):
+    monkeypatch.setattr(bpe, "_PIECES", 20)
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 40)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    codec = bpe.Codec(bpe.read_ranks(path), public_tokenizers.PATTERN)
+    texts = [f"zqx zqy wvj{k} kfq{k % 30} " + "x" * 70 for k in range(300)]
+    whole = [codec.encode(t) for t in texts]
+    for found, ids in zip(codec.digests(texts), whole, strict=True):
+        assert found == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
+                         hashlib.sha256(codec.decode(ids)).hexdigest())
+        assert len(codec.once) <= 40 and len(codec.often) <= 40
+    assert " zqx" in codec.often or "zqx" in codec.often
+    codec.rest()
+    assert not codec.once
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(3)
     for size, gram in ((13, 4), (50, 12), (7, 7), (5, 1), (9, 3)):
