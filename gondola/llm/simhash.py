@@ -7,7 +7,8 @@ masked out); an equality join on these keys finds every candidate, and the diffe
 whole fingerprint are counted.  A wildcard key only joins fingerprints that do differ in the masked
 bit, so a pair is found once per segment.
 
-Size: the index holds 66 keys per distinct fingerprint and needs no broadcast.  A key with more than
+Size: the index holds 66 keys per distinct fingerprint and is never broadcast: Spark sizes a table after an
+explode as the one before it, so joins of the index say that they shuffle.  A key with more than
 ``dense`` fingerprints would emit too many pairs; its fingerprints are indexed once more by the other
 segment, in a way that any two which share such a key are linked (see ``_dense_links``), and each is
 linked to the smallest of its key.  That is linear, drops no link's connection, and needs no limit.
@@ -105,7 +106,7 @@ def _pairs(index: DataFrame, bits: int) -> DataFrame:
     left = index.select("key", "side", F.col("fp").alias("a"))
     right = index.select(F.col("key").alias("k"), F.col("side").alias("s"), F.col("fp").alias("b"))
     sides = ((F.col("side") == 2) & (F.col("a") < F.col("b"))) | ((F.col("side") == 0) & (F.col("s") == 1))
-    met = left.where("side IN (0, 2)").join(right.where("s IN (1, 2)"), F.col("key") == F.col("k"))
+    met = left.where("side IN (0, 2)").join(right.where("s IN (1, 2)").hint("merge"), F.col("key") == F.col("k"))
     return met.where(sides & _linked(F.col("a"), F.col("b"), bits)).select("a", "b")
 
 
@@ -132,7 +133,7 @@ def _dense_links(index: DataFrame, bits: int) -> DataFrame:
         within = F.when(F.col("side") == 2, masked).otherwise(same)
     rows = index.select("key", "fp", F.explode(within).alias("e")).select("key", "e.w", "e.v", "fp")
     least = rows.groupBy("key", "w", "v").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n"))
-    return rows.join(least.where("n > 1"), ["key", "w", "v"]).where("fp <> b").select(
+    return rows.join(least.where("n > 1").hint("merge"), ["key", "w", "v"]).where("fp <> b").select(
         F.col("fp").alias("a"), "b").distinct()
 
 
@@ -143,7 +144,7 @@ def links(scratch: Scratch, nodes: DataFrame, bits: int = MAX_BITS, dense: int =
         raise ValueError("two segments with one wildcard find one or two differing bits")
     index = _index(nodes)
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    live = scratch.write("live", index.join(sizes, "key"))
+    live = scratch.write("live", index.join(sizes.hint("merge"), "key"))
     found = _pairs(live.where(F.col("n") <= dense), bits).distinct()
     return found.unionByName(_dense_links(live.where(F.col("n") > dense), bits))
 

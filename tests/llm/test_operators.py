@@ -704,3 +704,21 @@ def test_fingerprints_are_dealt_out_before_they_are_indexed(spark):
     tasks = index.groupBy(F.spark_partition_id()).count().collect()
     assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sum(r["count"] for r in tasks) == 66 * 1000
+
+
+def test_the_index_of_fingerprints_is_never_broadcast(spark):
+    """Spark sizes 66 keys, or the 33 hubs of a dense one, as the one row they are made of."""
+    plans = []
+
+    class Kept(Scratch):
+        def write(self, name, df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().write(name, df)
+
+    nodes = spark.range(0, 300).select((F.col("id") * 3).alias("fp"))
+    found = simhash.links(Kept(spark, "test"), nodes, 2, 8)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    assert sum(p.count("SortMergeJoin") for p in plans) == 3
+    assert not any("Broadcast" in p for p in plans)
+    assert found.count()
