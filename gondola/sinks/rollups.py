@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from gondola.operators.normalize import FAULTS, accepted, parse_lines, rejected
 from gondola.operators.rollup import build_rollup, detail
 from gondola.schema import MONTH, ROLLUPS, rollup_schema
+from gondola.session import release, shuffles_removed
 from gondola.sources.lines import scan_sales_csv
 from gondola.sources.rollups import read_rollup
 from gondola.sources.versions import Snapshot, months_of, publish, snapshot
@@ -21,6 +23,8 @@ from gondola.sources.versions import Snapshot, months_of, publish, snapshot
 CODEC = "zstd"
 #: Lines of a task that aggregates one part of a month.
 PART_LINES = 500_000
+#: Lines from which the shuffle files of one pair of tables are removed before those of the next are written.
+RELEASE_LINES = 2_000_000
 _PART = "_parte"
 
 
@@ -85,10 +89,12 @@ def stage_lines(lines: DataFrame, folder: str) -> DataFrame:
     """Normalized lines as one parquet table.
 
     Raw text is parsed once; each rollup then reads only its own columns.  The table also cuts
-    the lineage: a lost executor repeats parquet reads, not the parsing.
+    the lineage: a lost executor repeats parquet reads, not the parsing, and whatever the lines were
+    shuffled for is removed from disk.
     """
     path = f"{folder}/lineas"
-    lines.write.mode("overwrite").option("compression", CODEC).parquet(path)
+    with shuffles_removed(lines.sparkSession):
+        lines.write.mode("overwrite").option("compression", CODEC).parquet(path)
     return lines.sparkSession.read.parquet(path)
 
 
@@ -99,8 +105,10 @@ def write_rollups(lines: DataFrame, folder: str, months: list[str] | None = None
     ``ventas`` and ``ventas_dia`` are sums of.  The latter two have about as many keys as lines, so combining
     lines before the shuffle would only cost memory: the lines are dealt out by month and store or product,
     each once, and a task groups its part of a month and writes it.  The grouped parts are kept on disk until
-    the second table of each is written from them, and a lost executor computes its part again.  The jobs are
-    submitted together, so the slow last tasks of one overlap with the next.
+    the second table of each is written from them, and a lost executor computes its part again.
+
+    Both shuffles are about as large as the lines, so one pair of tables follows the other, and the first has
+    left the disk before the second begins.  The tickets, a small shuffle, are written beside them.
 
     The new months are published together at the end (``sources.versions``): a reader sees all five
     tables before the batch or after it, and a job that ends half way leaves them as they were.  A month
@@ -108,36 +116,43 @@ def write_rollups(lines: DataFrame, folder: str, months: list[str] | None = None
     """
     spark = lines.sparkSession
     before, version = snapshot(spark, folder), uuid.uuid4().hex
-    parts = Parts.cut(month_sizes(lines), spark.sparkContext.defaultParallelism)
-
-    fine = detail(in_parts(lines, parts, ["Tiendas", "Categoria"]), [_PART]).persist(StorageLevel.DISK_ONLY)
-    promo_prod = build_rollup(in_parts(lines, parts, ["Cod_prod", "Nom_prod"]), "promo_prod", [_PART])
-    promo_prod.persist(StorageLevel.DISK_ONLY)
+    with shuffles_removed(spark):
+        sizes = month_sizes(lines)
+    parts = Parts.cut(sizes, spark.sparkContext.defaultParallelism)
 
-    def of_stores() -> dict[str, dict[str, str]]:
-        sales = write_rollup(build_rollup(fine, "ventas", [_PART]), folder, "ventas", version)
-        return {"ventas": sales, "ventas_dia": write_rollup(
-            build_rollup(fine, "ventas_dia"), folder, "ventas_dia", version)}
+    def write(name: str, table: DataFrame) -> dict[str, dict[str, str]]:
+        return {name: write_rollup(table, folder, name, version)}
 
     def of_products() -> dict[str, dict[str, str]]:
-        flagged = write_rollup(promo_prod, folder, "promo_prod", version)
-        return {"promo_prod": flagged, "productos": write_rollup(
-            build_rollup(promo_prod, "productos", [_PART]), folder, "productos", version)}
+        rows = build_rollup(in_parts(lines, parts, ["Cod_prod", "Nom_prod"]), "promo_prod", [_PART])
+        return _kept(rows, lambda kept: write("promo_prod", kept) | write(
+            "productos", build_rollup(kept, "productos", [_PART])))
+
+    def of_stores() -> dict[str, dict[str, str]]:
+        rows = detail(in_parts(lines, parts, ["Tiendas", "Categoria"]), [_PART])
+        return _kept(rows, lambda kept: write("ventas", build_rollup(kept, "ventas", [_PART])) | write(
+            "ventas_dia", build_rollup(kept, "ventas_dia")))
+
+    with shuffles_removed(spark), ThreadPoolExecutor(1) as pool:
+        tickets = pool.submit(lambda: write("tickets", build_rollup(lines, "tickets")))
+        written = {}
+        for pair in (of_products, of_stores):
+            written |= pair()
+            if sum(sizes.values()) >= RELEASE_LINES:
+                release(spark)
+        written |= tickets.result()  # raises its failure
+    new = before.replacing(months, {name: written[name] for name in ROLLUPS})
+    publish(spark, folder, new)
+    return new
 
-    def of_tickets() -> dict[str, dict[str, str]]:
-        return {"tickets": write_rollup(build_rollup(lines, "tickets"), folder, "tickets", version)}
 
+def _kept(rows: DataFrame, use: Callable[[DataFrame], dict]) -> dict:
+    """What ``use`` makes of ``rows``, which are kept on disk meanwhile."""
+    rows.persist(StorageLevel.DISK_ONLY)
     try:
-        with ThreadPoolExecutor(3) as pool:
-            jobs = [pool.submit(job) for job in (of_products, of_stores, of_tickets)]
-            tables = [job.result() for job in jobs]  # raises the first failure
+        return use(rows)
     finally:
-        fine.unpersist()
-        promo_prod.unpersist()
-    written = {name: of_table for part in tables for name, of_table in part.items()}
-    new = before.replacing(months, written)
-    publish(spark, folder, new)
-    return new
+        rows.unpersist(blocking=True)
 
 
 def products_of(spark: SparkSession, folder: str, state: Snapshot) -> DataFrame:

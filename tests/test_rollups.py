@@ -1,8 +1,11 @@
 """Rollup tables: sums kept, month replacement, missing tables."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from gondola import session
 from gondola.operators.rollup import build_rollup, detail
 from gondola.plans.reports import report
 from gondola.schema import MEASURES, ROLLUPS, rollup_schema
@@ -12,7 +15,7 @@ from gondola.sinks.rollups import (
 )
 from gondola.sources.rollups import read_rollup, read_rollups
 from gondola.sources.versions import ConcurrentBatch, Snapshot, drop_versions, publish, snapshot
-from gondola.testbed import Testbed
+from gondola.testbed import Testbed, lines as sold_lines
 from tests.test_lines import line
 
 
@@ -286,3 +289,35 @@ def test_derived_text_is_compressed_where_it_need_not_be_split(spark, sf_dir):
     s01_breaks(tb)
     text = spark.read.text(tb.once("texto_con_saltos", lambda path: None))
     assert all(f.endswith(".csv") for f in text.inputFiles())
+
+
+def _shuffle_files(spark):
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+    return {block for block in held.split() if block.startswith("shuffle_")}
+
+
+def _gone(spark, before, seconds=20):
+    """Whether the shuffle files since ``before`` go, which Spark does beside its queries."""
+    until = time.time() + seconds
+    while _shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    return not _shuffle_files(spark) - before
+
+
+def test_shuffles_leave_the_disk_with_their_step(spark, sf_dir, tmp_path, monkeypatch):
+    """The lines' joins, each pair of rollups, the tickets: what one step shuffled is gone before the next one."""
+    monkeypatch.setattr(sink, "RELEASE_LINES", 1)
+    setting = spark.conf.get(session.FILE_CLEANUP)
+    session.release(spark)
+    before, held = _shuffle_files(spark), []
+    staged = sink.stage_lines(sold_lines(spark, sf_dir), str(tmp_path / "staged"))
+    assert _gone(spark, before)
+
+    def released(of):
+        session.release(of)
+        held.append(_gone(spark, before))
+
+    monkeypatch.setattr(sink, "release", released)
+    write_rollups(staged, str(tmp_path / "rollups"))
+    assert held == [True, True]
+    assert spark.conf.get(session.FILE_CLEANUP) == setting
